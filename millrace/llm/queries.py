@@ -5,19 +5,57 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing
+from . import minhash, mixing, quality, sharding
 from .common import table
 
 #: Weights that the sources get in turn, and the share of all words that the mix has.
 WEIGHTS, MIX, MAX_EPOCHS = [3, 1, 2], 1.5, 2.0
 
 
+#: Names of the shards that op9 deals documents to.
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"))
+    return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left")
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.compare_with_next(table(spark, sf_dir, "documents"), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, MIX, MAX_EPOCHS)
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return sharding.place(docs, F.col("doc_id"), SHARDS).select("doc_id", "slot", "shard")
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT rid, p, ws[p] AS a, ws[p + 1] AS b, ws[p + 2] AS c FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS p FROM w)),
+r AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, a, b, c) AS k FROM g) WHERE k > 1),
+m AS (SELECT rid, count(DISTINCT q) AS n FROM (SELECT rid, unnest([p, p + 1, p + 2]) AS q FROM r) GROUP BY rid),
+l AS (SELECT rid, source, t, trim(lower(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line,
+             len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT rid, source, t, unnest(ls) AS x FROM w)),
+b AS (SELECT source, line FROM l GROUP BY source, line HAVING count(DISTINCT t) > 20),
+k AS (SELECT rid, sum(n) AS n FROM l WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.line = l.line AND b.source IS NOT DISTINCT FROM l.source) GROUP BY rid),
+f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+             coalesce(m.n, 0)::BIGINT AS n_repeat_words, coalesce(k.n, 0)::BIGINT AS words_left
+      FROM w LEFT JOIN m USING (rid) LEFT JOIN k USING (rid))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND words_left >= 25 AND words_left >= 0.5 * n_words AS kept FROM f
+"""
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -38,8 +76,13 @@ SELECT doc_id, size, source_size, target,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_mixing": op7_mixing}
+    return {
+        "op1_quality_rules": op1_quality_rules,
+        "op2_fingerprints": op2_fingerprints,
+        "op7_mixing": op7_mixing,
+        "op9_sharding": op9_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op7_mixing": OP7_SQL}
