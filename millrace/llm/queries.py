@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, quality, sharding
+from . import langid, minhash, mixing, packing, quality, secrets, sharding
 from .common import table
 
 #: Weights that the sources get in turn, and the share of all words that the mix has.
@@ -27,11 +28,30 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.compare_with_next(table(spark, sf_dir, "documents"), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: The tokenizer's file, its end token and the window's tokens.
+TOKENIZER, END_ID, WINDOW = public_tokenizers.path("word_bpe_49k.json"), 2, 4096
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, END_ID, WINDOW)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, MIX, MAX_EPOCHS)
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
+    out = langid.identify(docs.select("doc_id", "text"), docs.where(fold != 0))
+    return out.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.default_forest(spark))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
     return sharding.place(docs, F.col("doc_id"), SHARDS).select("doc_id", "slot", "shard")
@@ -79,8 +99,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_fingerprints": op2_fingerprints,
+        "op3_packing": op3_packing,
         "op7_mixing": op7_mixing,
+        "op8_language_id": op8_language_id,
         "op9_sharding": op9_sharding,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
