@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, packing, quality, secrets, sharding
-from .common import table
+from . import langid, minhash, mixing, packing, quality, secrets, sharding, warc
+from .common import new_folder, table
 
 #: Weights that the sources get in turn, and the share of all words that the mix has.
 WEIGHTS, MIX, MAX_EPOCHS = [3, 1, 2], 1.5, 2.0
@@ -36,6 +36,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, END_ID, WINDOW)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path, min_bytes=0)
+    out = warc.read_archives(spark, path)
+    return out.select(F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, MIX, MAX_EPOCHS)
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -100,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_fingerprints": op2_fingerprints,
         "op3_packing": op3_packing,
+        "op5_warc": op5_warc,
         "op7_mixing": op7_mixing,
         "op8_language_id": op8_language_id,
         "op9_sharding": op9_sharding,
