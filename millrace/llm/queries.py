@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, packing, quality, secrets, sharding, warc
+from . import langid, minhash, mixing, packing, quality, secrets, sharding, sigtree, warc
 from .common import new_folder, table
 
 #: Weights that the sources get in turn, and the share of all words that the mix has.
@@ -43,6 +43,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sigtree.similar_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, MIX, MAX_EPOCHS)
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -108,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_fingerprints": op2_fingerprints,
         "op3_packing": op3_packing,
         "op5_warc": op5_warc,
+        "op6_jaccard_join": op6_jaccard_join,
         "op7_mixing": op7_mixing,
         "op8_language_id": op8_language_id,
         "op9_sharding": op9_sharding,
