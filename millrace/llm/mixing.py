@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import key_hash, word_count
+from .quality import split_words
 
 #: Groups into which the documents of each source are dealt by hash.
 BUCKETS = 1 << 16
@@ -74,3 +75,22 @@ def mix(docs: DataFrame, weights: list[float], mix: float = 1.5, max_epochs: flo
         .withColumn("taken", F.col("whole") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), part)))
         .select("doc_id", "source", "size", "source_size", "target", "taken")
     )
+
+
+def repeat(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """docs as the mix takes them, with docs' columns. plan: what mix() says of docs.
+
+    A document of which k whole repetitions and some words more are taken gives k rows and one with those first words,
+    whose n_chars follows. What takes nothing goes. Rows with one doc_id are one document to the plan.
+    """
+    c, inner = F.col, list(docs.columns)
+    plan = plan.where("taken > 0").dropDuplicates(["doc_id"]).select(c("doc_id").alias("__id"), c("size").alias("__size"), c("taken").alias("__taken"))
+    rows = docs.join(plan, docs.doc_id.eqNullSafe(c("__id")))
+    whole, rest = F.floor(c("__taken") / c("__size")).cast("int"), (c("__taken") % c("__size")).cast("int")
+    each = F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    rows = rows.withColumn("__words", F.explode(each))
+    cut = F.concat_ws(" ", F.slice(split_words(c("text")), F.lit(1), F.greatest(c("__words"), F.lit(1))))
+    rows = rows.withColumn("text", F.when(c("__words") > 0, cut).otherwise(c("text")))
+    if "n_chars" in inner:
+        rows = rows.withColumn("n_chars", F.when(c("__words") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(c("n_chars")))
+    return rows.select(*inner)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, packing, quality, secrets, sharding, sigtree, warc
+from . import langid, minhash, mixing, packing, quality, secrets, sharding, sigtree, suffixes, warc
 from .common import new_folder, table
 
 #: Weights that the sources get in turn, and the share of all words that the mix has.
@@ -36,6 +36,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, END_ID, WINDOW)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.shared_passages(table(spark, sf_dir, "documents"), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return out.select("doc_id", F.col("start").alias("first_word"), F.col("stop").alias("end_word"), F.col("other").alias("other_doc_id"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path, min_bytes=0)
@@ -111,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_fingerprints": op2_fingerprints,
         "op3_packing": op3_packing,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_warc": op5_warc,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_mixing": op7_mixing,

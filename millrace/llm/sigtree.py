@@ -351,3 +351,14 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     named = classes.join(found, classes.rep == found.node, "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     out = slim.join(named, ["s1", "s2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row for each component: that of its smallest doc_id. Rows without doc_id stay, as nothing names them."""
+    found = written(similar_components(docs, k, percent), "components")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    again = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if not again.isEmpty():
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(*docs.columns)
