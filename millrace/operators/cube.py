@@ -13,9 +13,10 @@ from .spec import CubeSpec, epoch_seconds
 WEEK_START = 4 * 86_400
 
 
-def aggregate(df: DataFrame, dims: list[str], counts: dict[str, Column]) -> DataFrame:
-    """A row for each key; each count is the sum of a column (a literal 1 counts rows). Null is a key like any other."""
-    return df.groupBy(*dims).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(k) for k, c in counts.items()])
+def aggregate(df: DataFrame, dims: list[str], counts: dict[str, Column | int]) -> DataFrame:
+    """A row for each key; each count is the sum of a column (1 counts rows). Null is a key like any other."""
+    of = lambda c: F.lit(c) if isinstance(c, int) else c
+    return df.groupBy(*dims).agg(*[F.coalesce(F.sum(of(c)), F.lit(0)).cast("bigint").alias(k) for k, c in counts.items()])
 
 
 def bucket(seconds: Column, length: int) -> Column:
@@ -26,7 +27,7 @@ def bucket(seconds: Column, length: int) -> Column:
     return seconds - F.pmod(seconds - start, F.lit(length))
 
 
-def time_partitioned(df: DataFrame, spec: CubeSpec, counts: dict[str, Column], length: int = 1) -> DataFrame:
+def time_partitioned(df: DataFrame, spec: CubeSpec, counts: dict[str, Column | int], length: int = 1) -> DataFrame:
     """The cube of df with part_start: groups within tumbling partitions. Times are cut to seconds before they are keys."""
     rows = df.withColumn(spec.time_col, epoch_seconds(df, spec.time_col))
     return aggregate(rows.withColumn("part_start", bucket(F.col(spec.time_col), length)), ["part_start", *spec.dims], counts)

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import cubes, streams  # noqa: F401  (importing streams registers its queries)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(cubes.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(cubes.SQL)
