@@ -13,7 +13,7 @@ from ..operators.spec import CubeSpec, Dimension, Measure, epoch_seconds
 from ..operators.table import CubeTable
 from ..session import new_folder
 
-HOUR = 3600
+HOUR, DAY = 3600, 86_400
 EVENTS = CubeSpec("events", (Dimension("ts", "time"), Dimension("event_type")), (Measure("n"),))
 #: Events by hour and type.
 HOURLY = CubeSpec("events", (Dimension("hour", "time"), Dimension("event_type")), (Measure("n"), Measure("weight")))
@@ -43,10 +43,10 @@ def seconds_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with hour, weight = user_id % 7, and part_start = hour."""
+    """Events with hour, weight = user_id % 7, and part_start, the day."""
     events = read(spark, sf_dir, "events")
     hour = cube.bucket(epoch_seconds(events, "ts"), HOUR)
-    return events.withColumn("hour", hour).withColumn("part_start", F.col("hour")).withColumn("w", F.pmod("user_id", F.lit(7)))
+    return events.withColumn("hour", hour).withColumn("part_start", cube.bucket(hour, DAY)).withColumn("w", F.pmod("user_id", F.lit(7)))
 
 
 def hourly(rows: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def hourly(rows: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession) -> CubeTable:
-    return CubeTable(spark, new_folder(spark, "cube"), HOURLY, HOUR)
+    return CubeTable(spark, new_folder(spark, "cube"), HOURLY, DAY)
 
 
 E_SQL = "(SELECT *, floor(epoch(ts))::BIGINT AS s, floor(epoch(ts))::BIGINT // 3600 * 3600 AS hour, user_id % 7 AS w FROM events)"
@@ -90,13 +90,13 @@ def cube_partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT DISTINCT hour AS part_start, hour + 3599 AS part_stop, 'events_' || hour AS table_name FROM {E_SQL}""")
 def cube_partition_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cube.partition_bounds(hourly_rows(spark, sf_dir), "events", HOUR)
+    return cube.partition_bounds(hourly_rows(spark, sf_dir), "events", HOUR, part="hour")
 
 
 @query(H_SQL)
 def cube_merge_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hourly_rows(spark, sf_dir)
-    even = (F.col("hour") / HOUR % 2) == 0
+    even = (F.col("part_start") / DAY % 2) == 0
     return cube.merge_disjoint(hourly(rows.where(even)), hourly(rows.where(~even))).drop("part_start")
 
 
@@ -154,10 +154,10 @@ def cube_flush_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT * FROM ({H_SQL}) WHERE hour = (SELECT max(hour) FROM {E_SQL})""")
 def cube_top_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cube.top_partition(hourly(hourly_rows(spark, sf_dir))).drop("part_start")
+    return cube.top_partition(hourly(hourly_rows(spark, sf_dir)), "hour").drop("part_start")
 
 
-@query(f"""SELECT * FROM ({H_SQL}) WHERE hour < (SELECT max(hour) FROM {E_SQL})""")
+@query(f"""SELECT * FROM ({H_SQL}) WHERE hour < (SELECT max(hour) // 86400 * 86400 FROM {E_SQL})""")
 def cube_drop_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark)
     t.upsert(hourly(hourly_rows(spark, sf_dir)))

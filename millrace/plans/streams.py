@@ -12,7 +12,7 @@ from ..operators.table import CubeTable
 from ..session import new_folder
 from ..sources import framed, memory
 from ..streaming import pipeline
-from .cubes import COUNT, E_SQL, EVENTS, HOUR, query, read
+from .cubes import COUNT, DAY, E_SQL, EVENTS, HOUR, query, read
 
 # ---- maps
 
@@ -269,10 +269,10 @@ def metrics_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("op")).agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"))
 
 
-@query(f"""SELECT s // 3600 * 3600 AS part_start, s AS ts, event_type, count(*)::BIGINT AS n FROM {E_SQL} GROUP BY ALL""")
+@query(f"""SELECT s // 86400 * 86400 AS part_start, s AS ts, event_type, count(*)::BIGINT AS n FROM {E_SQL} GROUP BY ALL""")
 def cube_batch_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream of files into the cube's table, drained; equal to the batch result."""
-    table = CubeTable(spark, new_folder(spark, "stream-cube"), EVENTS, HOUR)
+    table = CubeTable(spark, new_folder(spark, "stream-cube"), EVENTS, DAY)
     schema = read(spark, sf_dir, "events").schema
     feed = new_folder(spark, "feed")
     read(spark, sf_dir, "events").repartition(3, "event_id").write.parquet(feed)
