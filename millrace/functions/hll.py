@@ -93,8 +93,9 @@ def hash_column(df: DataFrame, name: str) -> Column:
     return murmur(F.col(name).cast("binary"))
 
 
-def address_bytes(c: Column) -> Column:
+def address_bytes(c: Column | str) -> Column:
     """What counts of a binary network address: 4 bytes, or of 8 and more the first 8; of other lengths nothing."""
+    c = F.col(c) if isinstance(c, str) else c
     n = F.octet_length(c)
     return F.when(n == 4, c).when(n >= 8, F.substring(c, 1, 8))
 

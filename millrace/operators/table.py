@@ -102,7 +102,14 @@ class CubeTable:
         now = self.manifest()
         if batch is not None and now["applied"].get(writer, -1) >= batch:
             return False
-        delta = delta.select("part_start", *self.spec.columns)
+        # read twice below: its source is read once
+        delta = delta.select("part_start", *self.spec.columns).persist()
+        try:
+            return self._add(now, delta, writer, batch)
+        finally:
+            delta.unpersist()
+
+    def _add(self, now: dict, delta: DataFrame, writer: str, batch: int | None) -> bool:
         touched = [r[0] for r in delta.select("part_start").distinct().collect()]  # one number for each hour in a batch
         version = now["version"] + 1
         parts = dict(now["parts"])
