@@ -40,7 +40,8 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     ranked = lambda b: F.array_min(F.transform("__first", lambda x: F.struct(F.xxhash64(b, top(x)).alias("r"), x.alias("v"))))["v"]
     dense = F.transform("__slots", lambda x, b: F.coalesce(x, *[probe(b, k) for k in range(PROBES)], ranked(b)))
     fold = lambda j: F.aggregate(F.slice(c("__dense"), j * PER_LONG + 1, PER_LONG), F.lit(0).cast("bigint"), lambda a, x: F.shiftleft(a, LOW_BITS).bitwiseOR(x.bitwiseAND(F.lit(15).cast("bigint"))))
-    packed = F.transform(F.sequence(F.lit(0), F.lit(BINS // PER_LONG - 1)), fold)
+    # one by one, not in a lambda: the optimiser would move __dense into it and compute it for every long
+    packed = F.array(*[fold(j) for j in range(BINS // PER_LONG)])
     return (
         df.withColumn("__words", split_words(c(text)))
         .withColumn("__sorted", F.sort_array(shingle_hashes(c("__words")))).drop("__words")
