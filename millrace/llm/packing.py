@@ -9,8 +9,9 @@ Each task packs the rows of its partition as they come, so nothing is shuffled;
 only. At its end the open windows are poured together, so that all but one are full, and the tokens left over are cut into
 sequences whose lengths are powers of two, which need no padding.
 
-Tokens of a text are those of its parts between ASCII white space, which the tokenizer's normaliser and splitter never
-look across; parts are looked up in a bounded table of earlier ones.
+Tokens of a text are those of its parts: the pieces that the tokenizer's splitter makes of Latin text, else what stands between
+ASCII white space, which neither its normaliser nor its splitter looks across. Parts are looked up in a bounded table of
+earlier ones.
 
 Edge cases: a null or empty text is its end token alone; a null doc_id stays null; repeated rows are packed each; a document
 longer than a window spans several; an empty table or partition gives no rows; extra columns are not read.
@@ -30,17 +31,22 @@ from pyspark.sql import DataFrame
 
 from ..session import bound_batches, ship_code
 
-#: Parts of texts whose ids a worker remembers, and the length up to which a part is remembered.
-TABLE, LONGEST = 400_000, 64
+#: Documents that are encoded together.
+TOGETHER = 128
+#: Parts of texts whose ids a worker remembers (some 200 bytes each), and the length up to which a part is remembered.
+TABLE, LONGEST = 1_500_000, 64
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 SCHEMA = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
 PARTS = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+# The tokenizer's splitter, for lower-case texts of the first 256 code points, which its normaliser leaves alone.
+LETTERS, DIGITS, BLANKS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t\n\r\x0b\x0c\x85\xa0"
+LATIN = re.compile(f"[{LETTERS}]+|[{DIGITS}]|'(?:s|t|re|ve|m|ll|d)|[^{BLANKS}{LETTERS}{DIGITS}]+")
 
 Piece = tuple[int | None, int, bytes, int]  # doc_id, start, ids as bytes, doc_tokens
 
 
 class Encoder:
-    """Text to token ids, as little-endian 32-bit numbers."""
+    """Texts to token ids, as little-endian 32-bit numbers."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,17 +54,24 @@ class Encoder:
 
         self.tokenizer, self.table = Tokenizer.from_file(path), {}
 
-    def __call__(self, text: str) -> bytes:
-        parts = PARTS.findall(text)
-        try:
-            return b"".join(map(self.table.__getitem__, parts))
-        except KeyError:
-            pass
+    @staticmethod
+    def parts(text: str) -> list[str]:
+        if "<|" not in text:  # no special token
+            try:
+                text.encode("latin-1")
+                return LATIN.findall(text.lower())
+            except UnicodeEncodeError:
+                pass
+        return PARTS.findall(text)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Parts that are new to the table are encoded together."""
         if len(self.table) > TABLE:
             self.table.clear()
-        new = [p for p in dict.fromkeys(parts) if p not in self.table]
-        self.table |= {p: np.asarray(e.ids, "<u4").tobytes() for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
-        out = b"".join(map(self.table.__getitem__, parts))
+        split = [self.parts(t) for t in texts]
+        new = [p for p in set().union(*split) if p not in self.table]
+        self.table |= {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        out = [b"".join(map(self.table.__getitem__, parts)) for parts in split]
         for p in new:
             if len(p) > LONGEST:
                 del self.table[p]
@@ -145,8 +158,10 @@ def _task(path: str, end_id: int, size: int) -> Callable[[Iterator[pa.RecordBatc
 
         def windows() -> Iterator[list[Piece]]:
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    yield from packer.add(doc_id, encode(text.as_py() or "") + end)
+                for at in range(0, len(batch), TOGETHER):
+                    part = batch.slice(at, TOGETHER)
+                    for doc_id, ids in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                        yield from packer.add(doc_id, ids + end)
             yield from packer.close()
 
         out: list[tuple] = []
