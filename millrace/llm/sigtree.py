@@ -6,7 +6,9 @@
    depends on the larger set's size class; a set is keyed for its own class and the next. Small sets use all segments, which
    is exact; of large ones the first CAPPED are used, and a linked pair is missed with a probability under 3e-10. Sets
    with many empty segments are keyed by their single shingles as well. Each task emits a set once, however many copies it has.
-3. Sets that share a key form candidate groups (connected components). A group is cut into chunks of at most CHUNK sets. In
+3. Over the sets of each key's star (all that share a key with one set) a signature tree is descended by bitmaps alone: sets
+   whose bitmaps let them be similar stay together, in connected components, the candidate groups. A star of more than CHUNK
+   sets stays together whole. A group is cut into chunks of at most CHUNK sets. In
    a task, a signature tree stands over a chunk: nodes hold the OR of their sets' token bitmaps and the range of their
    sizes. Two trees, or one with itself, are descended together, and a pair of nodes is pruned if the overlap that they can
    have at most is less than the least that a link needs, or if all their sets are linked already. Pairs of sets that remain
@@ -38,9 +40,11 @@ from .shingles import mixed, shingle_set
 
 CAPPED, ALL = 48, 56
 CHUNK, CHUNK_SHINGLES = 1024, 2_000_000
-LEAF, FANOUT, BITS = 8, 4, 1024
+LEAF, FANOUT, BITS, MOST_BITS = 8, 4, 1024, 16_384
 #: Sets that a task remembers having keyed.
 SEEN = 500_000
+#: Up to so many sets are named to the scan of the texts by broadcast, more by shuffle.
+BROADCAST_SETS = 500_000
 
 
 # ---- candidate keys
@@ -50,36 +54,42 @@ class Keys:
     """Keys such that two sets whose similarity is at least t share one."""
 
     def __init__(self, t: Fraction) -> None:
-        self.t, self.bounds = t, [1]
-        while self.bounds[-1] < 1 << 40:
-            self.bounds.append(int(self.bounds[-1] / t) + 1)
+        self.t, bounds = t, [1]
+        while bounds[-1] < 1 << 40:
+            bounds.append(int(bounds[-1] / t) + 1)
+        self.bounds, self.table = np.array(bounds, np.int64), {}
 
     def segments(self, scheme: int) -> tuple[int, int]:
         """The segments of a size class, and how many of them may be empty."""
-        top = self.bounds[scheme + 1] - 1
+        top = int(self.bounds[scheme + 1]) - 1
         most = int(2 * top * (1 - self.t) / (1 + self.t))
         if not most:
             return 0, 0
         slack = 1 + (most + 1) // 32
         return most + 1 + slack, slack
 
+    def scheme(self, scheme: int) -> tuple[int, int, int, np.ndarray, np.uint64]:
+        """Segments, those that may be empty, those that are used, their last hashes, and a salt."""
+        if scheme not in self.table:
+            m, slack = self.segments(scheme)
+            used = m if m <= ALL else CAPPED
+            borders = [min(-(-(i << 64) // m), (1 << 64) - 1) for i in range(1, used + 1)]
+            self.table[scheme] = m, slack, used, np.array(borders, np.uint64), np.uint64((scheme * 0x9E3779B97F4A7C15 + 1) % (1 << 64))
+        return self.table[scheme]
+
     def __call__(self, tokens: np.ndarray) -> np.ndarray:
-        n = len(tokens)
+        n, out = len(tokens), []
         own = int(np.searchsorted(self.bounds, n, "right")) - 1
-        schemes = [own, own + 1] if int(n / self.t) >= self.bounds[own + 1] else [own]
-        out = []
-        for scheme in schemes:
-            m, slack = self.segments(scheme)
+        both = n * self.t.denominator // self.t.numerator >= self.bounds[own + 1]
+        for scheme in (own, own + 1) if both else (own,):
+            m, slack, used, borders, salt = self.scheme(scheme)
             if not m:
                 continue
-            used = m if m <= ALL else CAPPED
-            borders = [-(-(i << 64) // m) for i in range(1, used + 1)]
-            ends = np.searchsorted(tokens, np.array([min(b, (1 << 64) - 1) for b in borders], np.uint64))
+            ends = np.searchsorted(tokens, borders)
             if used == m:
                 ends[-1] = n
             starts = np.concatenate([[0], ends[:-1]])
             full = np.flatnonzero(ends > starts)
-            salt = np.uint64((scheme * 0x9E3779B97F4A7C15 + 1) % (1 << 64))
             if len(full):
                 sums = np.add.reduceat(mixed(tokens[: ends[-1]] ^ salt), starts[full])
                 out.append(mixed(sums + full.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
@@ -93,35 +103,28 @@ def set_ids(tokens: np.ndarray) -> tuple[int, int]:
     return (x - (1 << 64) if x >= 1 << 63 else x for x in (xxhash.xxh64_intdigest(data, 1), xxhash.xxh64_intdigest(data, 2)))
 
 
-def _slim(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                tokens = shingle_set(text.as_py(), k)
-                rows.append((len(tokens), *set_ids(tokens)))
-            n, s1, s2 = (pa.array(c, pa.int64()) for c in zip(*rows, strict=True)) if rows else [pa.array([], pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, s1, s2], names=["doc_id", "n", "s1", "s2"])
+def _described(k: int, t: Fraction) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """doc_id, size, hash and signature of the set, and its keys if the task has not met the set before."""
 
-    return run
-
-
-def _keyed(k: int, t: Fraction) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, seen = Keys(t), set()
+        nothing = np.zeros(0, np.uint64)
         for batch in batches:
-            found, owners = [], []
-            for text in batch.column(0):
+            rows, found, marks = [], [], []
+            for text in batch.column(1):
                 tokens = shingle_set(text.as_py(), k)
-                s1, _ = set_ids(tokens)
-                if not len(tokens) or s1 in seen:
-                    continue
-                if len(seen) < SEEN:
+                s1, s2 = set_ids(tokens)
+                rows.append((len(tokens), s1, s2))
+                marks.append(signature(tokens))
+                new = len(tokens) and s1 not in seen
+                if new and len(seen) < SEEN:
                     seen.add(s1)
-                found.append(keys(tokens))
-                owners.append(np.full(len(found[-1]), s1, np.int64))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(owners))], names=["key", "node"])
+                found.append(keys(tokens) if new else nothing)
+            if rows:
+                n, s1, s2 = (pa.array(c, pa.int64()) for c in zip(*rows, strict=True))
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), n, s1, s2, lists, pa.array(marks, pa.binary())], names=["doc_id", "n", "s1", "s2", "keys", "mark"])
 
     return run
 
@@ -129,21 +132,38 @@ def _keyed(k: int, t: Fraction) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 # ---- signature trees
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, bool)
-    bits[(tokens >> np.uint64(40)).astype(np.int64) % BITS] = True
-    return np.packbits(bits).view(np.uint64)
+def bitmap(tokens: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Bits at the tokens' hashes. bits: a power of two."""
+    out = np.zeros(bits, bool)
+    out[(tokens >> np.uint64(40)).astype(np.int64) % bits] = True
+    return np.packbits(out).view(np.uint64)
+
+
+def signature(tokens: np.ndarray) -> bytes:
+    """A bitmap of about two bits a token, from BITS to MOST_BITS."""
+    bits = BITS
+    while bits < MOST_BITS and bits < 2 * len(tokens):
+        bits *= 2
+    return bitmap(tokens, bits).tobytes()
+
+
+def folded(signatures: list[bytes]) -> np.ndarray:
+    """Signatures as rows of one width: longer ones are folded, which ORs what meets."""
+    width = min(map(len, signatures))
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 8), 0) for x in signatures])
 
 
 class Tree:
-    """Sets in order of size, in leaves of LEAF, under nodes of FANOUT. Level 0 holds the sets themselves."""
+    """Sets in order of size, in leaves of LEAF, under nodes of FANOUT. Level 0 holds the sets themselves.
+
+    sizes and ors: the sets' sizes and bitmaps. Without sets, what bitmaps allow counts as a link.
+    """
 
-    def __init__(self, ids: list[int], labels: list[int], sets: list[np.ndarray]) -> None:
-        order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), int(sets[i][0]), ids[i]))
-        self.ids, self.sets = [ids[i] for i in order], [sets[i] for i in order]
+    def __init__(self, ids: list[int], labels: list[int], sizes: list[int], ors: np.ndarray, sets: list[np.ndarray] | None = None) -> None:
+        order = sorted(range(len(ids)), key=lambda i: (sizes[i], ids[i]))
+        self.ids, self.sets = [ids[i] for i in order], sets and [sets[i] for i in order]
         self.labels = np.array([labels[i] for i in order], np.int64)
-        ors = np.stack([bitmap(s) for s in self.sets])
-        sizes = np.array([len(s) for s in self.sets], np.int64)
+        ors, sizes = ors[order], np.array([sizes[i] for i in order], np.int64)
         # what a set has more than bits: tokens that share one
         excess = sizes - np.bitwise_count(ors).sum(1, dtype=np.int64)
         self.levels = [(ors, sizes, sizes, excess, self.labels, self.labels)]
@@ -154,6 +174,10 @@ class Tree:
             self.levels.append((np.bitwise_or.reduceat(ors, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts), np.maximum.reduceat(excess, cuts), np.minimum.reduceat(first, cuts), np.maximum.reduceat(last, cuts)))
             width = FANOUT
 
+    @classmethod
+    def of_sets(cls, ids: list[int], labels: list[int], sets: list[np.ndarray]) -> Tree:
+        return cls(ids, labels, [len(s) for s in sets], np.stack([bitmap(s) for s in sets]), sets)
+
     def children(self, level: int) -> tuple[int, int]:
         """Children for each node of a level, and how many nodes the level below has."""
         return LEAF if level == 1 else FANOUT, len(self.levels[level - 1][0])
@@ -203,6 +227,10 @@ def linked(a: Tree, b: Tree, t: Fraction) -> Iterator[tuple[int, int]]:
                     u, v = union.find(int(a.labels[i])), union.find(int(b.labels[j]))
                     if u == v:
                         continue
+                    if a.sets is None:
+                        union.join(u, v)
+                        yield a.ids[i], b.ids[j]
+                        continue
                     m, n = a.sets[i], b.sets[j]
                     both = len(np.intersect1d(m, n, assume_unique=True))
                     if (p + q) * both >= p * (len(m) + len(n)):
@@ -233,6 +261,38 @@ def linked(a: Tree, b: Tree, t: Fraction) -> Iterator[tuple[int, int]]:
 # ---- rounds
 
 
+def _allowed(t: Fraction) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows hub, node, n, mark come sorted by hub. Pairs that connect the sets of a hub that their bitmaps let be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def groups() -> Iterator[list[tuple]]:
+            held: list[tuple] = []
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if held and held[0][0] != row[0]:
+                        yield held
+                        held = []
+                    held.append(row)
+            if held:
+                yield held
+
+        found: list[tuple[int, int]] = []
+        for rows in groups():
+            rows = list({r[1]: r for r in rows}.values())
+            ids = [r[1] for r in rows]
+            tree = Tree(ids, ids, [r[2] for r in rows], folded([r[3] for r in rows]))
+            found += linked(tree, tree, t)
+            if len(found) > 4096:
+                u, v = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                found = []
+        if found:
+            u, v = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
 def _sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,7 +322,7 @@ def _joined(t: Fraction) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
         for rows in tasks():
             sides = [[r for r in {r[2]: r for r in rows if r[1] == s}.values() if r[4]] for s in (0, 1)]
-            trees = [Tree([r[2] for r in s], [r[3] for r in s], [np.frombuffer(r[4], np.uint64) for r in s]) if s else None for s in sides]
+            trees = [Tree.of_sets([r[2] for r in s], [r[3] for r in s], [np.frombuffer(r[4], np.uint64) for r in s]) if s else None for s in sides]
             if trees[0] is None:
                 continue
             found = list(linked(trees[0], trees[1] if any(r[1] for r in rows) and trees[1] else trees[0], t)) if trees[1] or not any(r[1] for r in rows) else []
@@ -275,18 +335,27 @@ def _joined(t: Fraction) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 def _round(docs: DataFrame, plan: DataFrame, k: int, t: Fraction) -> DataFrame:
     """plan: task, side, rep, label. The links that the tasks find."""
-    wanted = plan.select("rep").distinct()
+    wanted = written(plan.select("rep").distinct(), "wanted")
+    if wanted.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS:
+        wanted = F.broadcast(wanted)
     sets = docs.join(wanted, docs.doc_id == wanted.rep, "left_semi").select("doc_id", "text").mapInArrow(_sets(k), "rep bigint, tokens binary")
     rows = plan.join(sets, "rep").select("task", "side", "rep", "label", "tokens").repartition("task").sortWithinPartitions("task", "side", "rep")
     return written(rows.mapInArrow(_joined(t), "u bigint, v bigint"), "links")
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """node, component for the classes that have links. docs: doc_id, text; classes: rep, n, s1."""
-    keys = docs.select("text").mapInArrow(_keyed(k, t), "key bigint, node bigint")
+def link_classes(docs: DataFrame, described: DataFrame, classes: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """node, component for the classes that have links. docs: doc_id, text; described: n, s1, keys, mark; classes: rep, n, s1."""
+    keys = described.select(F.explode("keys").alias("key"), F.col("s1").alias("node"))
     shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
-    edges = keys.join(shared, "key").where("hub <> node").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-    groups = components(edges)
+    stars = written(keys.join(shared, "key").where("hub <> node").select("hub", "node").distinct(), "stars")
+    # all sets of a key are in its hub's star: a tree of bitmaps over each star leaves what may link
+    sizes = stars.groupBy("hub").agg(F.count("*").alias("c"))
+    small, large = sizes.where(F.col("c") < CHUNK).select("hub"), sizes.where(F.col("c") >= CHUNK).select("hub")
+    marks = described.where("n > 0").groupBy(F.col("s1").alias("node")).agg(F.first("n").alias("n"), F.first("mark").alias("mark"))
+    inner = stars.join(small, "hub")
+    inner = inner.unionByName(inner.select("hub", F.col("hub").alias("node")).distinct()).join(marks, "node").select("hub", "node", "n", "mark")
+    inner = inner.repartition("hub").sortWithinPartitions("hub").mapInArrow(_allowed(t), "u bigint, v bigint")
+    groups = components(inner.unionByName(stars.join(large, "hub").select(F.col("hub").alias("u"), F.col("node").alias("v"))))
     members = classes.join(groups, classes.s1 == groups.node).select("rep", "n", F.col("component").alias("grp"))
     bins = members.withColumn("bin", F.floor(F.log(F.col("n")) / F.log(F.lit(1.1))).cast("int"))
     bins = written(bins, "members")
@@ -345,9 +414,10 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     ship_code(spark)
     bound_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    slim = written(docs.mapInArrow(_slim(k), "doc_id bigint, n bigint, s1 bigint, s2 bigint"), "sets")
+    described = written(docs.mapInArrow(_described(k, t), "doc_id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>, mark binary"), "sets")
+    slim = described.drop("keys", "mark")
     classes = slim.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    found = link_classes(docs, classes.where("rep is not null"), k, t)
+    found = link_classes(docs, described, classes.where("rep is not null"), k, t)
     named = classes.join(found, classes.rep == found.node, "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     out = slim.join(named, ["s1", "s2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
