@@ -134,8 +134,11 @@ def sample(docs: DataFrame, per_lang: int) -> list[tuple[str, str]]:
     return sorted({(r["h"], r["lang"], r["text"]) for r in rows.collect()})
 
 
-def identify(docs: DataFrame, train: DataFrame, per_lang: int = 300, keep: list[str] | None = None) -> DataFrame:
-    """Adds lang_pred and score to docs (text, and the columns in keep: doc_id unless given). train: doc_id, text, lang."""
+def identify(docs: DataFrame, train: DataFrame, per_lang: int = 300, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the language and its score, under these names, to docs (text, and the columns in keep: doc_id unless given).
+
+    train: doc_id, text, lang.
+    """
     ship_code(docs.sparkSession)
     bound_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
@@ -147,8 +150,8 @@ def identify(docs: DataFrame, train: DataFrame, per_lang: int = 300, keep: list[
                 part = batch.slice(at, 256)
                 found = score(part.column(part.num_columns - 1).to_pylist(), model.value)
                 added = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *added], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *added], names=[*keep, *names])
 
     fields: Callable[[str], str] = lambda c: f"`{c}` {docs.schema[c].dataType.simpleString()}"
-    schema = ", ".join([*map(fields, keep), "lang_pred string", "score double"])
+    schema = ", ".join([*map(fields, keep), f"`{names[0]}` string", f"`{names[1]}` double"])
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
