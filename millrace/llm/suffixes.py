@@ -156,7 +156,8 @@ def shared_passages(docs: DataFrame, partitions: int) -> DataFrame:
     ship_code(docs.sparkSession)
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
-    heads = docs.mapInArrow(_heads, "head bigint, doc_id bigint, place int")
+    # written, as it is read twice: the texts are hashed once
+    heads = written(docs.mapInArrow(_heads, "head bigint, doc_id bigint, place int"), "heads")
     shared = heads.groupBy("head").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("head")
     chosen = heads.join(shared, "head", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     array = docs.join(chosen, "doc_id").select("doc_id", "text", "places").mapInArrow(_contexts, "head bigint, after binary, before binary, doc_id bigint, place int")
