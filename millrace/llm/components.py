@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+#: Up to so many pairs (16 bytes each) are handled in one task, which needs no exchange in any round.
+IN_ONE_TASK = 200_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: u, v (bigint). node, component (the smallest node reachable) for every node that has an edge.
 
@@ -18,13 +22,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     pairs = written(pairs, "pairs")
-    before = None
+    few, before = pairs.count() <= IN_ONE_TASK, None
     while True:
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        together = lambda a, b: a.unionByName(b).coalesce(1) if few else a.unionByName(b)
+        both = together(pairs, pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
+        small = together(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), least.select("u", F.col("m").alias("v")))
         pairs = written(small.where("u <> v").distinct(), "pairs")
         # stars only: every edge leads to the smallest node, which leads nowhere
         sums = pairs.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint"))).first()
