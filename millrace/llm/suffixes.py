@@ -8,8 +8,11 @@ words is decided. Suffixes whose head stands in one document only are dropped be
 
 Sorted suffixes are compared with their NEIGHBOURS next ones: from the common head, the match is extended right and left, and it
 counts if it has MIN_WORDS words or more and stands in two documents. Longer passages are covered by their several places. The array
-is range-partitioned with ties broken by document and place, so that a head that a third of all documents have is split; the
-ends of the partitions are compared once more among themselves.
+is range-partitioned with ties broken by document and place; the ends of the partitions are compared once more among themselves.
+
+Neighbours are all suffixes of a head that has NEIGHBOURS + 1 rows at most. Those of a more common head are not in the array: each
+gives the hashes of all windows of MIN_WORDS words around its head, and the windows that stand in two documents are the matches.
+Both ways are exact, but for equal hashes of unequal words.
 
 Edge cases: null or empty texts, and those under MIN_WORDS words, have no passages; rows with a null doc_id are ignored; rows
 with one doc_id are one document; passages that repeat only within a document don't count; very long texts are taken whole; an
@@ -63,14 +66,28 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32))], names=["head", "doc_id", "place"])
 
 
+def windows_around(places: np.ndarray, n: int) -> np.ndarray:
+    """Starts of the windows of MIN_WORDS words, among n, that hold a head at one of these places."""
+    starts = np.unique(places[:, None] - np.arange(SIDE + 1))
+    return starts[(starts >= 0) & (starts <= n - MIN_WORDS)]
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["head", "after", "before", "doc_id", "place"]
+    """Rows of the array, whose window is null, and of the windows around common heads, where place is the window's start."""
+    names = ["head", "after", "before", "doc_id", "place", "window"]
     for batch in batches:
         for at in range(0, len(batch), 64):
             part = batch.slice(at, 64)
-            rows = []
-            for doc_id, text, chosen in zip(part.column(0).to_pylist(), part.column(1), part.column(2), strict=True):
+            rows, hashes, ids, starts = [], [], [], []
+            for doc_id, text, chosen, common in zip(part.column(0).to_pylist(), part.column(1), part.column(2), part.column(3), strict=True):
                 words = word_hashes(text.as_py() or "")
+                if len(common.values):
+                    around = windows_around(common.values.to_numpy(), len(words))
+                    hashes.append(rolled(words, MIN_WORDS)[around])
+                    starts.append(around)
+                    ids.append(np.full(len(around), doc_id, np.int64))
+                if not len(chosen.values):
+                    continue
                 heads = rolled(words, HEAD).view(np.int64)
                 codes = np.ascontiguousarray(words.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - CODE :])
                 back = codes[::-1].tobytes()
@@ -79,9 +96,14 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if p < len(heads):
                         end = (n - p) * CODE
                         rows.append((int(heads[p]), codes[(p + HEAD) * CODE : (p + HEAD + SIDE) * CODE], back[end : end + SIDE * CODE], doc_id, p))
+            types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32())
             if rows:
-                types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(rows), pa.int64())], names=names)
+            if ids:
+                columns = [pa.array(np.concatenate(c).astype(k)) for c, k in ((ids, np.int64), (starts, np.int32), (hashes, np.uint64))]
+                columns[2] = columns[2].view(pa.int64())
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(columns[0]), t) for t in types[:3]), *columns], names=names)
 
 
 def common_prefix(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -158,14 +180,22 @@ def shared_passages(docs: DataFrame, partitions: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
     # written, as it is read twice: the texts are hashed once
     heads = written(docs.mapInArrow(_heads, "head bigint, doc_id bigint, place int"), "heads")
-    shared = heads.groupBy("head").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("head")
-    chosen = heads.join(shared, "head", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    array = docs.join(chosen, "doc_id").select("doc_id", "text", "places").mapInArrow(_contexts, "head bigint, after binary, before binary, doc_id bigint, place int")
+    shared = heads.groupBy("head").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b")
+    shared = shared.select("head", (F.col("n") > NEIGHBOURS + 1).alias("common"))
+    of = lambda common: F.collect_set(F.when(F.col("common") == common, F.col("place")))
+    chosen = heads.join(shared, "head").groupBy("doc_id").agg(of(False).alias("places"), of(True).alias("common"))
     keys = ["head", "after", "before", "doc_id", "place"]
-    array = array.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
+    rows = docs.join(chosen, "doc_id").select("doc_id", "text", "places", "common")
+    # written, as the range partitioning reads its input twice and the windows are read twice too
+    rows = written(rows.mapInArrow(_contexts, "head bigint, after binary, before binary, doc_id bigint, place int, window bigint"), "contexts")
+    array = rows.where("window is null").select(*keys).repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
     found = written(array.mapInArrow(_neighbours(True), MATCHES), "matches")
     ends = found.where("head is not null").select(*keys).distinct().coalesce(1).sortWithinPartitions(*keys)
     found = found.where("head is null").unionByName(ends.mapInArrow(_neighbours(False), MATCHES)).select("doc_id", "start", "stop", "other")
+    windows = rows.where("window is not null").select("window", "doc_id", F.col("place").alias("start"))
+    twice = windows.groupBy("window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    other = F.when(F.col("a") == F.col("doc_id"), F.col("b")).otherwise(F.col("a")).alias("other")
+    found = found.unionByName(windows.join(twice, "window").select("doc_id", "start", (F.col("start") + MIN_WORDS).alias("stop"), other))
     # overlapping matches of a document become one passage
     found = found.groupBy("doc_id", "start", "stop").agg(F.min("other").alias("other"))
     by = Window.partitionBy("doc_id").orderBy("start", "stop")

@@ -214,6 +214,24 @@ def test_planted_passages(spark):
     assert out == brute.repeated_words(texts) and set(out) == set(range(60))
 
 
+def test_passages_at_common_heads(spark):
+    draw = random.Random(2)
+    some = lambda n: [f"u{draw.randrange(10**9)}" for _ in range(n)]
+    phrase, pairs, texts = some(40), [some(12) for _ in range(100)], {}
+    for i in range(200):  # documents i and i + 100 have the same words before the phrase that all have
+        texts[i] = " ".join([*some(20), *pairs[i % 100], *phrase, *some(30)])
+    paragraph = some(60)
+    texts |= {1000 + i: " ".join(w for _ in range(15) for w in [*paragraph, *some(7)]) for i in range(3)}
+    texts |= {2000 + i: texts[1000] for i in range(2)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(5)
+    rows = suffixes.shared_passages(df, 6).collect()
+    assert covered(rows) == brute.repeated_words(texts) and len(covered(rows)) == 205
+    all_words = {d: brute.words(t) for d, t in texts.items()}
+    for r in rows:
+        grams = {tuple(all_words[r["other"]][i : i + 50]) for i in range(len(all_words[r["other"]]) - 49)}
+        assert r["other"] != r["doc_id"] and any(tuple(all_words[r["doc_id"]][i : i + 50]) in grams for i in range(r["start"], r["stop"] - 49))
+
+
 # ---- 5
 
 
