@@ -16,14 +16,11 @@ from millrace.llm import langid, mixing, packing, secrets, sigtree
 from millrace.llm.common import table, written
 from millrace.llm.queries import END_ID, MAX_EPOCHS, MIX, TOKENIZER, WEIGHTS, WINDOW
 
-#: A document goes if no known language gets this score (1 is certain, 0.5 undecided), or if it has no letters.
-LEAST_SCORE = 0.3
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones have. Learns from docs' own labels."""
-    found = langid.identify(docs, docs.select("doc_id", "text", "lang"), keep=docs.columns, names=("__lang", "__score"))
-    return found.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents in a language that the labelled ones have. Learns from docs' own labels; one without letters goes too."""
+    found = langid.identify(docs, docs.select("doc_id", "text", "lang"), keep=docs.columns, names=("__lang", "__score"), reject=True)
+    return found.where(F.col("__lang") != langid.UNKNOWN).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,13 @@ The classifier is fitted on a bounded sample: for each language the ``per_lang``
 characters that come first by a hash of doc_id (the number of languages is taken to be small). The model, some MB whatever the
 corpus, is broadcast.
 
+A text in none of the languages gets a label too, unless ``reject`` is asked for: then it is ``und`` with score 0. It must be as
+much like what was learned as held-out labelled texts of its length are: in its largest kernel value to a landmark, and in
+the margin between the first and the second language (if there are two). The bounds are EASE times what all but TAIL of the
+held-out texts reach, cut to each of LENGTHS. Passages are judged one by one and averaged, and what fails is judged
+again in passages of PIECE letters, so that a text in two learned languages stays. The bounds are low for texts of a line: those
+in unlearned languages with the same letters stay there. With fewer than LEAST_HELD held-out texts there are no bounds.
+
 Edge cases: a null text, or one without a letter, is ``und`` with score 0, as is every text if there is nothing to learn
 from; rows with null lang are not learned from; repeated rows get a row each; an empty table gives an empty result; extra
 columns are not read.
@@ -37,6 +44,9 @@ PASSAGE, BATCH = 2048, 64
 LANDMARKS, RIDGE = 128, 0.1
 MIN_CHARS, MAX_CHARS = 100, 10_000
 UNKNOWN = "und"
+#: For rejection: every HELD-th sample is held out.
+HELD, LEAST_HELD, TAIL, EASE, PIECE = 5, 8, 0.01, 0.7, 320
+LENGTHS = (10, 20, 40, 80, 160, 320, 640, 1280, 2048)
 
 
 @cache
@@ -53,9 +63,9 @@ def clean(text: str) -> np.ndarray:
     return points[keep]
 
 
-def passages(points: np.ndarray) -> list[np.ndarray]:
-    """Runs of PASSAGE points; a last one of under half that length joins the one before."""
-    n = max(1, round(len(points) / PASSAGE))
+def passages(points: np.ndarray, size: int = PASSAGE) -> list[np.ndarray]:
+    """Runs of about size points; a last one of under half that length joins the one before."""
+    n = max(1, round(len(points) / size))
     return [p for p in np.array_split(points, n) if (p != 32).any()]
 
 
@@ -125,6 +135,48 @@ def score(texts: list[str | None], model: tuple[list[str], np.ndarray, np.ndarra
     return [(langs[k], float(min(1, max(0, (m[k] + 1) / 2)))) if n else (UNKNOWN, 0.0) for m, k, n in zip(mean, mean.argmax(1), sizes, strict=True)]
 
 
+def evidence(parts: list[np.ndarray], model: tuple[list[str], np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each passage: its largest kernel value to a landmark, the margin of its language, and the language's number."""
+    langs, marks, weights = model
+    out = np.zeros((len(parts), 3))
+    for at in range(0, len(parts), BATCH):
+        near = features(parts[at : at + BATCH]) @ marks.T
+        said = near @ weights
+        order = np.sort(said, 1)
+        out[at : at + BATCH] = np.stack([near.max(1), order[:, -1] - order[:, -2] if len(langs) > 1 else np.full(len(said), np.inf), said.argmax(1)], 1)
+    return out
+
+
+def bounds(samples: list[tuple[str, str]]) -> np.ndarray | None:
+    """Rows of letters, least kernel value, least margin: from a model of the samples that are not held out."""
+    held = samples[::HELD]
+    model = fit([x for i, x in enumerate(samples) if i % HELD])
+    if model is None or len(held) < LEAST_HELD:
+        return None
+    texts = [(lang, clean(text)) for lang, text in held if lang in model[0]]
+    rows = []
+    for n in LENGTHS:
+        of, parts = zip(*[(model[0].index(k), p[:n]) for k, p in texts if len(p) >= n] or [(0, np.zeros(0, np.uint32))], strict=True)
+        if len(parts) >= LEAST_HELD:
+            found = evidence(list(parts), model)
+            right = found[found[:, 2] == np.array(of)]
+            if len(right) >= LEAST_HELD:
+                rows.append((n, *(EASE * np.quantile(right[:, :2], TAIL, axis=0, method="lower"))))
+    return np.array(rows) if rows else None
+
+
+def learned(text: str, model: tuple[list[str], np.ndarray, np.ndarray], least: np.ndarray) -> bool:
+    """Whether a text with letters is like what was learned."""
+    for size in (PASSAGE, PIECE):
+        parts = passages(clean(text), size)
+        lengths = np.array([len(p) for p in parts], float)
+        found = evidence(parts, model)[:, :2]
+        wanted = np.stack([np.interp(np.log(lengths), np.log(least[:, 0]), least[:, k]) if np.isfinite(least[:, k]).all() else np.zeros(len(parts)) for k in (1, 2)], 1)
+        if (lengths @ found >= lengths @ wanted).all():
+            return True
+    return False
+
+
 def sample(docs: DataFrame, per_lang: int) -> list[tuple[str, str]]:
     """docs: doc_id, text, lang."""
     fit_for = docs.where(F.col("lang").isNotNull() & F.length("text").between(MIN_CHARS, MAX_CHARS))
@@ -134,21 +186,26 @@ def sample(docs: DataFrame, per_lang: int) -> list[tuple[str, str]]:
     return sorted({(r["h"], r["lang"], r["text"]) for r in rows.collect()})
 
 
-def identify(docs: DataFrame, train: DataFrame, per_lang: int = 300, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def identify(docs: DataFrame, train: DataFrame, per_lang: int = 300, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score"), reject: bool = False) -> DataFrame:
     """Adds the language and its score, under these names, to docs (text, and the columns in keep: doc_id unless given).
 
-    train: doc_id, text, lang.
+    train: doc_id, text, lang. reject: a text that is not like what was learned is UNKNOWN with score 0.
     """
     ship_code(docs.sparkSession)
     bound_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
-    model = docs.sparkSession.sparkContext.broadcast(fit([(lang, text) for _, lang, text in sample(train, per_lang)]))
+    samples = [(lang, text) for _, lang, text in sample(train, per_lang)]
+    model = docs.sparkSession.sparkContext.broadcast(fit(samples))
+    least = bounds(samples) if reject else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                found = score(part.column(part.num_columns - 1).to_pylist(), model.value)
+                texts = part.column(part.num_columns - 1).to_pylist()
+                found = score(texts, model.value)
+                if least is not None:
+                    found = [x if x[0] == UNKNOWN or learned(t, model.value, least) else (UNKNOWN, 0.0) for t, x in zip(texts, found, strict=True)]
                 added = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *added], names=[*keep, *names])
 
