@@ -7,9 +7,9 @@ them, K, a passage x is represented by K(x, landmarks) K^(-1/2) (Nyström), and
 against the rest is fitted there. A text is cut into passages, which are scored in batches by two matrix products; their
 scores are averaged by length, over the whole text.
 
-The classifier is fitted on a bounded sample: for each language the ``per_lang`` labelled texts of MIN_CHARS to MAX_CHARS
-characters that come first by a hash of doc_id (the number of languages is taken to be small). The model, some MB whatever the
-corpus, is broadcast.
+The classifier is fitted on a bounded sample: for each language the ``per_lang`` labelled texts that come first by a hash of
+doc_id, those of MIN_CHARS to MAX_CHARS characters before shorter and longer ones, and MOST_SAMPLES in all. The model, some MB
+whatever the corpus, is broadcast.
 
 A text in none of the languages gets a label too, unless ``reject`` is asked for: then it is ``und`` with score 0. It must be as
 much like what was learned as held-out labelled texts of its length are: in its largest kernel value to a landmark, and in
@@ -35,14 +35,17 @@ from pyspark.sql import functions as F
 
 from ..session import bound_batches, ship_code
 from .common import key_hash
+from .memo import own
 
 #: Places for the n-grams of n = 1, 2, 3.
-DIMS = (512, 2048, 4096)
-STARTS = (0, 512, 2560)
+DIMS = (1024, 4096, 16384)
+STARTS = (0, 1024, 5120)
 TOTAL = sum(DIMS)
 PASSAGE, BATCH = 2048, 64
 LANDMARKS, RIDGE = 128, 0.1
 MIN_CHARS, MAX_CHARS = 100, 10_000
+#: Texts that are learned from, in all languages together (MAX_CHARS characters at most each).
+MOST_SAMPLES = 6000
 UNKNOWN = "und"
 #: For rejection: every HELD-th sample is held out.
 HELD, LEAST_HELD, TAIL, EASE, PIECE = 5, 8, 0.01, 0.7, 320
@@ -76,8 +79,13 @@ def places(points: np.ndarray) -> np.ndarray:
     h1 = a * one
     h2 = h1[:-1] ^ (a[1:] * two)
     h3 = h2[:-1] ^ (a[2:] * three)
-    mixed = [(h * one) >> np.uint32(33 - d.bit_length()) for h, d in zip((h1, h2, h3), DIMS, strict=True)]
-    return np.concatenate([m.astype(np.int32) + s for m, s in zip(mixed, STARTS, strict=True)])
+
+    def spread(h: np.ndarray) -> np.ndarray:
+        h = (h ^ (h >> np.uint32(15))) * two
+        h = (h ^ (h >> np.uint32(13))) * three
+        return h ^ (h >> np.uint32(16))
+
+    return np.concatenate([(spread(h) >> np.uint32(33 - d.bit_length())).astype(np.int32) + s for h, d, s in zip((h1, h2, h3), DIMS, STARTS, strict=True)])
 
 
 def features(parts: list[np.ndarray]) -> np.ndarray:
@@ -178,11 +186,20 @@ def learned(text: str, model: tuple[list[str], np.ndarray, np.ndarray], least: n
 
 
 def sample(docs: DataFrame, per_lang: int) -> list[tuple[str, str]]:
-    """docs: doc_id, text, lang."""
-    fit_for = docs.where(F.col("lang").isNotNull() & F.length("text").between(MIN_CHARS, MAX_CHARS))
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = fit_for.select("lang", "doc_id", key_hash(F.col("doc_id"), seed=8).alias("h")).withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_lang)
-    rows = fit_for.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id", "lang", "h").distinct()), ["doc_id", "lang"])
+    """docs: doc_id, text, lang. The first texts of each language by hash, those of MIN_CHARS to MAX_CHARS characters before others;
+    of a longer one MAX_CHARS characters from its middle. MOST_SAMPLES texts in all: with more languages each gets fewer."""
+    letters_in = F.length(F.trim("text")) > 0
+    slim = docs.where(F.col("lang").isNotNull() & letters_in).select("lang", "doc_id", key_hash(F.col("doc_id"), seed=8).alias("h"), F.length("text").alias("n"))
+    slim = slim.withColumn("odd", ~F.col("n").between(MIN_CHARS, MAX_CHARS))
+    langs = slim.select("lang").distinct().limit(MOST_SAMPLES + 1).count()
+    if langs > MOST_SAMPLES:
+        raise ValueError(f"more than {MOST_SAMPLES} languages")
+    each = max(1, min(per_lang, MOST_SAMPLES // max(1, langs)))
+    first = Window.partitionBy("lang").orderBy("odd", "h", "doc_id", "n")
+    ids = slim.withColumn("k", F.row_number().over(first)).where(F.col("k") <= each).select("lang", "doc_id", "h", "n").distinct()
+    start = F.greatest(F.lit(0), F.floor((F.length("text") - MAX_CHARS) / 2).cast("int")) + 1
+    rows = docs.select("doc_id", "lang", F.length("text").alias("n"), F.substring("text", start, F.lit(MAX_CHARS)).alias("text"))
+    rows = rows.join(F.broadcast(ids), ["doc_id", "lang", "n"])  # MOST_SAMPLES rows at most
     return sorted({(r["h"], r["lang"], r["text"]) for r in rows.collect()})
 
 
@@ -194,21 +211,24 @@ def identify(docs: DataFrame, train: DataFrame, per_lang: int = 300, keep: list[
     ship_code(docs.sparkSession)
     bound_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
+    sent = keep if "text" in keep else [*keep, "text"]
+    at_text = sent.index("text")
     samples = [(lang, text) for _, lang, text in sample(train, per_lang)]
     model = docs.sparkSession.sparkContext.broadcast(fit(samples))
     least = bounds(samples) if reject else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("langid")
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                texts = part.column(part.num_columns - 1).to_pylist()
+                texts = part.column(at_text).to_pylist()
                 found = score(texts, model.value)
                 if least is not None:
                     found = [x if x[0] == UNKNOWN or learned(t, model.value, least) else (UNKNOWN, 0.0) for t, x in zip(texts, found, strict=True)]
                 added = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *added], names=[*keep, *names])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *added], names=[*keep, *names])
 
     fields: Callable[[str], str] = lambda c: f"`{c}` {docs.schema[c].dataType.simpleString()}"
     schema = ", ".join([*map(fields, keep), f"`{names[0]}` string", f"`{names[1]}` double"])
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema)

@@ -71,30 +71,48 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), ((BINS - apart) / F.lit(float(BINS)) - chance) / (1 - chance))
 
 
+#: Borders that are compared with a key at once, at each level of a search.
+FAN = 32
+
+
+def borders_up_to(key: Column, borders: list[int]) -> Column:
+    """How many of the sorted borders are at most key: a search tree over a literal array, of about FAN * log(borders) / log(FAN) comparisons."""
+    whole = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+    if len(borders) <= FAN:
+        return F.size(F.filter(whole(borders), lambda x: x <= key)) if borders else F.lit(0)
+    # levels of every FAN-th border, then what lies between two of them
+    levels = [borders]
+    while len(levels[-1]) > FAN:
+        levels.append(levels[-1][FAN - 1 :: FAN])
+    at = F.size(F.filter(whole(levels[-1]), lambda x: x <= key))
+    for level in reversed(levels[:-1]):
+        at = at * FAN + F.size(F.filter(F.slice(whole(level), at * FAN + 1, F.lit(FAN)), lambda x: x <= key))
+    return at
+
+
 def with_next(df: DataFrame, key: str, carried: list[str], buckets: int) -> DataFrame:
     """Adds next_<c> for each carried column: its value in the row with the next larger key; after the last comes the first.
 
     Rows are dealt into ranges of the key, whose borders are existing keys (approximate quantiles: as many numbers as there
     are ranges come to the driver). The first row of each range also visits the range before it, as a guest at its end.
-    Null keys come first; rows with equal keys are ordered by the carried columns.
+    Null keys come first; rows with equal keys are ordered by a hash of the carried columns.
     """
     quantiles = [F.lit(i / buckets) for i in range(1, buckets)]
     found = df.agg(F.min(key).alias("low"), F.percentile_approx(key, F.array(*quantiles), F.lit(50 * buckets)).alias("q") if quantiles else F.lit(None).alias("q"), F.count_if(F.col(key).isNull()).alias("nulls")).first()
     borders = sorted({x for x in [found["low"], *(found["q"] or [])] if x is not None})
-    if found["nulls"] or not borders:
-        borders = [None, *borders]
-    limits = F.array(*[F.lit(x).cast("bigint") for x in borders if x is not None]) if borders != [None] else F.array().cast("array<bigint>")
-    at = F.size(F.filter(limits, lambda x: x <= F.col(key))) - (0 if borders[0] is None else 1)
-    head = F.coalesce(F.col(key) == F.get(limits, F.col("__at") - (1 if borders[0] is None else 0)), F.col(key).isNull())
+    # ranges: that of null keys, if there are any, and one from each border on
+    ranges, nulls = max(1, len(borders) + bool(found["nulls"])), 1 if found["nulls"] else 0
+    upto = F.when(F.col(key).isNull(), F.lit(0)).otherwise(borders_up_to(F.col(key), borders) - 1 + nulls)
+    starts = F.split(F.lit(",".join(map(str, borders))), ",").cast("array<bigint>") if borders else F.array().cast("array<bigint>")
+    head = F.coalesce(F.col(key) == F.get(starts, F.col("__at") - nulls), F.col(key).isNull())
     homes = F.array(F.struct(F.col("__at").alias("at"), F.lit(0).alias("guest")))
-    visits = F.array(F.struct(F.pmod(F.col("__at") - 1, F.lit(len(borders))).alias("at"), F.lit(1).alias("guest")))
-    # a null key's filter() is empty: it stands in range 0
-    dealt = df.withColumn("__at", F.when(F.col(key).isNull(), F.lit(0)).otherwise(at)).withColumn("__to", F.explode(F.when(head, F.concat(homes, visits)).otherwise(homes)))
-    by = Window.partitionBy("__bucket").orderBy("__guest", F.col(key).asc_nulls_first(), *carried)
-    dealt = dealt.withColumn("__bucket", F.col("__to.at")).withColumn("__guest", F.col("__to.guest")).drop("__to", "__at")
+    visits = F.array(F.struct(F.pmod(F.col("__at") - 1, F.lit(ranges)).alias("at"), F.lit(1).alias("guest")))
+    dealt = df.withColumn("__at", upto.cast("int")).withColumn("__to", F.explode(F.when(head, F.concat(homes, visits)).otherwise(homes)))
+    by = Window.partitionBy("__bucket").orderBy("__guest", F.col(key).asc_nulls_first(), "__tie")
+    dealt = dealt.withColumn("__bucket", F.col("__to.at")).withColumn("__guest", F.col("__to.guest")).withColumn("__tie", F.xxhash64(*carried)).drop("__to", "__at")
     for c in carried:
         dealt = dealt.withColumn(f"next_{c}", F.lead(c).over(by))
-    return dealt.where("__guest = 0").drop("__bucket", "__guest")
+    return dealt.where("__guest = 0").drop("__bucket", "__guest", "__tie")
 
 
 def compare_with_next(docs: DataFrame, buckets: int) -> DataFrame:

@@ -52,15 +52,16 @@ def targets(sources: DataFrame, weights: list[float], mix: float, max_epochs: fl
     )
 
 
-def mix(docs: DataFrame, weights: list[float], mix: float = 1.5, max_epochs: float = 2.0, seed: int = 7, size: Column | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for each row of docs (doc_id, text, source)."""
+def mix(docs: DataFrame, weights: list[float], mix: float = 1.5, max_epochs: float = 2.0, seed: int = 7, size: Column | None = None, row: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for each row of docs (doc_id, text, source). row: a struct of the row under this name."""
+    carried = [] if row is None else [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.xxhash64("text").alias("__tie")]
     slim = docs.select(
         F.col("doc_id"), F.col("source").cast("string").alias("source"),
-        (word_count(F.col("text")) if size is None else size).alias("size"), key_hash(F.col("doc_id"), seed=seed).alias("h"),
+        (word_count(F.col("text")) if size is None else size).alias("size"), key_hash(F.col("doc_id"), seed=seed).alias("h"), *carried,
     ).withColumn("bucket", F.shiftright("h", HASH_BITS - 16).cast("int"))
-    in_bucket = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    slim = slim.withColumn("before", F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
+    in_bucket = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", *(["__tie"] if carried else [])).rowsBetween(Window.unboundedPreceding, -1)
     sums = slim.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    slim = slim.withColumn("before", F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
     plan = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, mix, max_epochs)
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("bucket_before", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)))
@@ -71,26 +72,27 @@ def mix(docs: DataFrame, weights: list[float], mix: float = 1.5, max_epochs: flo
     part = F.round("target").cast("long") - F.col("whole") * F.col("source_size") - F.col("bucket_before") - F.col("before")
     return (
         d.join(s, F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.bucket") == F.col("s.bucket")))
-        .select("d.doc_id", "d.source", "size", "source_size", "target", "bucket_before", "before", whole.alias("whole"))
+        .select("d.doc_id", "d.source", "size", "source_size", "target", "bucket_before", "before", whole.alias("whole"), *([row] if row else []))
         .withColumn("taken", F.col("whole") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), part)))
-        .select("doc_id", "source", "size", "source_size", "target", "taken")
+        .select("doc_id", "source", "size", "source_size", "target", "taken", *([row] if row else []))
     )
 
 
-def repeat(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """docs as the mix takes them, with docs' columns. plan: what mix() says of docs.
+def repeat(docs: DataFrame, weights: list[float], mix_share: float = 1.5, max_epochs: float = 2.0, seed: int = 7) -> DataFrame:
+    """docs as the mix takes them, with docs' columns.
 
     A document of which k whole repetitions and some words more are taken gives k rows and one with those first words,
-    whose n_chars follows. What takes nothing goes. Rows with one doc_id are one document to the plan.
+    whose n_chars follows. What takes nothing goes. Rows carry their own share of the plan, so null and repeated doc_ids are rows
+    like others; among rows of one doc_id and size, the text's hash decides which one is cut.
     """
-    c, inner = F.col, list(docs.columns)
-    plan = plan.where("taken > 0").dropDuplicates(["doc_id"]).select(c("doc_id").alias("__id"), c("size").alias("__size"), c("taken").alias("__taken"))
-    rows = docs.join(plan, docs.doc_id.eqNullSafe(c("__id")))
-    whole, rest = F.floor(c("__taken") / c("__size")).cast("int"), (c("__taken") % c("__size")).cast("int")
+    c = F.col
+    plan = mix(docs, weights, mix_share, max_epochs, seed, row="__row").where("taken > 0")
+    whole, rest = F.floor(c("taken") / c("size")).cast("int"), (c("taken") % c("size")).cast("int")
     each = F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    rows = rows.withColumn("__words", F.explode(each))
-    cut = F.concat_ws(" ", F.slice(split_words(c("text")), F.lit(1), F.greatest(c("__words"), F.lit(1))))
-    rows = rows.withColumn("text", F.when(c("__words") > 0, cut).otherwise(c("text")))
-    if "n_chars" in inner:
-        rows = rows.withColumn("n_chars", F.when(c("__words") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(c("n_chars")))
-    return rows.select(*inner)
+    rows = plan.select("__row", F.explode(each).alias("__words"))
+    cut = F.concat_ws(" ", F.slice(split_words(c("__row.text")), F.lit(1), F.greatest(c("__words"), F.lit(1))))
+    rows = rows.withColumn("__text", F.when(c("__words") > 0, cut).otherwise(c("__row.text")))
+    new = {"text": c("__text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(c("__words") > 0, F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(c("__row.n_chars"))
+    return rows.select(*[new.get(x, c(f"__row.`{x}`")).alias(x) for x in docs.columns])

@@ -5,9 +5,11 @@ counts of partly filled windows smallest: ``counts[h]`` is the number of open wi
 that goes into a window at level h changes the sum by what counts[h] loses and counts[h + s] gains. Equal changes go to the
 fullest window.
 
-Each task packs the rows of its partition as they come, so nothing is shuffled; a task holds the ids of its open windows
-only. At its end the open windows are poured together, so that all but one are full, and the tokens left over are cut into
-sequences whose lengths are powers of two, which need no padding.
+Each task packs the rows of its partition as they come, so nothing is shuffled. A task holds the ids of its open windows only,
+and of MOST_OPEN windows at most. At its end, or at that bound, the open windows are topped up: with q times the window's size and r
+tokens in them, the q fullest keep what the rule has put into them and are filled with the contents of the others, cut as it fits.
+The r tokens that are left stay open, or at the end are cut into sequences whose lengths are powers of two, which need no
+padding. ``by_rule`` says of each piece whether it lies where the rule (or the cut into whole windows) has put it.
 
 Tokens of a text are those of its parts: the pieces that the tokenizer's splitter makes of Latin text, else what stands between
 ASCII white space, which neither its normaliser nor its splitter looks across. Parts are looked up in a bounded table of
@@ -30,19 +32,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ..session import bound_batches, ship_code
+from .memo import Memo, own
 
 #: Documents that are encoded together.
 TOGETHER = 128
 #: Parts of texts whose ids a worker remembers (some 200 bytes each), and the length up to which a part is remembered.
-TABLE, LONGEST = 1_500_000, 64
-PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-SCHEMA = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
+TABLE, LONGEST = 300_000, 64
+#: Open windows that a task holds (16 KB each, if full).
+MOST_OPEN = 2048
+PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, by_rule boolean"
+SCHEMA = pa.schema([(c.split()[0], pa.bool_() if c.endswith("boolean") else pa.int64()) for c in PIECES.split(", ")])
 PARTS = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 # The tokenizer's splitter, for lower-case texts of the first 256 code points, which its normaliser leaves alone.
 LETTERS, DIGITS, BLANKS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t\n\r\x0b\x0c\x85\xa0"
 LATIN = re.compile(f"[{LETTERS}]+|[{DIGITS}]|'(?:s|t|re|ve|m|ll|d)|[^{BLANKS}{LETTERS}{DIGITS}]+")
 
-Piece = tuple[int | None, int, bytes, int]  # doc_id, start, ids as bytes, doc_tokens
+Piece = tuple[int | None, int, bytes, int, bool]  # doc_id, start, ids as bytes, doc_tokens, by_rule
 
 
 class Encoder:
@@ -52,7 +57,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.table = Tokenizer.from_file(path), {}
+        self.tokenizer, self.table = Tokenizer.from_file(path), Memo("packing", TABLE)
 
     @staticmethod
     def parts(text: str) -> list[str]:
@@ -66,16 +71,14 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Parts that are new to the table are encoded together."""
-        if len(self.table) > TABLE:
-            self.table.clear()
         split = [self.parts(t) for t in texts]
-        new = [p for p in set().union(*split) if p not in self.table]
-        self.table |= {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        out = [b"".join(map(self.table.__getitem__, parts)) for parts in split]
-        for p in new:
-            if len(p) > LONGEST:
-                del self.table[p]
-        return out
+        known = {p: self.table[p] for p in set().union(*split) if self.table.has(p)}
+        new = [p for p in set().union(*split) if p not in known]
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[p] = ids = np.array(e.ids, "<u4").tobytes()
+            if len(p) <= LONGEST:
+                self.table.put(p, ids)
+        return [b"".join(map(known.__getitem__, parts)) for parts in split]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -91,10 +94,11 @@ def encoder(path: str) -> Encoder:
 class Packer:
     """Windows of size tokens. add() returns the windows that are complete, close() all that are left."""
 
-    def __init__(self, size: int) -> None:
-        self.size = size
+    def __init__(self, size: int, most_open: int = MOST_OPEN) -> None:
+        self.size, self.most_open = size, most_open
         self.counts = np.zeros(size + 1, np.int64)
         self.open: dict[int, list[list[Piece]]] = {}
+        self.windows = 0
 
     def level(self, s: int) -> int:
         """The fill level for an item of s < size tokens; 0 for a new window."""
@@ -111,7 +115,7 @@ class Packer:
         n, wide = len(ids) // 4, self.size * 4
         whole = n // self.size
         for k in range(whole):
-            yield [(doc_id, k * self.size, ids[k * wide : (k + 1) * wide], n)]
+            yield [(doc_id, k * self.size, ids[k * wide : (k + 1) * wide], n, True)]
         s = n - whole * self.size
         if not s:
             return
@@ -120,26 +124,57 @@ class Packer:
         if h:
             window = self.open[h].pop()
             self.counts[h] -= 1
-        window.append((doc_id, whole * self.size, ids[whole * wide :], n))
+            self.windows -= 1
+        window.append((doc_id, whole * self.size, ids[whole * wide :], n, True))
         if h + s == self.size:
             yield window
-        else:
-            self.open.setdefault(h + s, []).append(window)
-            self.counts[h + s] += 1
+            return
+        self._hold(h + s, window)
+        if self.windows > self.most_open:
+            full, rest = self._topped()
+            yield from full
+            if rest:
+                self._hold(sum(len(p[2]) // 4 for p in rest), rest)
+
+    def _hold(self, level: int, window: list[Piece]) -> None:
+        self.open.setdefault(level, []).append(window)
+        self.counts[level] += 1
+        self.windows += 1
+
+    def _topped(self) -> tuple[list[list[Piece]], list[Piece]]:
+        """Closes all windows: as many full ones as there are tokens for, the fullest of the open ones; and the pieces that are left."""
+        held = [(h, w) for h in sorted(self.open, reverse=True) for w in self.open[h]]
+        full = sum(h for h, _ in held) // self.size
+        self.open, self.windows = {}, 0
+        self.counts[:] = 0
+        cut = [(*p[:4], False) for _, w in reversed(held[full:]) for p in w][::-1]
+        out = []
+        for h, window in held[:full]:
+            room = self.size - h
+            while room:
+                doc_id, start, ids, n, _ = cut.pop()
+                take = min(room, len(ids) // 4)
+                window.append((doc_id, start, ids[: take * 4], n, False))
+                if take * 4 < len(ids):
+                    cut.append((doc_id, start + take, ids[take * 4 :], n, False))
+                room -= take
+            out.append(window)
+        return out, cut
 
     def close(self) -> Iterator[list[Piece]]:
-        left = sum(int(h * c) for h, c in enumerate(self.counts))
-        pieces = (p for h in sorted(self.open, reverse=True) for w in self.open[h] for p in w)
-        rest: Piece | None = None
+        full, rest = self._topped()
+        yield from full
+        left = sum(len(p[2]) // 4 for p in rest)
         while left:
-            room = self.size if left >= self.size else 1 << (left.bit_length() - 1)
+            room = 1 << (left.bit_length() - 1)
             left -= room
             window = []
             while room:
-                doc_id, start, ids, n = rest or next(pieces)
+                doc_id, start, ids, n, _ = rest.pop()
                 take = min(room, len(ids) // 4)
-                window.append((doc_id, start, ids[: take * 4], n))
-                rest = (doc_id, start + take, ids[take * 4 :], n) if take * 4 < len(ids) else None
+                window.append((doc_id, start, ids[: take * 4], n, False))
+                if take * 4 < len(ids):
+                    rest.append((doc_id, start + take, ids[take * 4 :], n, False))
                 room -= take
             yield window
 
@@ -147,13 +182,14 @@ class Packer:
 def _rows(windows: Iterable[list[Piece]], first: int) -> Iterator[tuple]:
     for k, window in enumerate(windows):
         at = 0
-        for doc_id, start, ids, n in window:
-            yield doc_id, start, len(ids) // 4, zlib.crc32(ids), n, first + k, at
+        for doc_id, start, ids, n, by_rule in window:
+            yield doc_id, start, len(ids) // 4, zlib.crc32(ids), n, first + k, at, by_rule
             at += len(ids) // 4
 
 
 def _task(path: str, end_id: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("packing")
         encode, packer, end = encoder(path), Packer(size), np.asarray([end_id], "<u4").tobytes()
 
         def windows() -> Iterator[list[Piece]]:
@@ -168,10 +204,10 @@ def _task(path: str, end_id: int, size: int) -> Callable[[Iterator[pa.RecordBatc
         for row in _rows(windows(), TaskContext.get().partitionId() << 32):
             out.append(row)
             if len(out) == 8192:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=SCHEMA)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
 
     return run
 

@@ -1,15 +1,14 @@
 """Quality rules from the lines that documents of one host share. DataFrame functions only.
 
 A line is normalised (lower case, runs of white space to one space, ends trimmed) and hashed. For each host and line the
-distinct documents are counted, where exact copies of a text count as one document: copies are for deduplication to judge.
-Lines in more than ``max_docs`` documents of a host are removed. A document is depleted, and rejected, if fewer than
+distinct documents (doc_ids) are counted, exact copies among them. Lines in more than ``max_docs`` documents of a host are removed. A document is depleted, and rejected, if fewer than
 ``min_words`` words or less than ``min_share`` of its words are left.
 
 All is computed in the scan's tasks but for the line counts, which are summed in each task before they are shuffled by
-(host, line, text). The removed lines are broadcast if they are few (``BROADCAST_LINES``), else joined by shuffle.
+(host, line, doc_id) and then by (host, line). The removed lines are broadcast if they are few (``BROADCAST_LINES``), else joined by shuffle.
 
 Edge cases: a null or empty text has no words or lines and fails the base rules; a null host is a host of its own; repeated
-rows each get a row, and count as one text; a document in one long line is one line; an empty table gives an empty result;
+rows each get a row, and rows of one doc_id count as one document; rows with a null doc_id count each; a document in one long line is one line; an empty table gives an empty result;
 extra columns are not read.
 """
 
@@ -73,11 +72,12 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, max_docs: int) -> DataFrame:
-    """host, line (hash) of the lines in more than max_docs distinct texts of a host. docs has host, t."""
-    lines = docs.select("host", F.xxhash64("t").alias("text"), F.explode(F.array_distinct(F.transform(_lines(F.col("t")), _line_hash))).alias("line"))
+    """host, line (hash) of the lines in more than max_docs documents of a host. docs has doc_id, host, t."""
+    lines = docs.select("doc_id", "host", F.explode(F.array_distinct(F.transform(_lines(F.col("t")), _line_hash))).alias("line"))
+    unnamed = F.count_if(F.col("doc_id").isNull())
     return (
-        lines.groupBy("host", "line").agg(F.count_distinct("text").alias("texts"))
-        .where(F.col("texts") > max_docs).select("host", "line")
+        lines.groupBy("host", "line", "doc_id").agg(unnamed.alias("unnamed")).groupBy("host", "line")
+        .agg((F.count("doc_id") + F.sum("unnamed")).alias("documents")).where(F.col("documents") > max_docs).select("host", "line")
     )
 
 

@@ -38,7 +38,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.shared_passages(table(spark, sf_dir, "documents"), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return out.select("doc_id", F.col("start").alias("first_word"), F.col("stop").alias("end_word"), F.col("other").alias("other_doc_id"))
+    return out.select("doc_id", F.col("start").alias("first_word"), F.col("stop").alias("end_word"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,9 +80,9 @@ w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
 g AS (SELECT rid, p, ws[p] AS a, ws[p + 1] AS b, ws[p + 2] AS c FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS p FROM w)),
 r AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, a, b, c) AS k FROM g) WHERE k > 1),
 m AS (SELECT rid, count(DISTINCT q) AS n FROM (SELECT rid, unnest([p, p + 1, p + 2]) AS q FROM r) GROUP BY rid),
-l AS (SELECT rid, source, t, trim(lower(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line,
-             len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT rid, source, t, unnest(ls) AS x FROM w)),
-b AS (SELECT source, line FROM l GROUP BY source, line HAVING count(DISTINCT t) > 20),
+l AS (SELECT rid, doc_id, source, trim(lower(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line,
+             len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT rid, doc_id, source, unnest(ls) AS x FROM w)),
+b AS (SELECT source, line FROM l GROUP BY source, line HAVING count(DISTINCT doc_id) + count(DISTINCT CASE WHEN doc_id IS NULL THEN rid END) > 20),
 k AS (SELECT rid, sum(n) AS n FROM l WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.line = l.line AND b.source IS NOT DISTINCT FROM l.source) GROUP BY rid),
 f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
              length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
@@ -111,6 +111,63 @@ SELECT doc_id, size, source_size, target,
 """
 
 
+OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
+w1 AS (SELECT rid, doc_id, unnest(range(1, len(ws) + 1)) AS p, hash(unnest(ws)) AS h1 FROM d),
+w2 AS (SELECT *, hash(h1, lead(h1) OVER w) AS h2 FROM w1 WINDOW w AS (PARTITION BY rid ORDER BY p)),
+w4 AS (SELECT *, hash(h2, lead(h2, 2) OVER w) AS h4 FROM w2 WINDOW w AS (PARTITION BY rid ORDER BY p)),
+w8 AS (SELECT *, hash(h4, lead(h4, 4) OVER w) AS h8 FROM w4 WINDOW w AS (PARTITION BY rid ORDER BY p)),
+w16 AS (SELECT *, hash(h8, lead(h8, 8) OVER w) AS h16 FROM w8 WINDOW w AS (PARTITION BY rid ORDER BY p)),
+w32 AS (SELECT *, hash(h16, lead(h16, 16) OVER w) AS h32 FROM w16 WINDOW w AS (PARTITION BY rid ORDER BY p)),
+g AS (SELECT doc_id, p, hash(h32, lead(h16, 32) OVER w, lead(h2, 48) OVER w) AS h, lead(p, 49) OVER w AS e FROM w32 WINDOW w AS (PARTITION BY rid ORDER BY p)),
+s AS (SELECT h FROM g WHERE e IS NOT NULL GROUP BY h HAVING min(doc_id) < max(doc_id)),
+m AS (SELECT DISTINCT doc_id, p FROM g SEMI JOIN s USING (h) WHERE e IS NOT NULL),
+r AS (SELECT *, coalesce(p > 50 + lag(p) OVER w, true)::INT AS new FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS passage FROM r)
+SELECT doc_id, min(p)::BIGINT - 1 AS first_word, max(p)::BIGINT + 49 AS end_word FROM k GROUP BY doc_id, passage
+"""
+
+OP5_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS x FROM p),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY x, payload_bytes) AS last FROM h)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(x, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4)))::INT & 31) + 1, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = last OR last IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = last OR last IS NULL THEN NULL ELSE last END AS refers_to FROM q
+"""
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT rid, len(ws) AS n, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS x FROM d),
+g AS (SELECT rid, n, p, hash(x, lead(x) OVER v, lead(x, 2) OVER v, lead(x, 3) OVER v) AS x FROM w WINDOW v AS (PARTITION BY rid ORDER BY p)),
+t AS (SELECT DISTINCT rid, x FROM g WHERE p <= n - 3 OR n < 4 AND p = 1),
+s AS (SELECT rid, count(*) AS n, hash(list(x ORDER BY x)) AS id FROM t GROUP BY rid),
+c AS (SELECT id, min(rid) AS rid, min(n) AS n, min(doc_id) AS rep FROM s JOIN d USING (rid) GROUP BY id),
+u AS (SELECT c.id, c.n, t.x FROM c JOIN t USING (rid)),
+o AS (SELECT a.id AS u, b.id AS v FROM u a JOIN u b ON a.x = b.x AND a.id < b.id AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+      GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT u, v FROM o UNION SELECT v, u FROM o),
+r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u),
+m AS (SELECT r.u, min(c.rep) AS rep FROM r JOIN c ON c.id = r.v GROUP BY r.u)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(least(c.rep, m.rep), d.doc_id) AS component_id
+FROM d LEFT JOIN s USING (rid) LEFT JOIN c ON c.id = s.id LEFT JOIN m ON m.u = s.id
+"""
+
+
+def op9_sql() -> str:
+    """The table comes as a list, the way a broadcast brings it; test_lookup_table_equals_a_plain_fill says how it is filled."""
+    table = sharding.lookup_table(SHARDS)
+    return f"""
+WITH t AS (SELECT [{",".join(map(str, table))}] AS owner),
+d AS (SELECT doc_id, ((('0x' || substr(md5('11|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT) % {sharding.SLOTS})::INT AS slot FROM documents)
+SELECT doc_id, slot, 'shard-' || lpad(owner[slot + 1]::VARCHAR, 3, '0') AS shard FROM d, t
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -127,4 +184,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op7_mixing": OP7_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op4_suffix_dedup": OP4_SQL, "op5_warc": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op7_mixing": OP7_SQL, "op9_sharding": op9_sql()}

@@ -6,7 +6,7 @@ shards differ by one slot at most, and a shard that comes or goes moves few slot
 and is broadcast; a key's slot is its hash modulo that prime.
 
 Edge cases: a null key has a slot of its own, as the empty string has; repeated keys go to one shard; an empty table gives
-an empty result; columns of the input are not read except for the key.
+an empty result; columns of the input are not read except for the key, and of two columns of one name the added one stays.
 """
 
 from __future__ import annotations
@@ -42,11 +42,15 @@ def lookup_table(shards: list[str], slots: int = SLOTS) -> array:
                 return table
 
 
-def place(df: DataFrame, key: Column, shards: list[str], slots: int = SLOTS, seed: int = 11) -> DataFrame:
-    """Adds slot (int) and shard (string) to df. The table that is broadcast has a row for each slot, whatever df's size."""
+def place(df: DataFrame, key: Column, shards: list[str], slots: int = SLOTS, seed: int = 11, names: tuple[str, str] = ("slot", "shard")) -> DataFrame:
+    """Adds slot (int) and shard (string) to df under these names; df's own columns of these names are replaced.
+
+    The table that is broadcast has a row for each slot, whatever df's size.
+    """
     table = [(i, shards[k]) for i, k in enumerate(lookup_table(shards, slots))]
-    slot_of = df.sparkSession.createDataFrame(table, "slot int, shard string")
-    return df.withColumn("slot", (key_hash(key, seed=seed) % slots).cast("int")).join(F.broadcast(slot_of), "slot")
+    slot_of = df.sparkSession.createDataFrame(table, "__slot int, __shard string")
+    rows = df.withColumn("__slot", (key_hash(key, seed=seed) % slots).cast("int")).drop(*names)
+    return rows.join(F.broadcast(slot_of), "__slot").withColumnsRenamed({"__slot": names[0], "__shard": names[1]})
 
 
 def write_shards(placed: DataFrame, path: str, tasks_per_shard: int = 4) -> None:

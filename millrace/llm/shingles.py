@@ -7,24 +7,16 @@ import re
 import numpy as np
 import xxhash
 
+from .memo import Memo
+
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Words whose hashes a worker remembers.
-TABLE = 400_000
+TABLE = 200_000
 FACTOR, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 S33 = np.uint64(33)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > TABLE:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_hashes = _Hashes()
+_hashes = Memo("shingles", TABLE, xxhash.xxh64_intdigest, lambda word: len(word) <= 64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -3,9 +3,9 @@
 1. Texts with equal shingle sets become one class, whose smallest doc_id stands for it.
 2. Sets that can be similar are brought together. Hash space is cut into m segments, one more than two linked sets can have
    different shingles, plus some for segments that are empty: so at least one segment has the same shingles in both. m
-   depends on the larger set's size class; a set is keyed for its own class and the next. Small sets use all segments, which
-   is exact; of large ones the first CAPPED are used, and a linked pair is missed with a probability under 3e-10. Sets
-   with many empty segments are keyed by their single shingles as well. Each task emits a set once, however many copies it has.
+   depends on the larger set's size class; a set is keyed for its own class and the next, by all segments: by the pigeonhole
+   principle linked sets of any size share a key. Sets with many empty segments are keyed by their single shingles as
+   well. Each task emits a set once, however many copies it has.
 3. Over the sets of each key's star (all that share a key with one set) a signature tree is descended by bitmaps alone: sets
    whose bitmaps let them be similar stay together, in connected components, the candidate groups. A star of more than CHUNK
    sets stays together whole. A group is cut into chunks of at most CHUNK sets. In
@@ -19,7 +19,7 @@
 
 Edge cases: a null or empty text has an empty set and links with nothing; a text of fewer than k words is one shingle; equal
 texts link; a null doc_id is never what a component is named after, and such rows link through their equals only; rows with
-one doc_id are one document; very long texts are taken whole; an empty table gives an empty result; extra columns aren't read.
+one doc_id are one document, which its texts link together, and one_of_each keeps the row with the smallest hash; very long texts are taken whole; an empty table gives an empty result; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -30,19 +30,19 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import bound_batches, ship_code
 from .common import written
 from .components import components
+from .memo import own
 from .shingles import mixed, shingle_set
 
-CAPPED, ALL = 48, 56
 CHUNK, CHUNK_SHINGLES = 1024, 2_000_000
 LEAF, FANOUT, BITS, MOST_BITS = 8, 4, 1024, 16_384
 #: Sets that a task remembers having keyed.
-SEEN = 500_000
+SEEN = 200_000
 #: Up to so many sets are named to the scan of the texts by broadcast, more by shuffle.
 BROADCAST_SETS = 500_000
 
@@ -68,13 +68,12 @@ class Keys:
         slack = 1 + (most + 1) // 32
         return most + 1 + slack, slack
 
-    def scheme(self, scheme: int) -> tuple[int, int, int, np.ndarray, np.uint64]:
-        """Segments, those that may be empty, those that are used, their last hashes, and a salt."""
+    def scheme(self, scheme: int) -> tuple[int, int, np.ndarray, np.uint64]:
+        """Segments, those that may be empty, where they end, and a salt."""
         if scheme not in self.table:
             m, slack = self.segments(scheme)
-            used = m if m <= ALL else CAPPED
-            borders = [min(-(-(i << 64) // m), (1 << 64) - 1) for i in range(1, used + 1)]
-            self.table[scheme] = m, slack, used, np.array(borders, np.uint64), np.uint64((scheme * 0x9E3779B97F4A7C15 + 1) % (1 << 64))
+            borders = [min(-(-(i << 64) // m), (1 << 64) - 1) for i in range(1, m + 1)]
+            self.table[scheme] = m, slack, np.array(borders, np.uint64), np.uint64((scheme * 0x9E3779B97F4A7C15 + 1) % (1 << 64))
         return self.table[scheme]
 
     def __call__(self, tokens: np.ndarray) -> np.ndarray:
@@ -82,18 +81,17 @@ class Keys:
         own = int(np.searchsorted(self.bounds, n, "right")) - 1
         both = n * self.t.denominator // self.t.numerator >= self.bounds[own + 1]
         for scheme in (own, own + 1) if both else (own,):
-            m, slack, used, borders, salt = self.scheme(scheme)
+            m, slack, borders, salt = self.scheme(scheme)
             if not m:
                 continue
             ends = np.searchsorted(tokens, borders)
-            if used == m:
-                ends[-1] = n
+            ends[-1] = n
             starts = np.concatenate([[0], ends[:-1]])
             full = np.flatnonzero(ends > starts)
             if len(full):
-                sums = np.add.reduceat(mixed(tokens[: ends[-1]] ^ salt), starts[full])
+                sums = np.add.reduceat(mixed(tokens ^ salt), starts[full])
                 out.append(mixed(sums + full.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-            if used == m and used - len(full) > slack:
+            if m - len(full) > slack:
                 out.append(mixed(tokens + salt))
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
@@ -107,6 +105,7 @@ def _described(k: int, t: Fraction) -> Callable[[Iterator[pa.RecordBatch]], Iter
     """doc_id, size, hash and signature of the set, and its keys if the task has not met the set before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("shingles")
         keys, seen = Keys(t), set()
         nothing = np.zeros(0, np.uint64)
         for batch in batches:
@@ -295,6 +294,7 @@ def _allowed(t: Fraction) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 def _sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("shingles")
         for batch in batches:
             for at in range(0, len(batch), 64):
                 part = batch.slice(at, 64)
@@ -321,7 +321,8 @@ def _joined(t: Fraction) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 yield held
 
         for rows in tasks():
-            sides = [[r for r in {r[2]: r for r in rows if r[1] == s}.values() if r[4]] for s in (0, 1)]
+            # rows with one doc_id and several texts are sets of one name
+            sides = [[r for r in {(r[2], r[4]): r for r in rows if r[1] == s}.values() if r[4]] for s in (0, 1)]
             trees = [Tree.of_sets([r[2] for r in s], [r[3] for r in s], [np.frombuffer(r[4], np.uint64) for r in s]) if s else None for s in sides]
             if trees[0] is None:
                 continue
@@ -430,5 +431,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     kept = docs.join(gone, "doc_id", "left_anti")
     again = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if not again.isEmpty():
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        best = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[F.xxhash64(c) for c in docs.columns if c not in ("doc_id", "text")])
+        one = kept.join(again, "doc_id", "left_semi").withColumn("__best", F.row_number().over(best)).where("__best = 1").drop("__best")
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(one)
     return kept.select(*docs.columns)

@@ -9,6 +9,7 @@ words is decided. Suffixes whose head stands in one document only are dropped be
 Sorted suffixes are compared with their NEIGHBOURS next ones: from the common head, the match is extended right and left, and it
 counts if it has MIN_WORDS words or more and stands in two documents. Longer passages are covered by their several places. The array
 is range-partitioned with ties broken by document and place; the ends of the partitions are compared once more among themselves.
+``matches`` gives every match with its other document; ``shared_passages`` joins what the matches of a document cover.
 
 Neighbours are all suffixes of a head that has NEIGHBOURS + 1 rows at most. Those of a more common head are not in the array: each
 gives the hashes of all windows of MIN_WORDS words around its head, and the windows that stand in two documents are the matches.
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import bound_batches, ship_code
 from .common import written
+from .memo import own
 from .shingles import rolled, word_hashes
 
 MIN_WORDS, GRAM, WINDOW = 50, 8, 24
@@ -51,6 +53,7 @@ def minimisers(words: np.ndarray) -> np.ndarray:
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own("shingles")
     for batch in batches:
         for at in range(0, len(batch), 128):
             part = batch.slice(at, 128)
@@ -74,6 +77,7 @@ def windows_around(places: np.ndarray, n: int) -> np.ndarray:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of the array, whose window is null, and of the windows around common heads, where place is the window's start."""
+    own("shingles")
     names = ["head", "after", "before", "doc_id", "place", "window"]
     for batch in batches:
         for at in range(0, len(batch), 64):
@@ -122,14 +126,15 @@ MATCHES = "doc_id bigint, start int, stop int, other bigint, head bigint, after
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("other", pa.int64()), ("head", pa.int64()), ("after", pa.binary()), ("before", pa.binary()), ("place", pa.int32())])
 
 
-def _neighbours(seams: bool):  # noqa: ANN202
-    """Matches of sorted suffixes with the next ones. seams: give the partition's first and last suffixes too."""
+def _neighbours(seams: bool, each: bool):  # noqa: ANN202
+    """Matches of sorted suffixes with the next ones. seams: give the partition's first and last suffixes too. each: a row for each
+    match; else one for each suffix, from where its matches start to where they stop: all of them hold its head."""
 
     def matches(t: pa.Table) -> pa.RecordBatch:
         head, doc, place = (t.column(c).to_numpy() for c in ("head", "doc_id", "place"))
         after, na = _padded(t.column("after").combine_chunks())
         before, nb = _padded(t.column("before").combine_chunks())
-        out = []
+        out, start, stop = [], place.copy(), np.zeros_like(place)
         for d in range(1, NEIGHBOURS + 1):
             i = np.flatnonzero((head[:-d] == head[d:]) & (doc[:-d] != doc[d:])) if len(head) > d else np.zeros(0, np.int64)
             if not len(i):
@@ -139,7 +144,14 @@ def _neighbours(seams: bool):  # noqa: ANN202
             left = common_prefix(before[i], before[j], nb[i], nb[j])
             ok = right + left + HEAD >= MIN_WORDS
             i, j, right, left = i[ok], j[ok], right[ok], left[ok]
-            out += [(doc[x], place[x] - left, place[x] + HEAD + right, doc[y]) for x, y in ((i, j), (j, i))]
+            for x, y in ((i, j), (j, i)):
+                if each:
+                    out.append((doc[x], place[x] - left, place[x] + HEAD + right, doc[y]))
+                else:
+                    start[x], stop[x] = np.minimum(start[x], place[x] - left), np.maximum(stop[x], place[x] + HEAD + right)
+        if not each:
+            some = np.flatnonzero(stop)
+            out.append((doc[some], start[some], stop[some], doc[some]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
         n = len(cols[0])
         return pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(cols, (np.int64, np.int32, np.int32, np.int64), strict=True)] + [pa.nulls(n, f.type) for f in list(_SCHEMA)[4:]], schema=_SCHEMA)
@@ -170,18 +182,16 @@ def _neighbours(seams: bool):  # noqa: ANN202
     return run
 
 
-def shared_passages(docs: DataFrame, partitions: int) -> DataFrame:
-    """doc_id, start, stop (words) of the passages of docs (doc_id, text) that stand in another document too, which is other.
-
-    partitions: of the suffix array.
-    """
+def _found(docs: DataFrame, partitions: int, each: bool) -> tuple[DataFrame, DataFrame]:
+    """What the array's neighbours have in common (doc_id, start, stop, other), and the windows around common heads (window, doc_id, start)."""
     ship_code(docs.sparkSession)
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
     # written, as it is read twice: the texts are hashed once
     heads = written(docs.mapInArrow(_heads, "head bigint, doc_id bigint, place int"), "heads")
     shared = heads.groupBy("head").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b")
-    shared = shared.select("head", (F.col("n") > NEIGHBOURS + 1).alias("common"))
+    # written, so that both sides of the join are plain shuffles, in which Spark splits the rows of a very common head
+    shared = written(shared.select("head", (F.col("n") > NEIGHBOURS + 1).alias("common")), "shared")
     of = lambda common: F.collect_set(F.when(F.col("common") == common, F.col("place")))
     chosen = heads.join(shared, "head").groupBy("doc_id").agg(of(False).alias("places"), of(True).alias("common"))
     keys = ["head", "after", "before", "doc_id", "place"]
@@ -189,16 +199,32 @@ def shared_passages(docs: DataFrame, partitions: int) -> DataFrame:
     # written, as the range partitioning reads its input twice and the windows are read twice too
     rows = written(rows.mapInArrow(_contexts, "head bigint, after binary, before binary, doc_id bigint, place int, window bigint"), "contexts")
     array = rows.where("window is null").select(*keys).repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
-    found = written(array.mapInArrow(_neighbours(True), MATCHES), "matches")
+    found = written(array.mapInArrow(_neighbours(True, each), MATCHES), "matches")
     ends = found.where("head is not null").select(*keys).distinct().coalesce(1).sortWithinPartitions(*keys)
-    found = found.where("head is null").unionByName(ends.mapInArrow(_neighbours(False), MATCHES)).select("doc_id", "start", "stop", "other")
-    windows = rows.where("window is not null").select("window", "doc_id", F.col("place").alias("start"))
-    twice = windows.groupBy("window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    found = found.where("head is null").unionByName(ends.mapInArrow(_neighbours(False, each), MATCHES)).select("doc_id", "start", "stop", "other")
+    return found, rows.where("window is not null").select("window", "doc_id", F.col("place").alias("start"))
+
+
+def _twice(windows: DataFrame) -> DataFrame:
+    """The windows that stand in two documents, with the smallest and the largest."""
+    return written(windows.groupBy("window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b"), "windows")
+
+
+def matches(docs: DataFrame, partitions: int) -> DataFrame:
+    """doc_id, start, stop (words), other: passages of docs (doc_id, text), each of which stands in the document other from end to end.
+
+    Of a suffix and its neighbours every pair is given; of a window around a common head one other document. partitions: of the array.
+    """
+    found, windows = _found(docs, partitions, True)
     other = F.when(F.col("a") == F.col("doc_id"), F.col("b")).otherwise(F.col("a")).alias("other")
-    found = found.unionByName(windows.join(twice, "window").select("doc_id", "start", (F.col("start") + MIN_WORDS).alias("stop"), other))
-    # overlapping matches of a document become one passage
-    found = found.groupBy("doc_id", "start", "stop").agg(F.min("other").alias("other"))
+    return found.unionByName(windows.join(_twice(windows), "window").select("doc_id", "start", (F.col("start") + MIN_WORDS).alias("stop"), other)).distinct()
+
+
+def shared_passages(docs: DataFrame, partitions: int) -> DataFrame:
+    """doc_id, start, stop: the longest runs of words of docs (doc_id, text) that passages cover which stand in another document too."""
+    found, windows = _found(docs, partitions, False)
+    found = found.drop("other").unionByName(windows.join(_twice(windows), "window").select("doc_id", "start", (F.col("start") + MIN_WORDS).alias("stop")))
     by = Window.partitionBy("doc_id").orderBy("start", "stop")
     found = found.withColumn("new", F.coalesce((F.col("start") > F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1)))
     found = found.withColumn("passage", F.sum("new").over(by))
-    return found.groupBy("doc_id", "passage").agg(F.min("start").cast("bigint").alias("start"), F.max("stop").cast("bigint").alias("stop"), F.min("other").alias("other")).drop("passage")
+    return found.groupBy("doc_id", "passage").agg(F.min("start").cast("bigint").alias("start"), F.max("stop").cast("bigint").alias("stop")).drop("passage")

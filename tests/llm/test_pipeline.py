@@ -28,7 +28,7 @@ def test_stages_take_odd_rows_and_none(spark, name):
         odd = odd.withColumn(c, F.lit("clash"))
     for docs in (odd, odd.limit(0)):
         out = stage(spark, docs, SF)
-        assert out.columns == (docs.columns if name != "pack_windows" else ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        assert out.columns == (docs.columns if name != "pack_windows" else ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "by_rule"])
         assert (out.count() > 0) == (docs is odd)
 
 
