@@ -1,6 +1,7 @@
 """Comparing a query with SQL that DuckDB runs on the same tables."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -15,7 +16,8 @@ def duck(sf_dir: str, sql: str):
 
 def rows(df) -> list[tuple]:
     df = df[sorted(df.columns)]
-    return sorted(tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in df.itertuples(index=False))
+    shown = lambda v: "null" if v is None or v is pd.NA or v != v else f"{v:.9g}" if isinstance(v, float) else str(v)
+    return sorted(tuple(map(shown, r)) for r in df.itertuples(index=False))
 
 
 def assert_same(spark, sf_dir: str, query, sql: str) -> None:
