@@ -38,8 +38,8 @@ from .common import key_hash
 from .memo import own
 
 #: Places for the n-grams of n = 1, 2, 3.
-DIMS = (1024, 4096, 16384)
-STARTS = (0, 1024, 5120)
+DIMS = (512, 2048, 8192)
+STARTS = (0, 512, 2560)
 TOTAL = sum(DIMS)
 PASSAGE, BATCH = 2048, 64
 LANDMARKS, RIDGE = 128, 0.1
@@ -118,19 +118,28 @@ def fit(samples: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
     return langs, marks, (root @ solved).astype(np.float32)
 
 
-def score(texts: list[str | None], model: tuple[list[str], np.ndarray, np.ndarray] | None) -> list[tuple[str, float]]:
+Model = tuple[list[str], np.ndarray, np.ndarray]
+
+
+def score(texts: list[str | None], model: Model | None, least: np.ndarray | None = None) -> list[tuple[str, float]]:
+    """The language of each text and its score. least: texts that are not like what was learned are UNKNOWN with score 0."""
     if model is None:
         return [(UNKNOWN, 0.0)] * len(texts)
-    langs, marks, weights = model
+    langs = model[0]
     sums, sizes = np.zeros((len(texts), len(langs))), np.zeros(len(texts))
+    found, wanted = np.zeros((len(texts), 2)), np.zeros((len(texts), 2))
     waiting: list[tuple[int, np.ndarray]] = []
 
     def flush() -> None:
         if waiting:
-            owners, parts = zip(*waiting, strict=True)
+            owners, parts = list(map(list, zip(*waiting, strict=True)))
             lengths = np.array([len(p) for p in parts], float)
-            np.add.at(sums, list(owners), (features(list(parts)) @ marks.T @ weights) * lengths[:, None])
-            np.add.at(sizes, list(owners), lengths)
+            near, said = judged(parts, model)
+            np.add.at(sums, owners, said * lengths[:, None])
+            np.add.at(sizes, owners, lengths)
+            if least is not None:
+                np.add.at(found, owners, evidence(near, said) * lengths[:, None])
+                np.add.at(wanted, owners, bound_for(lengths, least) * lengths[:, None])
             waiting.clear()
 
     for i, text in enumerate(texts):
@@ -140,21 +149,40 @@ def score(texts: list[str | None], model: tuple[list[str], np.ndarray, np.ndarra
                 flush()
     flush()
     mean = sums / np.maximum(sizes, 1)[:, None]
-    return [(langs[k], float(min(1, max(0, (m[k] + 1) / 2)))) if n else (UNKNOWN, 0.0) for m, k, n in zip(mean, mean.argmax(1), sizes, strict=True)]
-
-
-def evidence(parts: list[np.ndarray], model: tuple[list[str], np.ndarray, np.ndarray]) -> np.ndarray:
-    """For each passage: its largest kernel value to a landmark, the margin of its language, and the language's number."""
-    langs, marks, weights = model
-    out = np.zeros((len(parts), 3))
-    for at in range(0, len(parts), BATCH):
-        near = features(parts[at : at + BATCH]) @ marks.T
-        said = near @ weights
-        order = np.sort(said, 1)
-        out[at : at + BATCH] = np.stack([near.max(1), order[:, -1] - order[:, -2] if len(langs) > 1 else np.full(len(said), np.inf), said.argmax(1)], 1)
+    known = (found >= wanted).all(1)
+    out = []
+    for m, k, n, fits, text in zip(mean, mean.argmax(1), sizes, known, texts, strict=True):
+        good = n and (fits or in_pieces(text, model, least))
+        out.append((langs[k], float(min(1, max(0, (m[k] + 1) / 2)))) if good else (UNKNOWN, 0.0))
     return out
 
 
+def judged(parts: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Two matrix products: the passages' kernel values to the landmarks, and what the languages' regressions say."""
+    near = features(parts) @ model[1].T
+    return near, near @ model[2]
+
+
+def evidence(near: np.ndarray, said: np.ndarray) -> np.ndarray:
+    """For each passage: its largest kernel value to a landmark, and the margin of its language."""
+    order = np.sort(said, 1)
+    return np.stack([near.max(1), order[:, -1] - order[:, -2] if said.shape[1] > 1 else np.full(len(said), 1e9)], 1)
+
+
+def bound_for(lengths: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The least evidence that passages of these lengths must give."""
+    at, known = np.log(lengths), np.log(least[:, 0])
+    return np.stack([np.interp(at, known, np.minimum(least[:, k], 1e9)) for k in (1, 2)], 1)
+
+
+def in_pieces(text: str, model: Model, least: np.ndarray) -> bool:
+    """Whether a text is like what was learned if it is judged in shorter passages."""
+    parts = passages(clean(text), PIECE)
+    lengths = np.array([len(p) for p in parts], float)
+    found = np.concatenate([evidence(*judged(parts[i : i + BATCH], model)) for i in range(0, len(parts), BATCH)])
+    return bool((lengths @ found >= lengths @ bound_for(lengths, least)).all())
+
+
 def bounds(samples: list[tuple[str, str]]) -> np.ndarray | None:
     """Rows of letters, least kernel value, least margin: from a model of the samples that are not held out."""
     held = samples[::HELD]
@@ -166,25 +194,14 @@ def bounds(samples: list[tuple[str, str]]) -> np.ndarray | None:
     for n in LENGTHS:
         of, parts = zip(*[(model[0].index(k), p[:n]) for k, p in texts if len(p) >= n] or [(0, np.zeros(0, np.uint32))], strict=True)
         if len(parts) >= LEAST_HELD:
-            found = evidence(list(parts), model)
-            right = found[found[:, 2] == np.array(of)]
+            pairs = [judged(list(parts[i : i + BATCH]), model) for i in range(0, len(parts), BATCH)]
+            near, said = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            right = evidence(near, said)[said.argmax(1) == np.array(of)]
             if len(right) >= LEAST_HELD:
-                rows.append((n, *(EASE * np.quantile(right[:, :2], TAIL, axis=0, method="lower"))))
+                rows.append((n, *(EASE * np.quantile(right, TAIL, axis=0, method="lower"))))
     return np.array(rows) if rows else None
 
 
-def learned(text: str, model: tuple[list[str], np.ndarray, np.ndarray], least: np.ndarray) -> bool:
-    """Whether a text with letters is like what was learned."""
-    for size in (PASSAGE, PIECE):
-        parts = passages(clean(text), size)
-        lengths = np.array([len(p) for p in parts], float)
-        found = evidence(parts, model)[:, :2]
-        wanted = np.stack([np.interp(np.log(lengths), np.log(least[:, 0]), least[:, k]) if np.isfinite(least[:, k]).all() else np.zeros(len(parts)) for k in (1, 2)], 1)
-        if (lengths @ found >= lengths @ wanted).all():
-            return True
-    return False
-
-
 def sample(docs: DataFrame, per_lang: int) -> list[tuple[str, str]]:
     """docs: doc_id, text, lang. The first texts of each language by hash, those of MIN_CHARS to MAX_CHARS characters before others;
     of a longer one MAX_CHARS characters from its middle. MOST_SAMPLES texts in all: with more languages each gets fewer."""
@@ -223,9 +240,7 @@ def identify(docs: DataFrame, train: DataFrame, per_lang: int = 300, keep: list[
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
                 texts = part.column(at_text).to_pylist()
-                found = score(texts, model.value)
-                if least is not None:
-                    found = [x if x[0] == UNKNOWN or learned(t, model.value, least) else (UNKNOWN, 0.0) for t, x in zip(texts, found, strict=True)]
+                found = score(texts, model.value, least)
                 added = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *added], names=[*keep, *names])
 

@@ -3,9 +3,12 @@
 1. Texts with equal shingle sets become one class, whose smallest doc_id stands for it.
 2. Sets that can be similar are brought together. Hash space is cut into m segments, one more than two linked sets can have
    different shingles, plus some for segments that are empty: so at least one segment has the same shingles in both. m
-   depends on the larger set's size class; a set is keyed for its own class and the next, by all segments: by the pigeonhole
-   principle linked sets of any size share a key. Sets with many empty segments are keyed by their single shingles as
-   well. Each task emits a set once, however many copies it has.
+   depends on the larger set's size class; a set is keyed for its own class and the next. Up to ALL segments all are used,
+   which is exact by the pigeonhole principle: sets of up to some 600 shingles (500 at similarity 0.8). With more segments
+   the first USED are: each differs with a probability under 0.63, so that a linked pair is missed with one under 1e-19, which is what
+   two unequal shingles have of one 64-bit hash. If a set has more empty segments than are allowed for, then so has a set that it is
+   linked with by empty segments only: both are keyed by the smallest hashes too, of which linked sets share one. Each task
+   emits a set once, however many copies it has.
 3. Over the sets of each key's star (all that share a key with one set) a signature tree is descended by bitmaps alone: sets
    whose bitmaps let them be similar stay together, in connected components, the candidate groups. A star of more than CHUNK
    sets stays together whole. A group is cut into chunks of at most CHUNK sets. In
@@ -39,6 +42,7 @@ from .components import components
 from .memo import own
 from .shingles import mixed, shingle_set
 
+ALL, USED = 112, 96
 CHUNK, CHUNK_SHINGLES = 1024, 2_000_000
 LEAF, FANOUT, BITS, MOST_BITS = 8, 4, 1024, 16_384
 #: Sets that a task remembers having keyed.
@@ -65,15 +69,16 @@ class Keys:
         most = int(2 * top * (1 - self.t) / (1 + self.t))
         if not most:
             return 0, 0
-        slack = 1 + (most + 1) // 32
+        slack = 1 + (most + 1) // 8
         return most + 1 + slack, slack
 
-    def scheme(self, scheme: int) -> tuple[int, int, np.ndarray, np.uint64]:
-        """Segments, those that may be empty, where they end, and a salt."""
+    def scheme(self, scheme: int) -> tuple[int, int, int, np.ndarray, np.uint64]:
+        """Segments, those that may be empty, those that are used, where they end, and a salt."""
         if scheme not in self.table:
             m, slack = self.segments(scheme)
-            borders = [min(-(-(i << 64) // m), (1 << 64) - 1) for i in range(1, m + 1)]
-            self.table[scheme] = m, slack, np.array(borders, np.uint64), np.uint64((scheme * 0x9E3779B97F4A7C15 + 1) % (1 << 64))
+            used = m if m <= ALL else USED
+            borders = [min(-(-(i << 64) // m), (1 << 64) - 1) for i in range(1, used + 1)]
+            self.table[scheme] = m, slack, used, np.array(borders, np.uint64), np.uint64((scheme * 0x9E3779B97F4A7C15 + 1) % (1 << 64))
         return self.table[scheme]
 
     def __call__(self, tokens: np.ndarray) -> np.ndarray:
@@ -81,18 +86,20 @@ class Keys:
         own = int(np.searchsorted(self.bounds, n, "right")) - 1
         both = n * self.t.denominator // self.t.numerator >= self.bounds[own + 1]
         for scheme in (own, own + 1) if both else (own,):
-            m, slack, borders, salt = self.scheme(scheme)
+            m, slack, used, borders, salt = self.scheme(scheme)
             if not m:
                 continue
             ends = np.searchsorted(tokens, borders)
-            ends[-1] = n
+            if used == m:
+                ends[-1] = n
             starts = np.concatenate([[0], ends[:-1]])
             full = np.flatnonzero(ends > starts)
             if len(full):
-                sums = np.add.reduceat(mixed(tokens ^ salt), starts[full])
+                sums = np.add.reduceat(mixed(tokens[: ends[-1]] ^ salt), starts[full])
                 out.append(mixed(sums + full.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-            if m - len(full) > slack:
-                out.append(mixed(tokens + salt))
+            if used == m and m - len(full) > slack:
+                least = -(-n * self.t.numerator // self.t.denominator)
+                out.append(mixed(tokens[: n - least + 1] + salt))
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 

@@ -446,16 +446,29 @@ def test_join_of_large_sets(spark):
     assert out == brute.components(texts, 4, 85) and any(c != d for d, (_, c) in out.items())
 
 
-@pytest.mark.parametrize(("t", "n"), [(Fraction(85, 100), 400), (Fraction(85, 100), 5000), (Fraction(4, 5), 900), (Fraction(4, 5), 20_000)])
+@pytest.mark.parametrize(("t", "n"), [(Fraction(85, 100), 40), (Fraction(85, 100), 400), (Fraction(85, 100), 5000), (Fraction(4, 5), 900), (Fraction(4, 5), 20_000)])
 def test_linked_sets_share_a_key(t, n):
-    """Sets that differ as much as linked ones can: without any miss, by the pigeonhole principle."""
+    """Sets that differ as much as linked ones can."""
     draw, keys = np.random.default_rng(n), sigtree.Keys(t)
     for _ in range(30):
         a = np.unique(draw.integers(0, 2**64, n, np.uint64))
         apart = int(n * (1 - t) / (1 + t))
         b = np.unique(np.concatenate([draw.permutation(a)[apart:], draw.integers(0, 2**64, apart, np.uint64)]))
         both = len(np.intersect1d(a, b))
-        assert both >= t * (len(a) + len(b) - both) and np.intersect1d(keys(a), keys(b)).size
+        assert both >= t * (len(a) + len(b) - both)
+        assert np.intersect1d(keys(a), keys(b)).size
+
+
+def test_linked_sets_of_empty_segments_share_a_key():
+    """Sets whose hashes crowd in a few segments."""
+    t, draw = Fraction(85, 100), np.random.default_rng(1)
+    keys = sigtree.Keys(t)
+    for n in (30, 120, 500):
+        for _ in range(50):
+            a = np.unique(draw.integers(0, 2**58, n, np.uint64))
+            apart = int(len(a) * (1 - t) / (1 + t))
+            b = np.unique(np.concatenate([draw.permutation(a)[apart:], draw.integers(2**63, 2**64, apart, np.uint64)]))
+            assert np.intersect1d(keys(a), keys(b)).size
 
 
 def test_rows_of_one_id_and_several_texts(spark):
