@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import importlib
 import io
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -127,6 +128,31 @@ def protobuf_decode(values: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else StringValue.FromString(v).value for v in values])
 
 
+def protobuf_codec(message: str) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """Encoder and decoder for any message class ("package.module:Class"), between its bytes and its JSON text, in which from_json and
+    to_json take over. Unknown fields are an error; null stays null."""
+
+    def cls() -> type:
+        module, _, name = message.partition(":")
+        return getattr(importlib.import_module(module), name)
+
+    @F.pandas_udf(T.BinaryType())
+    def encode(values: pd.Series) -> pd.Series:
+        from google.protobuf import json_format
+
+        kind = cls()
+        return pd.Series([None if v is None else json_format.Parse(v, kind()).SerializeToString(deterministic=True) for v in values])
+
+    @F.pandas_udf(T.StringType())
+    def decode(values: pd.Series) -> pd.Series:
+        from google.protobuf import json_format
+
+        kind = cls()
+        return pd.Series([None if v is None else json_format.MessageToJson(kind.FromString(v), indent=None, preserving_proto_field_name=True) for v in values])
+
+    return encode, decode
+
+
 @F.pandas_udf(T.BinaryType())
 def binary_encode(values: pd.Series) -> pd.Series:
     """Each value as an Arrow stream of its own."""
@@ -145,6 +171,16 @@ def binary_decode_long(values: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else pa.ipc.open_stream(v).read_all().column(0)[0].as_py() for v in values], dtype="Int64")
 
 
+def binary_decode(kind: T.DataType) -> Callable[[Column], Column]:
+    """A decoder of binary_encode's bytes to values of this type."""
+
+    @F.pandas_udf(kind)
+    def decode(values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else pa.ipc.open_stream(v).read_all().column(0)[0].as_py() for v in values], dtype=object)
+
+    return decode
+
+
 def json_decode(c: Column, schema: str) -> Column:
     """Null fields where the text is no such object."""
     return F.from_json(c, schema, {"mode": "PERMISSIVE"})

@@ -72,6 +72,25 @@ def closed(cube: DataFrame, part: str = "part_start") -> DataFrame:
     return cube.join(F.broadcast(newest), F.col(part) < F.col("__newest")).drop("__newest")
 
 
+class Cutoff:
+    """Flushes a growing cube's closed partitions once each: those older than the newest time seen, from the last cutoff on; then that
+    time is the cutoff, and what is older is late."""
+
+    def __init__(self, part: str = "part_start") -> None:
+        self.part, self.at = part, None
+
+    def flush(self, cube: DataFrame, newest: int) -> DataFrame:
+        rows = cube.where(F.col(self.part) < newest)
+        if self.at is not None:
+            rows = rows.where(F.col(self.part) >= self.at)
+        self.at = max(newest, self.at or newest)
+        return rows
+
+    def late(self, cube: DataFrame) -> DataFrame:
+        """Rows of partitions that have been flushed already."""
+        return cube.where(F.lit(False)) if self.at is None else cube.where(F.col(self.part) < self.at)
+
+
 def top_partition(cube: DataFrame, part: str = "part_start") -> DataFrame:
     """Rows of the newest partition."""
     newest = cube.agg(F.max(part).alias("__newest"))

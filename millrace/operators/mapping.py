@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -18,6 +18,53 @@ from ..session import ship_code
 Rows = Iterable[dict]
 
 
+def identity(df: DataFrame) -> DataFrame:
+    """Every row as it is."""
+    return df.select("*")
+
+
+def project(df: DataFrame, **columns: Column) -> DataFrame:
+    """One row for each: these columns, by name."""
+    return df.select(*[c.alias(name) for name, c in columns.items()])
+
+
+def keep(df: DataFrame, condition: Column | str) -> DataFrame:
+    """The row, or none."""
+    return df.where(condition)
+
+
+def cast_message(df: DataFrame, schema: str) -> DataFrame:
+    """The same rows as messages of another schema: columns by name, cast; raises if a value can't be cast (ANSI mode)."""
+    fields = df.sparkSession.createDataFrame([], schema).schema.fields
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+
+
+def observed(df: DataFrame, name: str, **aggregates: Column) -> tuple[DataFrame, Observation]:
+    """The rows as they are, and what passed: their count and other aggregates, to be had from the observation after an action."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in aggregates.items()]), seen
+
+
+def tail(df: DataFrame, say: Callable[[str], None]) -> DataFrame:
+    """The rows as they are; each is said in the task that has it, as text."""
+    from ..sources.sinks import shown
+
+    ship_code(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                say("\t".join(map(shown, row)))
+            yield batch
+
+    return df.mapInArrow(run, df.schema)
+
+
+def first_items(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """At most n rows, the first in this order; 0 gives none. Each task keeps n rows, of which n are kept."""
+    return df.orderBy(*order).limit(n) if order else df.limit(n)
+
+
 def flat_map(df: DataFrame, outputs: Column, name: str) -> DataFrame:
     """A row for each element of the array outputs: none drops the row, one projects it."""
     return df.select(*df.columns, F.explode(outputs).alias(name))
@@ -58,6 +105,34 @@ def map_workers(df: DataFrame, make: Callable[[], Callable[[dict], Rows]], schem
     return df.mapInArrow(run, schema)
 
 
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, final: Callable[[Callable], pa.RecordBatch | None] | None = None) -> DataFrame:
+    """As map_workers, for a callback from whole batches to whole batches (or None): no row becomes a Python object."""
+    ship_code(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        callback = make()
+        for batch in batches:
+            out = callback(batch)
+            if out is not None:
+                yield out
+        out = final(callback) if final else None
+        if out is not None:
+            yield out
+
+    return df.mapInArrow(run, schema)
+
+
+def with_exit(action: Callable[[], object], hook: Callable[[BaseException | None], None]) -> object:
+    """Runs an action and then, when all its tasks have ended, well or not, the hook once. For streams there is sinks.OnExit."""
+    try:
+        out = action()
+    except BaseException as e:
+        hook(e)
+        raise
+    hook(None)
+    return out
+
+
 def serial(df: DataFrame) -> DataFrame:
     """One task does the rest of the stage."""
     return df.coalesce(1)
@@ -77,6 +152,41 @@ def distribute(df: DataFrame, key: Column, branch: Callable[[DataFrame], DataFra
     return branch(df.withColumn("__key", key))
 
 
+def branches(df: DataFrame, key: str, make: Callable[[object], Callable[[dict], Rows]], schema: str, final: Callable[[Callable], Rows] | None = None, salt: int = 1) -> DataFrame:
+    """A branch for each key, which make(key) builds when the key is first seen; it gets the key's rows, and final(branch) ends it.
+
+    Rows are dealt by key. A key with very many rows is spread over ``salt`` tasks, which have a branch of it each: what final gives
+    is then to be summed up. What a group-by can say is better said by ``distribute``.
+    """
+
+    class Branches:
+        def __init__(self) -> None:
+            self.of: dict = {}
+
+        def __call__(self, row: dict) -> Rows:
+            k = row[key]
+            if k not in self.of:
+                self.of[k] = make(k)
+            return self.of[k](row)
+
+        def end(self) -> Iterator[dict]:
+            for branch in self.of.values():
+                yield from final(branch)
+
+    dealt = df.repartition(F.col(key), F.pmod(F.monotonically_increasing_id(), F.lit(salt))) if salt > 1 else df.repartition(F.col(key))
+    return map_workers(dealt, Branches, schema, Branches.end if final else None)
+
+
+def ordered_chain(df: DataFrame, seq: str, *steps: Callable[[DataFrame], Column]) -> DataFrame:
+    """A chain whose outputs come in the order of their inputs. Each step gives an array of structs for a row; the row's place is carried
+    as an array of positions, and rows are sorted once, at the end."""
+    rows = df.withColumn("__at", F.array(F.col(seq).cast("bigint")))
+    for step in steps:
+        rows = rows.select("__at", F.posexplode(step(rows.drop("__at"))).alias("__pos", "__out"))
+        rows = rows.select(F.concat("__at", F.array(F.col("__pos").cast("bigint"))).alias("__at"), "__out.*")
+    return rows.orderBy("__at").drop("__at")
+
+
 def chain(df: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """One plan of several steps; a chain is a step itself."""
     for step in steps:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import datetime
+import typing
+from dataclasses import dataclass, field, fields, is_dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +52,34 @@ class CubeSpec:
         if len({n.lower() for n in names}) < len(names):
             raise ValueError(f"cube {self.name}: two columns have one name")
 
+    @classmethod
+    def of(cls, name: str, dimensions: type, measures: type) -> CubeSpec:
+        """From two dataclasses: datetime fields are times, int and str fields are what they say; a measure is a count (int) or a sketch
+        (bytes). field(metadata={"name": ..., "sql_type": ...}) gives a column another name or type; fields that are dataclasses
+        themselves are flattened in their place."""
+        kinds = {datetime.datetime: "time", int: "int", str: "string"}
+
+        def flat(of: type) -> list[tuple[str, object, str | None]]:
+            if not is_dataclass(of):
+                raise ValueError(f"{of} is not a dataclass")
+            hints, out = typing.get_type_hints(of), []
+            for f in fields(of):
+                if is_dataclass(hints[f.name]):
+                    out += flat(hints[f.name])
+                elif f.name.startswith("_"):
+                    raise ValueError(f"{of.__name__}.{f.name} is private")
+                else:
+                    out.append((f.metadata.get("name", f.name), hints[f.name], f.metadata.get("sql_type")))
+            return out
+
+        def kind(column: str, hint: object, known: dict) -> str:
+            if hint not in known:
+                raise ValueError(f"column {column}: no kind for {hint}")
+            return known[hint]
+
+        dims = tuple(Dimension(n, kind(n, h, kinds), t) for n, h, t in flat(dimensions))
+        return cls(name, dims, tuple(Measure(n, kind(n, h, {int: "count", bytes: "hll"}), t) for n, h, t in flat(measures)))
+
     @property
     def time_col(self) -> str:
         return self.dimensions[0].name

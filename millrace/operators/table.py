@@ -1,13 +1,16 @@
 """An additive cube table in Parquet, partitioned by time.
 
-Each upsert rewrites the partitions that it touches, in a folder of its own, and then publishes a manifest that names each
-partition's folder and the last batch that each writer has applied. A reader sees one manifest, so it sees a batch wholly or
+Each upsert rewrites the partitions that it touches, in a folder that no other attempt uses, and then publishes a manifest that names
+each partition's folder and the last batch that each writer has applied. A writer that dies before that leaves a folder that nothing
+reads, which ``clean`` removes with those of older versions; of two writers of one version one is told to begin again. A reader sees one manifest, so it sees a batch wholly or
 not at all, and a batch that comes again is skipped. Files go through Hadoop's file systems.
 """
 
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +20,10 @@ from ..functions import hll
 from .spec import CubeSpec
 
 
+class PublishedByOther(RuntimeError):
+    """Another writer has published this version meanwhile."""
+
+
 class CubeTable:
     def __init__(self, spark: SparkSession, root: str, spec: CubeSpec, part_length: int = 3600) -> None:
         self.spark, self.root, self.spec, self.part_length = spark, root.rstrip("/"), spec, part_length
@@ -51,14 +58,16 @@ class CubeTable:
         """Fails if another writer has published this version: a rename never replaces a file here."""
         fs, path = self._fs()
         fs.mkdirs(path(f"{self.root}/manifests"))
-        draft, final = (path(f"{self.root}/manifests/{manifest['version']:012d}.{x}") for x in ("draft", "json"))
+        final = path(f"{self.root}/manifests/{manifest['version']:012d}.json")
+        draft = path(f"{self.root}/manifests/{manifest['version']:012d}-{uuid.uuid4().hex}.draft")
         out = fs.create(draft, True)
         try:
             out.write(bytearray(json.dumps(manifest).encode()))
         finally:
             out.close()
         if fs.exists(final) or not fs.rename(draft, final):
-            raise RuntimeError(f"version {manifest['version']} has been published by another writer")
+            fs.delete(draft, False)
+            raise PublishedByOther(f"version {manifest['version']} has been published by another writer")
 
     # ---- reading
 
@@ -86,28 +95,33 @@ class CubeTable:
         s = self.spec
         rows = reduce(DataFrame.unionByName, frames)
         sums = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in s.counts]
-        # at most the stored sketch and the delta's for each key
-        unions = [hll.union_all(F.collect_list(c)).alias(c) for c in s.sketches]
         grouped = rows.groupBy("part_start", *s.dims)
-        if not unions:
+        if not s.sketches:
             return grouped.agg(*sums).select("part_start", *s.columns)
+        # the stored sketch and the delta's, one of each for a key: upsert() says so of its delta, and the table holds what it wrote
         lists = grouped.agg(*sums, *[F.collect_list(c).alias(c) for c in s.sketches])
         return lists.withColumns({c: hll.union_all(c) for c in s.sketches}).select("part_start", *s.columns)
 
-    def upsert(self, delta: DataFrame, writer: str = "default", batch: int | None = None) -> bool:
+    def upsert(self, delta: DataFrame, writer: str = "default", batch: int | None = None, tries: int = 5) -> bool:
         """Adds a delta (part_start and the cube's columns, one row a key). False if the writer has applied the batch already.
 
-        Late rows go to the old partition that they belong to.
+        Late rows go to the old partition that they belong to. If another writer publishes first, it begins again from there.
         """
-        now = self.manifest()
-        if batch is not None and now["applied"].get(writer, -1) >= batch:
-            return False
         # read twice below: its source is read once
         delta = delta.select("part_start", *self.spec.columns).persist()
         try:
-            return self._add(now, delta, writer, batch)
+            for tried in range(1, tries + 1):
+                now = self.manifest()
+                if batch is not None and now["applied"].get(writer, -1) >= batch:
+                    return False
+                try:
+                    return self._add(now, delta, writer, batch)
+                except PublishedByOther:
+                    if tried == tries:
+                        raise
         finally:
             delta.unpersist()
+        return False
 
     def _add(self, now: dict, delta: DataFrame, writer: str, batch: int | None) -> bool:
         touched = [r[0] for r in delta.select("part_start").distinct().collect()]  # one number for each hour in a batch
@@ -116,7 +130,7 @@ class CubeTable:
         if touched:
             paths = [parts[str(t)] for t in touched if str(t) in parts]
             old = [self.spark.read.schema(self._schema()).parquet(*paths)] if paths else []
-            folder = f"{self.root}/data/{version:012d}"
+            folder = f"{self.root}/data/{version:012d}-{uuid.uuid4().hex}"
             # a file for each partition, or several for a large one
             rows = self.merged([*old, delta]).withColumn("part", F.col("part_start")).hint("rebalance", "part")
             rows.write.partitionBy("part").parquet(folder)
@@ -130,6 +144,42 @@ class CubeTable:
         parts = {k: v for k, v in now["parts"].items() if int(k) != part_start}
         self._publish({"version": now["version"] + 1, "applied": now["applied"], "parts": parts})
 
+    def pop_top(self) -> DataFrame | None:
+        """Removes the newest partition and gives its rows; None if there is none. Its files stay until they are cleaned away."""
+        starts = self.partitions()
+        if not starts:
+            return None
+        rows = self.read(start=starts[-1])
+        self.drop_partition(starts[-1])
+        return rows
+
+    def clean(self, older_than: float = 3600.0, keep: int = 1) -> list[str]:
+        """Removes data folders that none of the last ``keep`` manifests names and that are older than this many seconds (an upsert that
+        is still at work has a younger one), and older manifests and drafts. The names of what went."""
+        fs, path = self._fs()
+        found = self._manifests()
+        if not found:
+            return []
+        named = set()
+        for _, place in found[-keep:]:
+            stream = fs.open(path(place))
+            try:
+                text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            named |= {v.rsplit("/", 1)[0].rsplit("/", 1)[1] for v in json.loads(text)["parts"].values()}
+        kept = {p.rsplit("/", 1)[1] for _, p in found[-keep:]}
+        gone = []
+        for folder, stays in (("data", named), ("manifests", kept)):
+            if not fs.exists(path(f"{self.root}/{folder}")):
+                continue
+            for status in fs.listStatus(path(f"{self.root}/{folder}")):
+                name = status.getPath().getName()
+                if name not in stays and (folder == "manifests" and name.endswith(".json") or time.time() - status.getModificationTime() / 1000 > older_than):
+                    fs.delete(status.getPath(), True)
+                    gone.append(name)
+        return gone
+
     def drop(self) -> None:
         fs, path = self._fs()
         fs.delete(path(self.root), True)

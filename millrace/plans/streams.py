@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs
@@ -10,7 +11,7 @@ from ..operators import cube, mapping, routing
 from ..operators.spec import epoch_seconds
 from ..operators.table import CubeTable
 from ..session import new_folder
-from ..sources import framed, memory
+from ..sources import framed, memory, sinks
 from ..streaming import pipeline
 from .cubes import COUNT, DAY, E_SQL, EVENTS, HOUR, query, read
 
@@ -19,12 +20,12 @@ from .cubes import COUNT, DAY, E_SQL, EVENTS, HOUR, query, read
 
 @query("""SELECT event_id, upper(event_type) AS kind, round(value * 100)::BIGINT AS cents FROM events""")
 def map_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select("event_id", F.upper("event_type").alias("kind"), F.round(F.col("value") * 100).cast("bigint").alias("cents"))
+    return mapping.project(read(spark, sf_dir, "events"), event_id=F.col("event_id"), kind=F.upper("event_type"), cents=F.round(F.col("value") * 100).cast("bigint"))
 
 
 @query("""SELECT event_id, user_id FROM events WHERE event_type = 'click' AND value > 5""")
 def map_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").where((F.col("event_type") == "click") & (F.col("value") > 5)).select("event_id", "user_id")
+    return mapping.keep(read(spark, sf_dir, "events"), (F.col("event_type") == "click") & (F.col("value") > 5)).select("event_id", "user_id")
 
 
 @query(r"""SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS word FROM documents""")
@@ -35,7 +36,7 @@ def map_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT * FROM nation""")
 def map_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "nation").select("*")
+    return mapping.observed(mapping.identity(read(spark, sf_dir, "nation")), "nations")[0]
 
 
 @query("""SELECT event_id AS seq, unnest(range(0, user_id % 4))::BIGINT AS pos, event_type || '-' || unnest(range(0, user_id % 4)) AS item FROM events""")
@@ -108,6 +109,35 @@ def distribute_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.distribute(read(spark, sf_dir, "events"), F.col("user_id"), branch)
 
 
+class _First:
+    """A branch: numbers its rows, and says at its end how many it had."""
+
+    def __init__(self, kind: str) -> None:
+        self.kind, self.n = kind, 0
+
+    def __call__(self, row: dict) -> list[dict]:
+        self.n += 1
+        return []
+
+    def final(self) -> list[dict]:
+        return [{"event_type": self.kind, "n": self.n, "branches": 1}]
+
+
+@query("""SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL""")
+def distribute_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A branch for each type in each of eight tasks, made when the type is first seen."""
+    rows = read(spark, sf_dir, "events").select("event_type")
+    return mapping.branches(rows, "event_type", _First, "event_type string, n bigint, branches int", _First.final, salt=8).groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
+@query("""SELECT event_id, pos, part || '!' AS part FROM (SELECT event_id, unnest(range(1, len(string_split(event_type, 'e')) + 1))::BIGINT - 1 AS pos, unnest(string_split(event_type, 'e')) AS part FROM events) WHERE part <> ''""")
+def chain_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two steps that keep order: split each type, then drop empty parts and mark the others."""
+    parts = lambda d: F.transform(F.split("event_type", "e"), lambda x, i: F.struct(F.col("event_id"), i.cast("bigint").alias("pos"), x.alias("part")))
+    marked = lambda d: F.filter(F.array(F.struct("event_id", "pos", F.concat("part", F.lit("!")).alias("part"))), lambda s: s["part"] != "!")
+    return mapping.ordered_chain(read(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", parts, marked)
+
+
 @query("""SELECT event_type, count(*)::BIGINT AS n FROM events WHERE value > 1 GROUP BY ALL""")
 def chain_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = lambda d: mapping.chain(d, lambda x: x.where("value > 1"), lambda x: x.select("event_type"))
@@ -132,7 +162,7 @@ def src_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id FROM events ORDER BY event_id LIMIT 100""")
 def src_max_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select("event_id").orderBy("event_id").limit(100)
+    return mapping.first_items(read(spark, sf_dir, "events").select("event_id"), 100, "event_id")
 
 
 @query("""SELECT event_type || ' ' || user_id || chr(10) AS line, count(*)::BIGINT AS n FROM events GROUP BY ALL""")
@@ -148,7 +178,35 @@ def src_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects of which some are null; those are skipped."""
     rows = read(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 5 != 0, F.struct("c_custkey", "c_name")).alias("value"))
-    return rows.where("value is not null").select("value.*")
+    return memory.present(rows)
+
+
+@query("""SELECT (sum(strlen(n_name)))::BIGINT AS bytes FROM nation""")
+def raw_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names written one after another with nothing between; what the files hold together."""
+    sinks.register(spark)
+    path = new_folder(spark, "raw")
+    read(spark, sf_dir, "nation").select(F.col("n_name").cast("binary").alias("value")).write.format("raw").mode("append").save(path)
+    return spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("bytes"))
+
+
+@query("""SELECT n_nationkey::INT AS key, n_name AS name FROM nation""")
+def message_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mapping.project(read(spark, sf_dir, "nation"), key=F.col("n_nationkey").cast("string"), name=F.col("n_name"), more=F.lit(1))
+    return mapping.cast_message(rows, "key int, name string")
+
+
+@query("""SELECT event_type AS k, count(*)::BIGINT AS n FROM events GROUP BY ALL""")
+def map_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of whole batches, summed up."""
+    rows = mapping.map_batches(read(spark, sf_dir, "events").select("event_type"), _BatchCounts, "k string, n bigint")
+    return rows.groupBy("k").agg(F.sum("n").alias("n"))
+
+
+class _BatchCounts:
+    def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = batch.column(0).value_counts()
+        return pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["k", "n"])
 
 
 @query(r"""SELECT event_id, unnest(list_filter(string_split(event_type || chr(10) || chr(10) || props, chr(10)), lambda x: x <> '')) AS line FROM events""")
@@ -161,7 +219,7 @@ def src_datagram_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT count(*)::BIGINT AS n, sum(strlen(props))::BIGINT AS bytes FROM events""")
 def buffer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.sum(F.octet_length("props")).cast("bigint").alias("bytes"))
+    return memory.stats(read(spark, sf_dir, "events"), "props")
 
 
 @query("""SELECT p_name AS value, count(*)::BIGINT AS n FROM part WHERE p_name <> '' GROUP BY ALL""")
@@ -232,13 +290,11 @@ def binary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- batches, acknowledgements, metrics
 
 
-def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 1000).cast("bigint").alias("batch")).agg(F.count("*").alias("n"))
-
-
-@query("""SELECT event_id // 1000 AS batch, count(*)::BIGINT AS n FROM events GROUP BY ALL""")
+@query("""SELECT event_id // 1000 AS batch, count(*)::BIGINT AS n, min(event_id) AS first_event, string_agg(event_type, ',' ORDER BY event_id) AS kinds FROM events GROUP BY batch""")
 def batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batches(spark, sf_dir)
+    """Events gathered into batches of a thousand, each with its items in order."""
+    rows = pipeline.batches_of(read(spark, sf_dir, "events"), "event_id", 1000, "event_type")
+    return rows.select("batch", "n", F.get("items", F.lit(0))["event_id"].alias("first_event"), F.array_join(F.transform("items", lambda x: x["event_type"]), ",").alias("kinds"))
 
 
 @query(f"""SELECT hour, n, greatest(sum(n) OVER w // count(*) OVER w, 1)::BIGINT AS mean FROM (SELECT hour, count(*)::BIGINT AS n FROM {E_SQL} GROUP BY ALL)
@@ -252,21 +308,18 @@ def running_count_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT count(*)::BIGINT AS items, (max(s) - min(s))::BIGINT AS seconds, floor(count(*) * 3600 / (max(s) - min(s)))::BIGINT AS per_hour FROM {E_SQL}""")
 def timing_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events")
-    s = epoch_seconds(events, "ts")
-    out = events.agg(F.count("*").alias("items"), (F.max(s) - F.min(s)).alias("seconds"))
-    return out.withColumn("per_hour", F.floor(F.col("items") * 3600 / F.col("seconds")).cast("bigint"))
+    return pipeline.timing(events, epoch_seconds(events, "ts"))
 
 
 @query("""SELECT user_id, event_id AS seq, event_id - coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS newly_acked FROM events""")
 def ack_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative acknowledgements of each sender (user): each forgets what came since the one before."""
-    by = Window.partitionBy("user_id").orderBy("event_id")
-    return read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), (F.col("event_id") - F.coalesce(F.lag("event_id").over(by), F.lit(0))).alias("newly_acked"))
+    return memory.acknowledged(read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq")), "user_id", "seq")
 
 
 @query("""SELECT event_type AS op, count(*)::BIGINT AS events, (count(*) FILTER (event_type = 'error'))::BIGINT AS errors FROM events GROUP BY ALL""")
 def metrics_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("op")).agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    return pipeline.event_counts(read(spark, sf_dir, "events"), F.col("event_type"), F.col("event_type") == "error")
 
 
 @query(f"""SELECT s // 86400 * 86400 AS part_start, s AS ts, event_type, count(*)::BIGINT AS n FROM {E_SQL} GROUP BY ALL""")
@@ -284,13 +337,12 @@ def cube_batch_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- routing
 
-NODE_SQL = "(SELECT s_name AS node, CASE WHEN (s_suppkey % 10) / 10000.0 < 0.000809804 THEN 30 ELSE 50 END AS weight FROM supplier WHERE s_suppkey <= 4)"
+NODE_SQL = "(SELECT r_name AS node, CASE WHEN r_regionkey / 2000.0 < 0.000809804 THEN 30 ELSE 50 END AS weight FROM region)"
 
 
 def cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes made of the first four suppliers, with a disk size."""
-    rows = read(spark, sf_dir, "supplier").where("s_suppkey <= 4")
-    return rows.select(F.col("s_name").alias("node"), routing.node_weight((F.col("s_suppkey") % 10) / 10000.0).alias("weight"))
+    """Nodes made of the regions, a table of fixed size, with a disk size."""
+    return read(spark, sf_dir, "region").select(F.col("r_name").alias("node"), routing.node_weight(F.col("r_regionkey") / 2000.0).alias("weight"))
 
 
 @query("""SELECT s_suppkey, CASE WHEN (s_suppkey % 10) / 10000.0 < 0.000809804 THEN 30 ELSE 50 END AS weight FROM supplier""")

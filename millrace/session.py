@@ -34,10 +34,12 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a local session gets a temporary one; a cluster must name it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="millrace-")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -48,8 +50,9 @@ def new_folder(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.deleteOnExit(place)
+    return system.makeQualified(place).toString()
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:

@@ -20,7 +20,9 @@ from ..functions.codecs import split_frames
 def _place(uri: str):  # noqa: ANN202
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if re.match(r"\w+:/", uri) else "file://" + os.path.abspath(uri))
+    if not re.match(r"\w+:/", uri):
+        raise ValueError(f"{uri} has no scheme: executors would read and write their own disks; say file:// if that is meant")
+    return fs.FileSystem.from_uri(uri)
 
 
 class _File(InputPartition):
@@ -57,6 +59,12 @@ class Written(WriterCommitMessage):
 class FramedWriter(DataSourceWriter):
     """A file for each task, in place only when the whole write has succeeded."""
 
+    suffix = "frames"
+
+    @staticmethod
+    def packed(value: bytes) -> bytes:
+        return struct.pack("<I", len(value)) + value
+
     def __init__(self, path: str) -> None:
         self.path, self.run = path, uuid.uuid4().hex
 
@@ -68,8 +76,7 @@ class FramedWriter(DataSourceWriter):
         path, n = f"{folder}/_{self.run}-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}", 0
         with place.open_output_stream(path) as out:
             for row in rows:
-                value = bytes(row[0])
-                out.write(struct.pack("<I", len(value)) + value)
+                out.write(self.packed(row[0].encode() if isinstance(row[0], str) else bytes(row[0])))
                 n += 1
         return Written(path, n)
 
@@ -78,7 +85,7 @@ class FramedWriter(DataSourceWriter):
         for m in messages:
             if m:
                 folder, _, name = m.path.rpartition("/")
-                place.move(m.path, f"{folder}/part-{name[1:].split('-')[1]}-{self.run}.frames")
+                place.move(m.path, f"{folder}/part-{name[1:].split('-')[1]}-{self.run}.{self.suffix}")
 
     def abort(self, messages: list[Written | None]) -> None:
         place, _ = _place(self.path)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 class MemoryBuffer:
@@ -47,6 +48,28 @@ class MemoryBuffer:
         return spark.createDataFrame([(r,) for r in self], schema)
 
 
+def objects(spark: SparkSession, records: list, schema: str) -> DataFrame:
+    """Objects (tuples, dicts or rows) of which None is skipped."""
+    return spark.createDataFrame([r for r in records if r is not None], schema)
+
+
+def present(df: DataFrame, value: str = "value") -> DataFrame:
+    """The fields of a struct column, without the rows where it is null: objects that have been read by tasks."""
+    return df.where(F.col(value).isNotNull()).select(f"{value}.*")
+
+
+def stats(df: DataFrame, value: str) -> DataFrame:
+    """n, bytes of a buffer that is spread over tasks: what len() and byte_size() say of a MemoryBuffer; null is no record's bytes."""
+    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(value)), F.lit(0)).cast("bigint").alias("bytes"))
+
+
+def acknowledged(df: DataFrame, sender: str, seq: str) -> DataFrame:
+    """Adds newly_acked: what each cumulative acknowledgement makes a sender forget, as ReplayBuffer.ack counts it. An acknowledgement that
+    is not above the largest one before it forgets nothing."""
+    before = Window.partitionBy(sender).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("newly_acked", F.greatest(F.lit(0), F.col(seq) - F.coalesce(F.max(seq).over(before), F.lit(0))))
+
+
 class ReplayBuffer:
     """Records that were sent and not acknowledged. Numbers begin with 1."""
 

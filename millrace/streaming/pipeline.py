@@ -92,6 +92,24 @@ class Metrics(StreamingQueryListener):
             return {"batches": dict(self.batches), "rows": dict(self.rows), "errors": dict(self.errors)}
 
 
+def batches_of(rows: DataFrame, seq: str, size: int, *values: str) -> DataFrame:
+    """batch, n, items: rows gathered into batches of size places each, in order; a batch is an array of size structs at most."""
+    batch = F.floor(F.col(seq) / size).cast("bigint").alias("batch")
+    items = F.array_sort(F.collect_list(F.struct(seq, *values)))
+    return rows.groupBy(batch).agg(F.count("*").alias("n"), items.alias("items"))
+
+
+def timing(rows: DataFrame, seconds: Column) -> DataFrame:
+    """items, seconds, per_hour: how many rows came between the first and the last second."""
+    out = rows.agg(F.count("*").alias("items"), (F.max(seconds) - F.min(seconds)).alias("seconds"))
+    return out.withColumn("per_hour", F.floor(F.col("items") * 3600 / F.nullif("seconds", F.lit(0))).cast("bigint"))
+
+
+def event_counts(rows: DataFrame, op: Column, error: Column) -> DataFrame:
+    """op, events, errors, summed in each task first: rows for Report.merge."""
+    return rows.groupBy(op.alias("op")).agg(F.count("*").alias("events"), F.count_if(error).alias("errors"))
+
+
 def running_count(batches: DataFrame, order: str, n: str, floor: int = 1, span: int = 5) -> DataFrame:
     """Adds mean: the whole part of the mean of the last span counts, floor at least. A row for each batch is all it sorts."""
     from pyspark.sql import Window

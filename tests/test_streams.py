@@ -26,18 +26,18 @@ def test_frames():
 def test_framed_source_and_sink(spark, tmp_path):
     framed.register(spark)
     rows = spark.createDataFrame([(os.urandom(i),) for i in range(1, 60)], "value binary").repartition(3)
-    rows.write.format("framed").mode("append").save(str(tmp_path / "f"))
-    back = spark.read.format("framed").load(str(tmp_path / "f"))
+    rows.write.format("framed").mode("append").save(f"file://{tmp_path}/f")
+    back = spark.read.format("framed").load(f"file://{tmp_path}/f")
     assert sorted(bytes(r[0]) for r in back.collect()) == sorted(bytes(r[0]) for r in rows.collect())
-    files = spark.read.format("binaryFile").load(str(tmp_path / "f")).select(F.col("path").alias("file"), "content")
+    files = spark.read.format("binaryFile").load(f"file://{tmp_path}/f").select(F.col("path").alias("file"), "content")
     assert codecs.read_frames(files).count() == 59
 
 
 def test_large_message(spark, tmp_path):
     framed.register(spark)
     big = os.urandom(1 << 20) * 16
-    spark.createDataFrame([(big,)], "value binary").write.format("framed").mode("append").save(str(tmp_path / "f"))
-    assert bytes(spark.read.format("framed").load(str(tmp_path / "f")).first()[0]) == big
+    spark.createDataFrame([(big,)], "value binary").write.format("framed").mode("append").save(f"file://{tmp_path}/f")
+    assert bytes(spark.read.format("framed").load(f"file://{tmp_path}/f").first()[0]) == big
 
 
 def test_datagrams(spark, tmp_path):
