@@ -26,25 +26,22 @@ class Memo(dict):
         _tables.setdefault(owner, []).append(self)
 
     def __missing__(self, key: object) -> object:
-        if key in self.elder:
-            value = self.elder[key]
-        elif self.make is None:
-            raise KeyError(key)
-        else:
+        value = self.elder.get(key)
+        if value is None:
+            if self.make is None:
+                raise KeyError(key)
             value = self.make(key)
             if not self.keep(key):
                 return value
-        self.put(key, value)
+            self.age()
+        self[key] = value
         return value
 
-    def put(self, key: object, value: object) -> None:
+    def age(self) -> None:
+        """Makes room, if there is need."""
         if len(self) >= self.half:
             self.elder = dict(self)
             super().clear()
-        self[key] = value
-
-    def has(self, key: object) -> bool:
-        return key in self or key in self.elder
 
     def clear(self) -> None:
         super().clear()

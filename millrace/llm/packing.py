@@ -37,7 +37,7 @@ from .memo import Memo, own
 #: Documents that are encoded together.
 TOGETHER = 128
 #: Parts of texts whose ids a worker remembers (some 200 bytes each), and the length up to which a part is remembered.
-TABLE, LONGEST = 300_000, 64
+TABLE, LONGEST = 1_000_000, 64
 #: Open windows that a task holds (16 KB each, if full).
 MOST_OPEN = 2048
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, by_rule boolean"
@@ -71,14 +71,18 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Parts that are new to the table are encoded together."""
-        split = [self.parts(t) for t in texts]
-        known = {p: self.table[p] for p in set().union(*split) if self.table.has(p)}
-        new = [p for p in set().union(*split) if p not in known]
+        split, table = [self.parts(t) for t in texts], self.table
+        new = [p for p in set().union(*split) if p not in table and p not in table.elder]
+        long = {}
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[p] = ids = np.array(e.ids, "<u4").tobytes()
-            if len(p) <= LONGEST:
-                self.table.put(p, ids)
-        return [b"".join(map(known.__getitem__, parts)) for parts in split]
+            (table if len(p) <= LONGEST else long)[p] = np.array(e.ids, "<u4").tobytes()
+        if long:
+            table |= long
+        out = [b"".join(map(table.__getitem__, parts)) for parts in split]  # looks into the elder generation too
+        for p in long:
+            del table[p]
+        table.age()
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
