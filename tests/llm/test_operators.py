@@ -674,6 +674,46 @@ def test_secrets_in_odd_rows(spark, odd, none, trees):
     assert text[1]["text"] == "see [SECRET] and password=[SECRET] twice [SECRET]." and text[1]["n_chars"] == len(text[1]["text"]) and text[2]["text"] is None and text[None]["n_chars"] == 1
 
 
+def test_short_and_long_secrets(spark, trees):
+    draw = random.Random(8)
+    long = "".join(draw.choice("0123456789abcdef") for _ in range(270))
+    texts = {
+        1: "log in with password=hunter2x7 now", 2: "set pwd: Tr0ub4dor&3 please", 3: f"the key {'x'} token={long} ends", 4: 'api_key = "q9Zt4LmX2c"',
+        5: "the password is required by everyone", 6: "a key: important, and the token was changed", 7: "password=required for all", 8: "see secret: example here",
+    }
+    rows = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in texts.items()], SCHEMA)
+    got = {}
+    for r in secrets.scan(rows, trees).where("is_secret").collect():
+        got.setdefault(r["doc_id"], []).append(r["secret"])
+    assert got == {1: ["hunter2x7"], 2: ["Tr0ub4dor&3"], 3: [long], 4: ["q9Zt4LmX2c"]}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(rows, trees).collect()}
+    assert clean[3] == "the key x token=[SECRET] ends" and clean[5] == texts[5]
+
+
+def plain_candidates(text):
+    """Word index and run of each candidate."""
+    w, out = brute.words(text), []
+    for i, x in enumerate(w):
+        before, before2 = w[i - 1] if i else "", w[i - 2] if i > 1 else ""
+        named = re.search(secrets.NAMING, before) or (before in (":=", "=>", "=", ":") and re.search(secrets.NAMES, before2))
+        found = re.findall(secrets.NAMED, x) or re.findall(secrets.RUN, x) or (re.findall(secrets.VALUE, x) if named else [])
+        out += [(i, r) for r in found]
+    return out
+
+
+def test_candidates_and_features_equal_plain_ones(spark, trees):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(spark.createDataFrame([(10**6, "token: abc12345 pwd = x!y?z9q; key=aaaaaaaaaaaaaaaaaaaa,bbbbbbbbbbbbbbbbbbbbbb auth:zz", "en", "a", 9)], SCHEMA))
+    found = {}
+    for r in secrets.scan(docs, trees).collect():
+        found.setdefault(r["doc_id"], []).append((r["word_index"], r["secret"]))
+    assert found == {r["doc_id"]: c for r in docs.collect() if (c := plain_candidates(r["text"]))}
+    table = secrets.triples(secrets.dictionary())
+    runs = ["information", "xqzjkvwq", "AKIA7W6ZERN7", "ab", "Über-größe"]
+    one = lambda r: sum(len(t) == 3 and t.isascii() and t.isalpha() and table[(ord(t[0]) - 97) * 676 + (ord(t[1]) - 97) * 26 + ord(t[2]) - 97] == "1" for t in (r.lower()[i : i + 3] for i in range(len(r) - 2))) / max(1, len(r) - 2)
+    got = spark.createDataFrame([(r,) for r in runs], "r string").select(secrets.covered(F.col("r"), table).alias("c")).collect()
+    assert [g["c"] for g in got] == pytest.approx([one(r) for r in runs]) and got[0]["c"] > 0.9 and got[1]["c"] < 0.2
+
+
 def test_forest_says_what_its_library_says(spark, trees):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
