@@ -46,6 +46,8 @@ LANDMARKS, RIDGE = 128, 0.1
 MIN_CHARS, MAX_CHARS = 100, 10_000
 #: Texts that are learned from, in all languages together (MAX_CHARS characters at most each).
 MOST_SAMPLES = 6000
+#: Sets that the scan tasks are dealt to where the first texts of a language are looked for.
+PARTS = 64
 UNKNOWN = "und"
 #: For rejection: every HELD-th sample is held out.
 HELD, LEAST_HELD, TAIL, EASE, PIECE = 5, 8, 0.01, 0.7, 320
@@ -212,8 +214,12 @@ def sample(docs: DataFrame, per_lang: int) -> list[tuple[str, str]]:
     if langs > MOST_SAMPLES:
         raise ValueError(f"more than {MOST_SAMPLES} languages")
     each = max(1, min(per_lang, MOST_SAMPLES // max(1, langs)))
-    first = Window.partitionBy("lang").orderBy("odd", "h", "doc_id", "n")
-    ids = slim.withColumn("k", F.row_number().over(first)).where(F.col("k") <= each).select("lang", "doc_id", "h", "n").distinct()
+    # the first of each set of scan tasks, then the first of all: no task gets more than its share of a common language
+    ids = slim.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS)))
+    for by in (["lang", "part"], ["lang"]):
+        first = Window.partitionBy(*by).orderBy("odd", "h", "doc_id", "n")
+        ids = ids.withColumn("k", F.row_number().over(first)).where(F.col("k") <= each)
+    ids = ids.select("lang", "doc_id", "h", "n").distinct()
     start = F.greatest(F.lit(0), F.floor((F.length("text") - MAX_CHARS) / 2).cast("int")) + 1
     rows = docs.select("doc_id", "lang", F.length("text").alias("n"), F.substring("text", start, F.lit(MAX_CHARS)).alias("text"))
     rows = rows.join(F.broadcast(ids), ["doc_id", "lang", "n"])  # MOST_SAMPLES rows at most
