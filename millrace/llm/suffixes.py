@@ -7,8 +7,9 @@ then by the words that follow, then by the words before it, backwards; with all
 words is decided. Suffixes whose head stands in one document only are dropped before texts are read again.
 
 Sorted suffixes are compared with their NEIGHBOURS next ones: from the common head, the match is extended right and left, and it
-counts if it has MIN_WORDS words or more and stands in two documents. Longer passages are covered by their several places. The array
-is range-partitioned with ties broken by document and place; the ends of the partitions are compared once more among themselves.
+counts if it has MIN_WORDS words or more and stands in two documents. Longer passages are covered by their several places. As only suffixes
+of one head are compared, the array is dealt by head and sorted in each part, with ties broken by document and place: nothing is sampled,
+and no comparison crosses two parts.
 ``matches`` gives every match with its other document; ``shared_passages`` joins what the matches of a document cover.
 
 Neighbours are all suffixes of a head that has NEIGHBOURS + 1 rows at most. Those of a more common head are not in the array: each
@@ -122,13 +123,13 @@ def _padded(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(x.ljust(wide, b"\0") for x in rows), np.uint8).reshape(-1, wide), np.array([len(x) // CODE for x in rows], np.int64)
 
 
-MATCHES = "doc_id bigint, start int, stop int, other bigint, head bigint, after binary, before binary, place int"
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("other", pa.int64()), ("head", pa.int64()), ("after", pa.binary()), ("before", pa.binary()), ("place", pa.int32())])
+MATCHES = "doc_id bigint, start int, stop int, other bigint"
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("other", pa.int64())])
 
 
-def _neighbours(seams: bool, each: bool):  # noqa: ANN202
-    """Matches of sorted suffixes with the next ones. seams: give the partition's first and last suffixes too. each: a row for each
-    match; else one for each suffix, from where its matches start to where they stop: all of them hold its head."""
+def _neighbours(each: bool):  # noqa: ANN202
+    """Matches of sorted suffixes with the next ones. each: a row for each match; else one for each suffix, from where its matches
+    start to where they stop: all of them hold its head."""
 
     def matches(t: pa.Table) -> pa.RecordBatch:
         head, doc, place = (t.column(c).to_numpy() for c in ("head", "doc_id", "place"))
@@ -153,31 +154,19 @@ def _neighbours(seams: bool, each: bool):  # noqa: ANN202
             some = np.flatnonzero(stop)
             out.append((doc[some], start[some], stop[some], doc[some]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
-        n = len(cols[0])
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(cols, (np.int64, np.int32, np.int32, np.int64), strict=True)] + [pa.nulls(n, f.type) for f in list(_SCHEMA)[4:]], schema=_SCHEMA)
-
-    def edge(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        one = lambda c: t.column(c).combine_chunks() if t.num_rows else pa.array([], _SCHEMA.field(c).type)
-        none = lambda c: pa.nulls(t.num_rows, _SCHEMA.field(c).type)
-        return pa.RecordBatch.from_arrays([one("doc_id"), none("start"), none("stop"), none("other"), one("head"), one("after"), one("before"), one("place")], schema=_SCHEMA)
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(cols, (np.int64, np.int32, np.int32, np.int64), strict=True)], schema=_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail, first = None, None
+        tail = None
         for batch in batches:
             if not len(batch):
                 continue
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([tail, t]) if tail is not None else t
-            if first is None or first.num_rows < NEIGHBOURS:
-                first = t.slice(0, NEIGHBOURS)
             found = matches(t)
             if found.num_rows:
                 yield found
             tail = t.slice(max(0, t.num_rows - NEIGHBOURS))
-        if seams and tail is not None:
-            yield edge(first)
-            yield edge(tail)
 
     return run
 
@@ -196,13 +185,10 @@ def _found(docs: DataFrame, partitions: int, each: bool) -> tuple[DataFrame, Dat
     chosen = heads.join(shared, "head").groupBy("doc_id").agg(of(False).alias("places"), of(True).alias("common"))
     keys = ["head", "after", "before", "doc_id", "place"]
     rows = docs.join(chosen, "doc_id").select("doc_id", "text", "places", "common")
-    # written, as the range partitioning reads its input twice and the windows are read twice too
+    # written, as it is read once for the array and twice for the windows
     rows = written(rows.mapInArrow(_contexts, "head bigint, after binary, before binary, doc_id bigint, place int, window bigint"), "contexts")
-    array = rows.where("window is null").select(*keys).repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
-    found = written(array.mapInArrow(_neighbours(True, each), MATCHES), "matches")
-    ends = found.where("head is not null").select(*keys).distinct().coalesce(1).sortWithinPartitions(*keys)
-    found = found.where("head is null").unionByName(ends.mapInArrow(_neighbours(False, each), MATCHES)).select("doc_id", "start", "stop", "other")
-    return found, rows.where("window is not null").select("window", "doc_id", F.col("place").alias("start"))
+    array = rows.where("window is null").select(*keys).repartition(partitions, "head").sortWithinPartitions(*keys)
+    return array.mapInArrow(_neighbours(each), MATCHES), rows.where("window is not null").select("window", "doc_id", F.col("place").alias("start"))
 
 
 def _twice(windows: DataFrame) -> DataFrame:
