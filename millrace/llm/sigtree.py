@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..session import bound_batches, ship_code
 from .common import written
-from .components import components
+from .components import Union, components
 from .memo import own
 from .shingles import mixed, shingle_set
 
@@ -202,21 +202,6 @@ def may_link(a: Tree, b: Tree, level_a: int, level_b: int, x: np.ndarray, y: np.
     return enough & sizes & ~joined
 
 
-class Union:
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        while self.up.get(x, x) != x:
-            self.up[x] = self.up.get(self.up[x], self.up[x])
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        x, y = sorted((self.find(x), self.find(y)))
-        self.up[y] = x
-
-
 def linked(a: Tree, b: Tree, t: Fraction) -> Iterator[tuple[int, int]]:
     """Links between sets of two trees (or of one with itself) that connect all labels that links connect."""
     same, p, q, union = a is b, t.numerator, t.denominator, Union()

@@ -508,6 +508,23 @@ def test_components_of_paths_and_stars(spark, in_one_task, monkeypatch):
     assert all(out[i] == 0 for i in range(51)) and all(out[100 + i] == 100 for i in range(30)) and out[300] == out[200] == 200 and len(out) == 83
 
 
+@pytest.mark.parametrize("in_one_task", [3_000, 200_000])
+def test_components_work_on_a_row_for_each_node(spark, in_one_task, monkeypatch):
+    """Two groups in which every hub of a set's many keys leads to every other set: 8000 pairs each, of 240 nodes."""
+    rows, real = [], components.written
+
+    def counted(df, name):
+        rows.append((out := real(df, name)).count())
+        return out
+
+    monkeypatch.setattr(components, "IN_ONE_TASK", in_one_task)
+    monkeypatch.setattr(components, "written", counted)
+    edges = [(at + hub, at + 100 + node) for at in (0, 1000) for hub in range(40) for node in range(200)]
+    out = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u bigint, v bigint").coalesce(1)).collect()}
+    assert out == {at + x: at for at in (0, 1000) for x in (*range(40), *range(100, 300))}
+    assert rows[0] <= len(edges) // 4 and sum(rows) <= len(edges) // 2
+
+
 # ---- 7
 
 
