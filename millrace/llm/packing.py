@@ -13,7 +13,8 @@ padding. ``by_rule`` says of each piece whether it lies where the rule (or the c
 
 Tokens of a text are those of its parts: the pieces that the tokenizer's splitter makes of Latin text, else what stands between
 ASCII white space, which neither its normaliser nor its splitter looks across. Parts are looked up in a bounded table of
-earlier ones.
+earlier ones. New ones that are words of Latin lower-case letters go to the tokenizer's model as its splitter would hand them
+over, other ones to the tokenizer.
 
 Edge cases: a null or empty text is its end token alone; a null doc_id stays null; repeated rows are packed each; a document
 longer than a window spans several; an empty table or partition gives no rows; extra columns are not read.
@@ -45,6 +46,7 @@ SCHEMA = pa.schema([(c.split()[0], pa.bool_() if c.endswith("boolean") else pa.i
 PARTS = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 # The tokenizer's splitter, for lower-case texts of the first 256 code points, which its normaliser leaves alone.
 LETTERS, DIGITS, BLANKS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t\n\r\x0b\x0c\x85\xa0"
+WORD = re.compile(f"[{LETTERS}]+")
 LATIN = re.compile(f"[{LETTERS}]+|[{DIGITS}]|'(?:s|t|re|ve|m|ll|d)|[^{BLANKS}{LETTERS}{DIGITS}]+")
 
 Piece = tuple[int | None, int, bytes, int, bool]  # doc_id, start, ids as bytes, doc_tokens, by_rule
@@ -57,7 +59,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.table = Tokenizer.from_file(path), Memo("packing", TABLE)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, split = self.tokenizer.model, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.spelled = {i: "".join(piece for piece, _ in split(chr(i))) for i in range(128, 256) if WORD.fullmatch(chr(i))}
+        self.table = Memo("packing", TABLE, self.part, lambda part: len(part) <= LONGEST)
 
     @staticmethod
     def parts(text: str) -> list[str]:
@@ -69,20 +74,15 @@ class Encoder:
                 pass
         return PARTS.findall(text)
 
+    def part(self, part: str) -> bytes:
+        if WORD.fullmatch(part):
+            ids = [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.spelled))]
+        else:
+            ids = self.tokenizer.encode_batch_fast([part], add_special_tokens=False)[0].ids
+        return np.array(ids, "<u4").tobytes()
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Parts that are new to the table are encoded together."""
-        split, table = [self.parts(t) for t in texts], self.table
-        new = [p for p in set().union(*split) if p not in table and p not in table.elder]
-        long = {}
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            (table if len(p) <= LONGEST else long)[p] = np.array(e.ids, "<u4").tobytes()
-        if long:
-            table |= long
-        out = [b"".join(map(table.__getitem__, parts)) for parts in split]  # looks into the elder generation too
-        for p in long:
-            del table[p]
-        table.age()
-        return out
+        return [b"".join(map(self.table.__getitem__, self.parts(t))) for t in texts]
 
 
 _encoders: dict[str, Encoder] = {}

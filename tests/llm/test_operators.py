@@ -279,6 +279,28 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_latin_words_go_to_the_model_alone():
+    """The tokenizer gets what is no lower-case Latin word, and each such part once while the table has it."""
+    from tokenizers import Tokenizer
+
+    class Heard:
+        def __init__(self, inner):
+            self.inner, self.heard = inner, []
+
+        def encode_batch_fast(self, parts, **how):
+            self.heard += parts
+            return self.inner.encode_batch_fast(parts, **how)
+
+    tokenizer, draw, encoder = Tokenizer.from_file(queries.TOKENIZER), random.Random(5), packing.Encoder(queries.TOKENIZER)
+    letters = [chr(c) for c in range(256) if packing.WORD.fullmatch(chr(c))]
+    assert len(letters) == 26 + 3 + 24 + 8 and "".join(letters) == "".join(letters).lower()
+    words = ["".join(draw.choice(letters) for _ in range(draw.randint(1, 90))) for _ in range(2000)] + letters + [a + b for a in letters for b in letters]
+    text = " ".join(words) + " 12, 1 " * 3
+    encoder.tokenizer = heard = Heard(encoder.tokenizer)
+    assert np.frombuffer(encoder([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert sorted(heard.heard) == [",", "1", "2"]
+
+
 # ---- 4
 
 
