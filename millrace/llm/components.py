@@ -58,6 +58,8 @@ def _forest(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 def components(edges: DataFrame) -> DataFrame:
     """edges: u, v (bigint). node, component (the smallest node reachable) for every node that has an edge.
 
+    Reading edges should need no Python: a task would have two workers, whose memory adds up.
+
     Each task first leaves of its pairs what connects the same nodes: a row for each node at most, however many pairs it has.
     Of IN_ONE_TASK pairs or fewer that are left, one more such pass over all is the result.
 

@@ -348,7 +348,9 @@ def link_classes(docs: DataFrame, described: DataFrame, classes: DataFrame, k: i
     inner = stars.join(small, "hub")
     inner = inner.unionByName(inner.select("hub", F.col("hub").alias("node")).distinct()).join(marks, "node").select("hub", "node", "n", "mark")
     inner = inner.repartition("hub").sortWithinPartitions("hub").mapInArrow(_allowed(t), "u bigint, v bigint")
-    groups = components(inner.unionByName(stars.join(large, "hub").select(F.col("hub").alias("u"), F.col("node").alias("v"))))
+    # written, so that no task has a Python worker for the trees and one for the components at once
+    allowed = written(inner.unionByName(stars.join(large, "hub").select(F.col("hub").alias("u"), F.col("node").alias("v"))), "allowed")
+    groups = components(allowed)
     members = classes.join(groups, classes.s1 == groups.node).select("rep", "n", F.col("component").alias("grp"))
     bins = members.withColumn("bin", F.floor(F.log(F.col("n")) / F.log(F.lit(1.1))).cast("int"))
     bins = written(bins, "members")
