@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, packing, quality, secrets, sharding, sigtree, suffixes, warc
+from . import langid, minhash, mixing, packing, prefixtrie, quality, secrets, sharding, sigtree, suffixes, warc
 from .common import new_folder, table
 
 #: Weights that the sources get in turn, and the share of all words that the mix has.
@@ -73,6 +73,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, F.col("doc_id"), SHARDS).select("doc_id", "slot", "shard")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefixtrie.turn_rows(table(spark, sf_dir, "conversations"))
+    convs = turns.select("conv_id").distinct()
+    return prefixtrie.prefix_trie(prefixtrie.shared_starts(turns, convs), convs)
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -168,6 +174,32 @@ SELECT doc_id, slot, 'shard-' || lpad(owner[slot + 1]::VARCHAR, 3, '0') AS shard
 """
 
 
+#: crc32 of a conversation's number, bit by bit, over the bytes of its decimal digits.
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+OP13_SQL = rf"""
+WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p
+           FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, {CRC32} % 4 AS h, conv_id - conv_id % 20 AS src FROM (SELECT DISTINCT conv_id FROM t)),
+l AS (SELECT c.conv_id, t.p, 0 AS own, t.role, t.text FROM c JOIN t ON t.conv_id = c.src WHERE t.p <= c.h
+      UNION ALL SELECT c.conv_id, t.p, 1, t.role, t.text FROM c JOIN t USING (conv_id) WHERE t.p > c.h),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY own, p) AS d, length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM l),
+q AS (SELECT conv_id, d, words, string_agg(length(role) || ':' || role || length(text) || ':' || text, '' ) OVER (PARTITION BY conv_id ORDER BY d) AS prefix FROM r
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+n AS (SELECT d, prefix, min(conv_id) AS node, count(*) AS n_convs, min(words) AS words FROM q GROUP BY d, prefix),
+m AS (SELECT q.conv_id, d, node FROM q JOIN n USING (d, prefix)),
+k AS (SELECT n.node, n.d, n_convs, (n_convs - 1) * words AS own, m.node AS parent FROM n LEFT JOIN m ON m.conv_id = n.node AND m.d = n.d - 1),
+w AS (SELECT k.*, (SELECT count(*) FROM k AS j WHERE j.parent = k.node AND j.d = k.d + 1) AS n_children FROM k),
+u AS (SELECT m.node, m.d, sum((n_children = 0)::INT) AS n_leaves, sum(own) AS saved FROM w JOIN m ON m.conv_id = w.node AND m.d <= w.d GROUP BY m.node, m.d),
+e AS (SELECT m.node, m.d, string_agg(m.conv_id::VARCHAR, ',' ORDER BY m.conv_id) AS ids
+      FROM m JOIN (SELECT conv_id, max(d) AS d FROM m GROUP BY conv_id) USING (conv_id, d) GROUP BY m.node, m.d)
+SELECT w.node AS conv_id, w.d::BIGINT AS depth, w.parent AS parent_conv_id, w.n_convs::BIGINT AS n_convs, w.n_children::BIGINT AS n_children,
+       u.n_leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM w JOIN u USING (node, d) LEFT JOIN e USING (node, d)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -180,8 +212,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_sharding": op9_sharding,
         "op10_secret_scan": op10_secret_scan,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op4_suffix_dedup": OP4_SQL, "op5_warc": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op7_mixing": OP7_SQL, "op9_sharding": op9_sql()}
+    return {"op1_quality_rules": OP1_SQL, "op4_suffix_dedup": OP4_SQL, "op5_warc": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op7_mixing": OP7_SQL, "op9_sharding": op9_sql(), "op13_prefix_trie": OP13_SQL}
