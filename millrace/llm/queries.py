@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, packing, prefixtrie, quality, secrets, sharding, sigtree, suffixes, warc
+from . import bpe, langid, lloyd, minhash, mixing, packing, prefixtrie, quality, secrets, sharding, sigtree, suffixes, warc
 from .common import new_folder, table
 
 #: Weights that the sources get in turn, and the share of all words that the mix has.
@@ -73,6 +73,22 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, F.col("doc_id"), SHARDS).select("doc_id", "slot", "shard")
 
 
+#: Components, their scale, clusters, rounds and the seed of op11.
+SIZE, SCALE, CLUSTERS, ROUNDS, SEED = 64, 256, 40, 5, 2
+
+
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = lloyd.whole_vectors(table(spark, sf_dir, "embeddings"), SIZE, SCALE)
+    return lloyd.report(*lloyd.cluster(vectors, SIZE, CLUSTERS, ROUNDS, SEED))
+
+
+def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe.encode(docs, TOKENIZER, bpe.build(docs, TOKENIZER), decode_too=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefixtrie.turn_rows(table(spark, sf_dir, "conversations"))
     convs = turns.select("conv_id").distinct()
@@ -200,6 +216,28 @@ FROM w JOIN u USING (node, d) LEFT JOIN e USING (node, d)
 """
 
 
+def op11_sql() -> str:
+    """Every round compares every vector with every centroid."""
+    parts = [rf"""
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE len(embedding) = {SIZE} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {SIZE}),
+c0 AS (SELECT (row_number() OVER (ORDER BY h) - 1)::INT AS c, v FROM (SELECT v, sha256('{SEED}:' || coalesce(vec_id::VARCHAR, '')) AS h FROM v ORDER BY h LIMIT {CLUSTERS}))"""]
+    for r in range(ROUNDS + 1):
+        parts.append(rf"""
+a{r} AS (SELECT rid, min_by(c, (d, c)) AS c, min(d) AS d FROM (
+  SELECT v.rid, c{r}.c, list_sum(list_transform(range(1, {SIZE + 1}), lambda i: (v.v[i] - c{r}.v[i]) * (v.v[i] - c{r}.v[i])))::BIGINT AS d FROM v, c{r}) GROUP BY rid)""")
+        if r < ROUNDS:
+            parts.append(rf"""
+m{r} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM (
+  SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT a.c, unnest(range({SIZE})) AS i, unnest(v.v) AS x FROM a{r} AS a JOIN v USING (rid)) GROUP BY c, i) GROUP BY c),
+c{r + 1} AS (SELECT c, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (c))""")
+    return ",".join(parts) + rf"""
+SELECT vec_id, a.c AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(k.v, ',')) AS centroid_sha256
+FROM a{ROUNDS} AS a JOIN v USING (rid) JOIN c{ROUNDS} AS k ON k.c = a.c
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -212,9 +250,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_sharding": op9_sharding,
         "op10_secret_scan": op10_secret_scan,
+        "op11_centroid_clusters": op11_centroid_clusters,
+        "op12_bpe_codec": op12_bpe_codec,
         "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op4_suffix_dedup": OP4_SQL, "op5_warc": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op7_mixing": OP7_SQL, "op9_sharding": op9_sql(), "op13_prefix_trie": OP13_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op4_suffix_dedup": OP4_SQL, "op5_warc": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op7_mixing": OP7_SQL, "op9_sharding": op9_sql(), "op11_centroid_clusters": op11_sql(), "op13_prefix_trie": OP13_SQL}
