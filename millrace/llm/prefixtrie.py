@@ -5,7 +5,8 @@ texts are read once and never shuffled. ``digests`` gives the digest of every pr
 last 2^k turns before and with it, made of two halves; equal prefixes have equal digests, and nothing walks along a conversation.
 ``nodes`` groups them, with each node's parent as an edge. ``rollup`` adds up what subtrees have by pointer jumping: after round k a
 node has the sums of its descendants nearer than 2^k and an edge to its ancestor at that distance; it gives the sums to that
-ancestor, and takes that one's edge as its next. So the number of rounds is the logarithm of the greatest depth.
+ancestor, and takes that one's edge as its next. So the number of rounds is the logarithm of the greatest depth, and a few long
+conversations add rounds of their own rows only.
 
 A conversation, a first turn or a node may have a third of all rows: turns are numbered by ranges, sums are formed in each task before
 they are shuffled, and joins are plain ones, whose skewed partitions Spark splits. Every round is written to the shared folder. The
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,7 +35,8 @@ from .common import word_count, written
 #: Ids that are joined to one text before they are hashed.
 CHUNK = 1024
 #: A node's key is its smallest conversation and its depth: no other node of that depth has that conversation.
-NODE = "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, own_saved bigint"
+#: reach is the length of its longest member, own_saved what the node itself saves.
+NODE = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "own_saved", "reach"]
 
 
 def turn_key(role: Column, text: Column) -> Column:
@@ -49,15 +52,19 @@ def turn_rows(conversations: DataFrame) -> DataFrame:
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """Adds prefix, the digest of the turns 1 to depth of a conversation. Depths have no gaps; each is written once."""
-    rows = written(turns.select("conv_id", "depth", "words", F.col("key").alias("prefix")), "prefixes")
-    deepest, step = rows.agg(F.max("depth")).first()[0] or 0, 1
-    while step < deepest:
-        before = rows.select("conv_id", (F.col("depth") + step).alias("depth"), F.col("prefix").alias("__before"))
-        joined = F.when(F.col("__before").isNull(), F.col("prefix")).otherwise(F.unhex(F.sha2(F.concat("__before", "prefix"), 256)))
-        rows = written(rows.join(before, ["conv_id", "depth"], "left").select("conv_id", "depth", "words", joined.alias("prefix")), "prefixes")
+    """Adds prefix, the digest of the turns 1 to depth of a conversation, and length, its number of turns. Depths have no gaps. A round has
+    those conversations alone that are longer than what the rounds before have covered."""
+    lengths = turns.groupBy("conv_id").agg(F.max("depth").alias("length"))
+    rows = written(turns.select("conv_id", "depth", "words", F.col("key").alias("prefix")).join(lengths, "conv_id"), "prefixes")
+    longest, step, done = rows.agg(F.max("length")).first()[0] or 0, 1, []
+    while step < longest:
+        done.append(rows.where(F.col("length") <= step))
+        rows = rows.where(F.col("length") > step)
+        before = rows.where(F.col("depth") + step <= F.col("length")).select("conv_id", (F.col("depth") + step).alias("depth"), F.col("prefix").alias("__before"))
+        joined = rows.where(F.col("depth") > step).join(before, ["conv_id", "depth"]).withColumn("prefix", F.unhex(F.sha2(F.concat("__before", "prefix"), 256))).select(*rows.columns)
+        rows = written(rows.where(F.col("depth") <= step).unionByName(joined), "prefixes")
         step *= 2
-    return rows
+    return reduce(DataFrame.unionByName, [*done, rows])
 
 
 def _id_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,40 +102,47 @@ def ends(members: DataFrame) -> DataFrame:
 def nodes(turns: DataFrame, convs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The nodes (see NODE), written, and for each conversation (conv_id of convs) the node that it ends in."""
     rows = digests(turns)
-    root = convs.select(F.col("conv_id"), F.lit(0).cast("bigint").alias("depth"), F.lit(0).cast("bigint").alias("words"), F.lit(b"").alias("prefix"))
-    places = rows.select("conv_id", "depth", "words", "prefix").unionByName(root)
-    grouped = places.groupBy("depth", "prefix").agg(F.min("conv_id").alias("node"), F.count("*").alias("n_convs"), F.min("words").alias("words"))
+    number = lambda n: F.lit(n).cast("bigint")
+    # the root may have descendants at any distance
+    root = convs.select("conv_id", number(0).alias("depth"), number(0).alias("words"), number(1 << 60).alias("length"), F.lit(b"").alias("prefix"))
+    places = rows.select(*root.columns).unionByName(root)
+    grouped = places.groupBy("depth", "prefix").agg(F.min("conv_id").alias("node"), F.count("*").alias("n_convs"), F.min("words").alias("words"), F.max("length").alias("reach"))
     grouped = written(grouped, "nodes")
     at = written(places.select("conv_id", "depth", "prefix").join(grouped.select("depth", "prefix", "node"), ["depth", "prefix"]).drop("prefix"), "places")
     # a node's smallest conversation passes its parent too
     above = at.select(F.col("conv_id").alias("node"), (F.col("depth") + 1).alias("depth"), F.col("node").alias("parent"))
-    edges = grouped.join(above, ["node", "depth"], "left")
-    counts = edges.where("parent is not null").groupBy(F.col("parent").alias("node"), (F.col("depth") - 1).alias("depth")).agg(F.count("*").alias("n_children"))
-    out = edges.join(counts, ["node", "depth"], "left").select(
-        F.col("node").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs",
-        F.coalesce("n_children", F.lit(0)).cast("bigint").alias("n_children"), ((F.col("n_convs") - 1) * F.col("words")).cast("bigint").alias("own_saved"),
-    )
-    last = at.groupBy("conv_id").agg(F.max("depth").alias("depth")).join(at, ["conv_id", "depth"])
-    return written(out, "trie"), last.select("conv_id", "node", "depth")
+    edges = grouped.where("depth > 0").join(above, ["node", "depth"]).unionByName(grouped.where("depth = 0").withColumn("parent", F.lit(None).cast("bigint")))
+    # a row for each node, and what its children say of it
+    own = edges.select("node", "depth", "parent", "n_convs", ((F.col("n_convs") - 1) * F.col("words")).alias("own_saved"), "reach", number(0).alias("n_children"))
+    none = F.lit(None).cast("bigint")
+    children = edges.where("parent is not null").select(F.col("parent").alias("node"), (F.col("depth") - 1).alias("depth"), none.alias("parent"), none.alias("n_convs"), none.alias("own_saved"), none.alias("reach"), number(1).alias("n_children"))
+    kept = [F.max(c).alias(c) for c in ("parent", "n_convs", "own_saved", "reach")]
+    out = own.unionByName(children).groupBy("node", "depth").agg(*kept, F.sum("n_children").alias("n_children"))
+    last = at.groupBy("conv_id").agg(F.max_by("node", "depth").alias("node"), F.max("depth").alias("depth"))
+    names = {"node": "conv_id", "parent": "parent_conv_id"}
+    return written(out.withColumnsRenamed(names).select(*NODE), "trie"), last
 
 
 def rollup(trie: DataFrame) -> DataFrame:
-    """trie: rows of NODE. The same with n_leaves and saved_tokens of the whole subtree in place of own_saved."""
-    up = F.when(F.col("depth") > 0, F.col("parent_conv_id"))
-    rows = written(trie.withColumns({"n_leaves": (F.col("n_children") == 0).cast("bigint"), "saved_tokens": F.col("own_saved"), "up": up}).drop("own_saved"), "rollup")
-    deepest, step = rows.agg(F.max("depth")).first()[0] or 0, 1
+    """trie: rows of NODE. conv_id, depth, n_leaves and saved_tokens of the whole subtree. A round has those nodes alone that have an
+    ancestor or may have a descendant at its distance."""
+    rows = trie.select("conv_id", "depth", "reach", (F.col("n_children") == 0).cast("bigint").alias("n_leaves"), F.col("own_saved").alias("saved_tokens"), F.col("parent_conv_id").alias("up"))
+    deepest, step, done, none = rows.agg(F.max("depth")).first()[0] or 0, 1, [], F.lit(None).cast("bigint")
     while step <= deepest:
-        given = rows.where("up is not null").groupBy(F.col("up").alias("conv_id"), (F.col("depth") - step).alias("depth")).agg(F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("saved"))
-        summed = rows.join(given, ["conv_id", "depth"], "left").withColumns(
-            {"n_leaves": F.col("n_leaves") + F.coalesce("leaves", F.lit(0)), "saved_tokens": F.col("saved_tokens") + F.coalesce("saved", F.lit(0))}
-        ).drop("leaves", "saved")
+        live = F.greatest("depth", F.col("reach") - F.col("depth")) >= step
+        done.append(rows.where(~live))
+        rows = rows.where(live)
+        has_up, nothing = rows.where(F.col("depth") >= step), F.lit(0).cast("bigint")
+        given = has_up.select(F.col("up").alias("conv_id"), (F.col("depth") - step).alias("depth"), none.alias("reach"), "n_leaves", "saved_tokens", none.alias("up"))
         # who has an ancestor at twice the distance takes it from the one that it points to
-        next_up = rows.where("up is not null").select(F.col("conv_id").alias("up"), (F.col("depth") + step).alias("depth"), F.col("up").alias("next"))
-        far = summed.where(F.col("depth") >= 2 * step).join(next_up, ["up", "depth"], "left").withColumn("up", F.col("next")).select(*rows.columns)
-        near = summed.where(F.col("depth") < 2 * step).withColumn("up", F.lit(None).cast("bigint")).select(*rows.columns)
-        rows = written(near.unionByName(far), "rollup")
+        next_up = has_up.select(F.col("conv_id").alias("up"), (F.col("depth") + step).alias("depth"), F.col("up").alias("next"))
+        far = rows.where(F.col("depth") >= 2 * step).select("conv_id", "depth", "up").join(next_up, ["up", "depth"])
+        edges = far.select("conv_id", "depth", none.alias("reach"), nothing.alias("n_leaves"), nothing.alias("saved_tokens"), F.col("next").alias("up"))
+        every = rows.withColumn("up", none).unionByName(given).unionByName(edges)
+        summed = every.groupBy("conv_id", "depth").agg(F.max("reach").alias("reach"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"), F.max("up").alias("up"))
+        rows = written(summed, "rollup")
         step *= 2
-    return rows.drop("up")
+    return reduce(DataFrame.unionByName, [*done, rows]).select("conv_id", "depth", "n_leaves", "saved_tokens")
 
 
 def prefix_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
@@ -137,7 +151,7 @@ def prefix_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     trie, last = nodes(turns, convs)
     texts = ends(last).withColumnRenamed("node", "conv_id")
     none = F.lit(hashlib.sha256(b"").hexdigest())
-    out = rollup(trie).join(texts, ["conv_id", "depth"], "left")
+    out = trie.join(rollup(trie), ["conv_id", "depth"]).join(texts, ["conv_id", "depth"], "left")
     return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", none).alias("ends_sha256"))
 
 
