@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import sqlite3
 import threading
 from dataclasses import dataclass, field
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions import codecs
 from millrace.operators import cube, eras, mapping
 from millrace.operators.spec import CubeSpec, Dimension, Measure
-from millrace.operators.sqltext import Executor, SqlText
+from millrace.operators.sqltext import SqlText, deliver
 from millrace.operators.table import CubeTable, PublishedByOther
 
 SPEC = CubeSpec("hits", (Dimension("ts", "time"), Dimension("kind")), (Measure("n"),))
@@ -96,57 +97,66 @@ TEXT = SqlText(CubeSpec("hits", (Dimension("ts", "time"), Dimension("kind"), Dim
 
 
 def test_texts():
-    assert TEXT.definitions() == "ts INT, kind VARCHAR(255), code SMALLINT, n INT, users HLL" and TEXT.names() == "ts, kind, code, n, users"
-    assert TEXT.key() == "PRIMARY KEY(ts, kind, code)" and TEXT.key_names("x") == "x.ts, x.kind, x.code" and TEXT.one_key_name("u") == "u.ts"
-    assert TEXT.create_partition(7200) == "CREATE TABLE IF NOT EXISTS hits_7200 ( PRIMARY KEY(ts, kind, code), CHECK ( ts BETWEEN 7200 AND 10799 )  ) INHERITS(hits)"
+    columns = "ts INT, kind VARCHAR(255), code SMALLINT, n INT, users HLL"
+    assert TEXT.create() == f"CREATE TABLE IF NOT EXISTS hits ({columns}, PRIMARY KEY(ts, kind, code)) PARTITION BY RANGE (ts)" and TEXT.drop() == "DROP TABLE IF EXISTS hits CASCADE"
+    assert TEXT.create_partition(7200) == "CREATE TABLE IF NOT EXISTS hits_7200 PARTITION OF hits FOR VALUES FROM (7200) TO (10800)"
     assert TEXT.drop_partition(7200) == "DROP TABLE IF EXISTS hits_7200"
-    assert TEXT.create_foreign("b") == "CREATE FOREIGN TABLE IF NOT EXISTS hits_ft_b (ts INT, kind VARCHAR(255), code SMALLINT, n INT, users HLL) SERVER b OPTIONS (table_name 'hits')"
+    assert TEXT.create_foreign("b") == f"CREATE FOREIGN TABLE IF NOT EXISTS hits_ft_b ({columns}) SERVER b OPTIONS (table_name 'hits')"
     assert TEXT.drop_foreign("b") == "DROP FOREIGN TABLE IF EXISTS hits_ft_b CASCADE"
-    assert TEXT.create_view(["a", "b"], "a") == "CREATE VIEW hits_view AS SELECT * FROM hits_ft_b UNION SELECT * FROM hits" and TEXT.create_view(["a"]) == "CREATE VIEW hits_view AS SELECT * FROM hits_ft_a"
-    assert TEXT.drop_view() == "DROP VIEW IF EXISTS hits_view" and TEXT.select("WHERE n > 1", "LIMIT 5") == "SELECT ts, kind, code, n, users FROM hits_view WHERE n > 1 LIMIT 5 "
-    assert TEXT.create_staging(0) == "CREATE TEMP TABLE hits_0_copy_t (LIKE hits_0 INCLUDING ALL) ON COMMIT DROP" and TEXT.copy(0) == "COPY hits_0_copy_t FROM STDIN"
-    assert TEXT.merge(0) == (
-        "WITH u as (UPDATE hits_0 SET n = hits_0.n + up.n, users = hits_0.users || up.users FROM hits_0_copy_t AS up WHERE hits_0.ts = up.ts AND hits_0.kind = up.kind AND hits_0.code = up.code RETURNING hits_0.ts, hits_0.kind, hits_0.code)\n\t"
-        "INSERT INTO hits_0 SELECT hits_0_copy_t.* FROM hits_0_copy_t LEFT OUTER JOIN u ON (hits_0_copy_t.ts = u.ts AND hits_0_copy_t.kind = u.kind AND hits_0_copy_t.code = u.code) WHERE u.ts IS NULL"
+    one = "SELECT ts, kind, code, n, users FROM"
+    assert TEXT.create_view(["a", "b"], "a") == f"CREATE OR REPLACE VIEW hits_view AS {one} hits_ft_b UNION {one} hits" and TEXT.create_view(["a"]).endswith(f"AS {one} hits_ft_a")
+    assert TEXT.drop_view() == "DROP VIEW IF EXISTS hits_view" and TEXT.select("n > 1") == f"{one} hits_view WHERE n > 1"
+    assert TEXT.select(limit=5, offset=2) == f"{one} hits_view ORDER BY ts, kind, code LIMIT 5 OFFSET 2"
+    assert TEXT.upsert("7") == (
+        "INSERT INTO hits (ts, kind, code, n, users) SELECT ts, kind, code, n, users FROM hits_copy_t_7 WHERE TRUE "
+        "ON CONFLICT (ts, kind, code) DO UPDATE SET n = hits.n + EXCLUDED.n, users = hits.users || EXCLUDED.users"
     )
+    with pytest.raises(ValueError, match="plain name"):
+        TEXT.create_foreign("x; DROP TABLE hits")
 
 
-class Recorder:
-    """A connection that notes what it is told; fails at a statement with some text."""
+class Database:
+    """A database file that tasks open too. Its statements are PostgreSQL's, but for partitions."""
 
-    def __init__(self, fails=None):
-        self.said, self.lines, self.fails = [], {}, fails
+    def __init__(self, path):
+        self.path = str(path)
 
-    def execute(self, sql):
-        if self.fails and self.fails in sql:
-            raise RuntimeError(sql)
-        self.said.append(sql)
+    def __call__(self):
+        return sqlite3.connect(self.path, timeout=60)
 
-    def copy(self, sql, lines):
-        self.said.append(sql)
-        self.lines[sql] = list(lines)
+    def run(self, *statements):
+        with self() as connection:
+            return [connection.execute(s).fetchall() for s in statements][-1]
 
-    def commit(self):
-        self.said.append("COMMIT")
 
-    def rollback(self):
-        self.said.append("ROLLBACK")
+def test_delivery_adds_and_replaces_its_own_attempts(spark, tmp_path):
+    text, base = SqlText(SPEC), Database(tmp_path / "base")
+    base.run(SPEC.create_sql("hits"))
+    cubes = [delta(spark, (10, "a", 1), (4000, "b", 2), (4100, "c", 3)), delta(spark, (10, "a", 5), (4000, "b", 7), (9000, "d", 1))]
+    for batch in ("0", "1"):
+        deliver(cubes[int(batch)].repartition(3), text, base, batch, partitions=False)
+    assert base.run("SELECT * FROM hits ORDER BY ts") == [(10, "a", 6), (4000, "b", 9), (4100, "c", 3), (9000, "d", 1)]
+    # a run that ended while its tasks staged leaves rows, which the next run of the batch replaces
+    base.run(text.create_staging("2"), "INSERT INTO hits_copy_t_2 VALUES (0, 10, 'a', 100), (77, 10, 'z', 100)")
+    deliver(cubes[0], text, base, "2", partitions=False)
+    assert base.run("SELECT * FROM hits ORDER BY ts") == [(10, "a", 7), (4000, "b", 11), (4100, "c", 6), (9000, "d", 1)]
+    assert base.run("SELECT count(*) FROM sqlite_master WHERE name LIKE 'hits_copy%'") == [(0,)]
 
 
-def test_executor_upserts_by_partition(spark):
-    text, to = SqlText(SPEC), Recorder()
-    run = Executor(to, text)
-    run.create()
-    run.foreign_tables(["a", "b"], "a")
-    assert run.upsert_cube(delta(spark, (10, "a", 1), (4000, "b", 2), (4100, "c", 3))) == [0, 3600]
-    assert to.said[-5:] == [text.create_partition(3600), text.create_staging(3600), text.copy(3600), text.merge(3600), "COMMIT"]
-    assert to.lines[text.copy(0)] == ["10\ta\t1\n"] and sorted(to.lines[text.copy(3600)]) == ["4000\tb\t2\n", "4100\tc\t3\n"]
-    bad = Recorder("WITH u")
-    with pytest.raises(RuntimeError):
-        Executor(bad, text).upsert(0, [])
-    assert bad.said[-1] == "ROLLBACK"
-    run.drop()
-    assert to.said[-1] == "DROP TABLE IF EXISTS hits CASCADE"
+def test_delivery_is_all_or_nothing(spark, tmp_path):
+    text, base = SqlText(SPEC), Database(tmp_path / "base")
+    base.run("CREATE TABLE hits (ts INT, kind TEXT, n INT CHECK (n < 100), PRIMARY KEY(ts, kind))")
+    with pytest.raises(sqlite3.IntegrityError):
+        deliver(delta(spark, (10, "a", 1), (4000, "b", 200)), text, base, "0", partitions=False)
+    assert base.run("SELECT count(*) FROM hits") == [(0,)]
+
+
+def test_the_view_adds_equal_keys_if_asked(tmp_path):
+    base = Database(tmp_path / "base")
+    base.run(SPEC.create_sql("hits"), SPEC.create_sql("hits_ft_b"), "INSERT INTO hits VALUES (1, 'a', 2), (2, 'x', 5)", "INSERT INTO hits_ft_b VALUES (1, 'a', 2), (3, 'y', 1)")
+    for added, expected in ((False, [(1, "a", 2), (2, "x", 5), (3, "y", 1)]), (True, [(1, "a", 4), (2, "x", 5), (3, "y", 1)])):
+        base.run("DROP VIEW IF EXISTS hits_view", SqlText(SPEC).create_view(["b", "me"], "me", added).replace("OR REPLACE ", ""))
+        assert base.run(SqlText(SPEC).select(limit=9)) == expected
 
 
 def test_copy_files_by_partition(spark, tmp_path):
