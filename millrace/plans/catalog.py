@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cubes, streams  # noqa: F401  (importing streams registers its queries)
+from . import cubes, stateful, streams  # noqa: F401  (importing them registers their queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
