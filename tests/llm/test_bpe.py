@@ -58,6 +58,15 @@ def test_any_portions(coder, monkeypatch):
     assert coder.encode(texts).to_pylist() == [plain(t)[0] for t in texts]
 
 
+def test_long_pieces_are_merged_as_short_ones(coder, monkeypatch):
+    draw = random.Random(3)
+    pieces = ["".join(draw.choice("aeinorsthe") for _ in range(n)) for n in (1, 2, 3, 9, 40, 63, 64, 65, 400)] + ["a" * 50, "aab" * 30]
+    monkeypatch.setattr(bpe, "SHORT", 10**9)
+    short = [coder.bpe.merged(p) for p in pieces]
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    assert [coder.bpe.merged(p) for p in pieces] == short == [plain(p)[0] for p in pieces]
+
+
 def test_transducer_equals_a_dictionary(tmp_path):
     draw = random.Random(5)
     words = sorted({bytes(draw.choice(b"abcd\xff") for _ in range(draw.randint(0, 7))) for _ in range(3000)} | {b"", b"x" * 64})
