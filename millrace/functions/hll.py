@@ -8,14 +8,18 @@ estimates are the JVM's.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..session import bound_batches, ship_code
 
 # Fixed values of Murmur3 x64-128 (published algorithm).
 C1, C2 = 0x87C37B91114253D5, 0x4CF5AD432745937F
@@ -316,18 +320,115 @@ def _whole(hashes: object, registers: object, shape: Shape) -> Sketch:
     return build([], shape, [(int(x) >> 7, int(x) & 127) for x in registers])
 
 
-@F.pandas_udf(T.BinaryType())
-def union_all(lists: pd.Series) -> pd.Series:
-    """The union of each list of packed sketches."""
-
-    def one(values: object) -> bytes | None:
-        found = [unpack(bytes(v)) for v in values if v is not None]
-        out = found[0] if found else None
-        for x in found[1:]:
-            out = union(out, x)
-        return None if out is None else pack(out)
-
-    return pd.Series([one(v) for v in lists])
+class Uniting:
+    """A union that grows by packed sketches: a set of hashes while it is explicit, registers then."""
+
+    def __init__(self) -> None:
+        self.header: bytes | None = None
+        self.hashes: set[int] | None = set()
+        self.registers: np.ndarray | None = None
+
+    def add(self, data: bytes) -> None:
+        if len(data) < 3 or data[0] >> 4 != VERSION:
+            raise ValueError("not a sketch of version 1")
+        if self.header is None:
+            self.header, coded = data[1:3], data[2] & 63
+            self.shape = Shape(data[1] & 31, (data[1] >> 5) + 1, -1 if coded == AUTO else (1 << coded) >> 1, bool(data[2] >> 6 & 1))
+        elif self.header != data[1:3]:
+            raise ValueError(f"sketches of different parameters: {self.header.hex()}, {data[1:3].hex()}")
+        kind, s = data[0] & 15, self.shape
+        if kind == UNDEFINED:
+            self.hashes = self.registers = None
+        elif self.hashes is None and self.registers is None or kind == EMPTY:
+            pass
+        elif kind == DENSE and len(data) == 3 + -(-s.m * s.width // 8):
+            bits = np.unpackbits(np.frombuffer(data, np.uint8, offset=3), count=s.m * s.width).reshape(s.m, s.width)
+            self._registers()
+            np.maximum(self.registers, bits @ (1 << np.arange(s.width - 1, -1, -1, dtype=np.uint8)), out=self.registers)
+        else:
+            found = unpack(data)
+            if found.registers is not None:
+                self._registers()
+                for i, r in found.registers:
+                    self.registers[i] = max(self.registers[i], r)
+            elif self.registers is not None:
+                self._hashed(found.hashes)
+            else:
+                self.hashes |= found.hashes
+                if len(self.hashes) > s.explicit:
+                    self._registers()
+
+    def _registers(self) -> None:
+        """From now on in registers."""
+        if self.registers is None:
+            self.registers, hashes, self.hashes = np.zeros(self.shape.m, np.uint8), self.hashes, None
+            self._hashed(hashes)
+
+    def _hashed(self, hashes: Iterable[int]) -> None:
+        for h in hashes:
+            i, r = register(h, self.shape)
+            self.registers[i] = max(self.registers[i], r)
+
+    def packed(self) -> bytes | None:
+        if self.header is None:
+            return None
+        if self.registers is not None:
+            at = np.flatnonzero(self.registers)
+            return pack(Sketch(self.shape, None, tuple(zip(at.tolist(), self.registers[at].tolist(), strict=True))))
+        return pack(Sketch(self.shape, None if self.hashes is None else frozenset(self.hashes)))
+
+
+#: Keys whose unions a task holds at once (some 2 KB a sketch).
+HELD_KEYS = 4096
+
+
+def united_in_tasks(df: DataFrame, keys: list[str], sketches: list[str], sums: list[str] | None = None) -> DataFrame:
+    """keys, the sums and the unions of what each task has of a key: of HELD_KEYS keys at a time. Null sketches don't count."""
+    sums = sums or []
+    ship_code(df.sparkSession)
+    bound_batches(df.sparkSession)
+    k, fields = len(keys), [*[df.schema[c] for c in keys], *[T.StructField(c, T.LongType()) for c in sums], *[T.StructField(c, T.BinaryType()) for c in sketches]]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+    arrow = to_arrow_schema(schema)
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[list[int], list[Uniting]]] = {}
+
+        def rows() -> pa.RecordBatch:
+            out = [(*key, *n, *(u.packed() for u in unions)) for key, (n, unions) in held.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = row[:k]
+                if key not in held:
+                    if len(held) == HELD_KEYS:
+                        yield rows()
+                    held[key] = [0] * len(sums), [Uniting() for _ in sketches]
+                n, unions = held[key]
+                for i, value in enumerate(row[k : k + len(sums)]):
+                    n[i] += value or 0
+                for union, data in zip(unions, row[k + len(sums) :], strict=True):
+                    if data is not None:
+                        union.add(data)
+        if held:
+            yield rows()
+
+    return df.select(*keys, *[F.col(c).cast("bigint").alias(c) for c in sums], *sketches).mapInArrow(unite, schema)
+
+
+def union_agg(df: DataFrame, keys: list[str], sketches: list[str], sums: list[str] | None = None) -> DataFrame:
+    """keys, the sums of some columns and the union of each column of packed sketches, a row for each key (null is one); without keys, one row.
+
+    Each task unites the sketches of a key that it has and sends one sketch for each on; the tasks that get them by key unite those one by
+    one, as they come in order of the keys. So of one key's sketches, however many there are, a task gets one from each task before (or
+    some, if those had more keys), and holds one. A key without any sketch has null.
+    """
+    partial = united_in_tasks(df, keys, sketches, sums)
+    dealt = partial.repartition(*keys).sortWithinPartitions(*keys) if keys else partial.repartition(1)
+    # a key's rows come one after the other here, so what goes on is whole
+    return united_in_tasks(dealt, keys, sketches, sums)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -209,8 +209,20 @@ def hll_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The union of the sketches of all types: as many users as there are, where they are 160 at most."""
     events = read(spark, sf_dir, "events")
     hashed = events.select("event_type", hll.hash_column(events, "user_id").alias("h"))
-    packed = hll.sketches(hashed, ["event_type"], "h", "sketch")  # one row for each type
-    return packed.agg(F.collect_list("sketch").alias("all")).select(hll.cardinality(hll.union_all("all")).alias("users"))
+    packed = hll.sketches(hashed, ["event_type"], "h", "sketch")
+    return hll.union_agg(packed, [], ["sketch"]).select(hll.cardinality("sketch").alias("users"))
+
+
+@query("""SELECT l_returnflag, count(DISTINCT l_suppkey)::BIGINT AS n_suppliers, sum(l_linenumber)::BIGINT AS weight FROM lineitem GROUP BY ALL""")
+def hll_union_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of each flag, status and line number are united by flag, and weights are added: as many suppliers as there are, where they
+    are 160 at most."""
+    lines = read(spark, sf_dir, "lineitem")
+    dims = ["l_returnflag", "l_linestatus", "l_linenumber"]
+    packed = hll.sketches(lines.select(*dims, hll.hash_column(lines, "l_suppkey").alias("h")), dims, "h", "sketch")
+    weights = lines.groupBy(*dims).agg(F.sum("l_linenumber").alias("weight"))
+    out = hll.union_agg(packed.join(weights, dims), ["l_returnflag"], ["sketch"], ["weight"])
+    return out.select("l_returnflag", F.round(hll.cardinality("sketch")).cast("bigint").alias("n_suppliers"), "weight")
 
 
 @query("""SELECT (user_id % 4)::BIGINT AS grp, count(DISTINCT user_id // 4)::BIGINT AS n FROM events WHERE user_id % 4 < 3 GROUP BY ALL UNION ALL SELECT 3, 0""")

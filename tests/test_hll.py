@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from millrace.functions import hll
 
@@ -96,3 +99,38 @@ def test_address_bytes(spark):
     rows = [(bytes([153, 23, 1, 4]),), (bytes(16),), (bytes(8),), (bytes(5),), (b"",), (b"abc",), (None,)]
     out = [r[0] for r in spark.createDataFrame(rows, "b binary").select(hll.address_bytes("b")).collect()]
     assert [None if x is None else bytes(x) for x in out] == [bytes([153, 23, 1, 4]), bytes(8), bytes(8), None, None, None, None]
+
+
+def test_distributed_union_equals_the_union_of_all(spark):
+    """All kinds of sketches, nulls, a key with many sketches, null keys, and sums beside them."""
+    draw, rows = random.Random(1), []
+    values = {k: [draw.getrandbits(63) for _ in range(n)] for k, n in (("few", 5), ("edge", 160), ("more", 161), ("many", 9000), (None, 40))}
+    for k, all_of in values.items():
+        for _ in range(60):
+            some = draw.sample(all_of, draw.randint(0, len(all_of)))
+            rows.append((k, hll.pack(hll.build(some)), 1))
+        rows.append((k, hll.pack(hll.build(all_of)), 1))
+        rows.append((k, None, None))
+    rows += [("none", None, 2), ("empty", hll.pack(hll.build([])), 1), ("gone", hll.pack(hll.Sketch(hll.DEFAULT, None, None)), 1), ("gone", rows[0][1], 1)]
+    df = spark.createDataFrame(rows, "k string, s binary, n int").repartition(7)
+    expected = {k: hll.pack(hll.build(v)) for k, v in values.items()} | {"none": None, "empty": hll.pack(hll.build([])), "gone": hll.pack(hll.Sketch(hll.DEFAULT, None, None))}
+    out = {r["k"]: (None if r["s"] is None else bytes(r["s"]), r["n"]) for r in hll.union_agg(df, ["k"], ["s"], ["n"]).collect()}
+    assert {k: s for k, (s, _) in out.items()} == expected and all(out[k][1] == 61 for k in values) and out["none"][1] == 2
+    assert "collect_list" not in hll.union_agg(df, ["k"], ["s"])._jdf.queryExecution().toString()
+    one = hll.union_agg(df.where("k <> 'gone'"), [], ["s"]).collect()
+    assert len(one) == 1 and bytes(one[0]["s"]) == hll.pack(hll.build([h for k, v in values.items() if k for h in v]))
+    assert hll.union_agg(df.limit(0), ["k"], ["s"], ["n"]).count() == 0
+
+
+def test_distributed_union_refuses_other_parameters(spark):
+    df = spark.createDataFrame([(hll.pack(hll.build([1])),), (hll.pack(hll.build([1], hll.Shape(10))),)], "s binary")
+    with pytest.raises(Exception, match="different parameters"):
+        hll.union_agg(df, [], ["s"]).collect()
+
+
+def test_a_task_sends_one_sketch_of_a_key_on(spark):
+    """A key with very many sketches: what is dealt by key is a row for each task that had some."""
+    data = hll.pack(hll.build(range(5000)))
+    df = spark.range(0, 5000, 1, 5).select((F.col("id") % 2).alias("k"), F.lit(data).alias("s"))
+    assert hll.united_in_tasks(df, ["k"], ["s"]).count() == 2 * 5
+    assert {bytes(r["s"]) for r in hll.union_agg(df, ["k"], ["s"]).collect()} == {data}

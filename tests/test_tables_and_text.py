@@ -44,9 +44,9 @@ def test_a_writer_that_dies_before_publishing_does_not_stop_others(spark, table,
     assert content(table) == [(10, "a", 1)]
     assert table.upsert(delta(spark, (10, "a", 5)), "w", 1) and not table.upsert(delta(spark, (10, "a", 5)), "w", 1)
     assert content(table) == [(10, "a", 6)]
-    gone = table.clean(older_than=0)
-    assert len([x for x in gone if not x.endswith(".json")]) == 2 and content(table) == [(10, "a", 6)]
-    assert table.clean(older_than=0) == []
+    gone = table.clean(older_than=-1)
+    assert len([x for x in gone if not x.endswith(".json")]) == 1 and content(table) == [(10, "a", 6)]
+    assert table.clean(older_than=-1) == []
 
 
 def test_two_writers_at_once_both_count(spark, table):
@@ -75,6 +75,95 @@ def test_a_writer_that_loses_every_time_says_so(spark, table, monkeypatch):
         table.upsert(delta(spark, (10, "a", 1)), tries=2)
 
 
+def test_an_upsert_writes_the_delta_alone(spark, table):
+    """However large a partition is, a late row adds a folder of its own, and reads add up."""
+    many = spark.range(20_000).selectExpr("0L AS part_start", "id % 3600 AS ts", "concat('k', id) AS kind", "id AS n")
+    table.upsert(many)
+    (first,) = table.folders(0)
+    table.upsert(delta(spark, (7, "k7", 100)))
+    base, late = table.folders(0)
+    assert base == first and late["bytes"] < first["bytes"] / 20 and late["level"] == 0
+    assert table.read().count() == 20_000 and [r["n"] for r in table.read().where("kind = 'k7'").collect()] == [107]
+
+
+def test_compaction_adds_up_levels(spark, table):
+    for i in range(16):
+        table.upsert(delta(spark, (10, "a", 1), (4000 if i % 2 else 10, f"b{i % 3}", i)), "w", i)
+    levels = {p: [f["level"] for f in table.folders(p)] for p in table.partitions()}
+    assert levels == {0: [2], 3600: [1, 1]}
+    expected = {(10, "a"): 16}
+    for i in range(16):
+        key = (4000 if i % 2 else 10, f"b{i % 3}")
+        expected[key] = expected.get(key, 0) + i
+    assert {(t, k): n for t, k, n in content(table)} == expected
+    assert table.compact(fan_in=2) == 1 and [f["level"] for f in table.folders(3600)] == [2] and {(t, k): n for t, k, n in content(table)} == expected
+    table.clean(older_than=-1)
+    assert {(t, k): n for t, k, n in content(table)} == expected and not table.upsert(delta(spark, (10, "a", 1)), "w", 15)
+
+
+def test_compaction_leaves_what_others_have_changed(spark, table, monkeypatch):
+    for i in range(3):
+        table.upsert(delta(spark, (10, "a", 1), (4000, "b", 1)), compact=False)
+    written = CubeTable._written
+
+    def meanwhile(self, rows, level):
+        out = written(self, rows, level)
+        with monkeypatch.context() as m:
+            m.setattr(CubeTable, "_written", written)
+            CubeTable(spark, table.root, SPEC).drop_partition(0)
+            CubeTable(spark, table.root, SPEC).upsert(delta(spark, (4000, "b", 10)), compact=False)
+        return out
+
+    monkeypatch.setattr(CubeTable, "_written", meanwhile)
+    assert table.compact(fan_in=3) == 1
+    assert content(table) == [(4000, "b", 13)] and [f["level"] for f in table.folders(3600)] == [1, 0]
+
+
+def test_of_two_writers_at_the_gap_one_publishes(spark, table):
+    """Both have read the same version and publish at once: the name is taken once."""
+    table.create()
+    won, lost, gate = [], [], threading.Barrier(4)
+
+    def publish(k):
+        other = CubeTable(spark, table.root, SPEC)
+        gate.wait()
+        try:
+            other._publish({"version": 2, "applied": {k: 1}, "parts": {}})
+            won.append(k)
+        except PublishedByOther:
+            lost.append(k)
+
+    threads = [threading.Thread(target=publish, args=(str(k),)) for k in range(4)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert len(won) == 1 and len(lost) == 3 and table.manifest()["applied"] == {won[0]: 1}
+
+
+def test_dropping_begins_again_when_another_writer_was_first(spark, table, monkeypatch):
+    table.upsert(delta(spark, (10, "a", 1), (4000, "b", 2), (8000, "c", 3)))
+    publish, times = CubeTable._publish, []
+
+    def late(self, manifest):
+        if not times:
+            times.append(1)
+            with monkeypatch.context() as m:
+                m.setattr(CubeTable, "_publish", publish)
+                CubeTable(spark, table.root, SPEC).upsert(delta(spark, (12_000, "d", 4)))
+        publish(self, manifest)
+
+    monkeypatch.setattr(CubeTable, "_publish", late)
+    assert [r["kind"] for r in table.pop_top().collect()] == ["d"]
+    times.clear()
+    table.drop_partition(3600)
+    assert table.partitions() == [0, 7200, 10_800]
+
+
+def test_a_row_without_partition_is_refused(spark, table):
+    with pytest.raises(ValueError, match="part_start"):
+        table.upsert(spark.createDataFrame([(None, 1, "a", 1)], "part_start bigint, ts bigint, kind string, n bigint"))
+    assert table.read().count() == 0
+
+
 def test_popping_the_newest_partition(spark, table):
     table.upsert(delta(spark, (10, "a", 1), (4000, "b", 2), (4100, "c", 3)))
     assert sorted(r["kind"] for r in table.pop_top().collect()) == ["b", "c"] and table.partitions() == [0]
