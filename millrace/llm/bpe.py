@@ -5,8 +5,8 @@ space. Their counts over all texts are summed in each task first. The most frequ
 a transducer (``lexicon``); the file goes to every executor, whose workers map it into memory and share its pages. Words that it does
 not have are merged: lowest rank first, the first of equal ones first, as the tokenizer's file says.
 
-A word's ids depend on the word alone, so texts of any length are cut at white space and encoded in portions; a task holds a portion,
-the ids of a batch, and a bounded table of words that it has merged. Texts are not shuffled, only words with their counts.
+A word's ids depend on the word alone, so texts of any length are cut at white space and encoded in portions; a task holds a portion
+and the ids of a batch. Texts are not shuffled, only words with their counts.
 
 Normalisation and splitting of words beyond the first 256 code points are the library's; merging and decoding are done here. Files
 whose settings this does not know are refused.
@@ -27,7 +27,6 @@ import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,17 +38,20 @@ from pyspark.sql import functions as F
 from ..session import bound_batches, remove_folder, ship_code
 from .common import new_folder
 from .lexicon import Transducer, compiled
-from .memo import Memo, own
-from .packing import LATIN, Encoder
+from .memo import own
+from .packing import BLANKS, DIGITS, LETTERS, Encoder
 
 #: Words that a lexicon has at most, and the bytes of its longest ones.
 LEXICON, LONGEST = 65_536, 64
-#: Characters of a portion; merged words that a worker remembers; words that a task counts before it hands them on.
-PORTION, TABLE, COUNTED = 1 << 20, 200_000, 200_000
-#: Letters up to which a piece is merged in a list.
-SHORT = 64
+#: Characters of a portion; words that a task counts before it hands them on.
+PORTION, COUNTED = 1 << 20, 200_000
+#: Bytes of the pieces that are merged together; longer ones are merged one by one.
+WIDTHS = (6, 9, 12, 16, 24, 48)
 #: Words are taken by steps of their counts: an eighth of a power of two.
 STEPS = 8
+#: One piece that the tokenizer's normaliser leaves as it is: of the first 256 code points, in lower case.
+OTHERS = "".join(re.escape(c) for c in map(chr, range(256)) if c == c.lower() and not re.match(f"[{LETTERS}{DIGITS}{BLANKS}]", c))
+PIECE = re.compile(f"[{LETTERS}]+|[{DIGITS}]|'(?:s|t|re|ve|m|ll|d)|[{OTHERS}]+")
 BLANK = re.compile(r"[ \t\n\r\x0b\x0c]")
 
 
@@ -72,87 +74,154 @@ class Bpe:
         model, added = data["model"], data["added_tokens"]
         plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")) and model["type"] == "BPE"
         simple = not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
-        if not plain or not simple or data["decoder"] or data["post_processor"]:
+        vocab, suffix, letters = model["vocab"], model["end_of_word_suffix"] or "", byte_letters()
+        whole = all(x in vocab for c in letters.values() for x in (c, c + suffix))
+        if not plain or not simple or not whole or data["decoder"] or data["post_processor"]:
             raise ValueError(f"{path} has settings that are not known here")
-        self.vocab: dict[str, int] = model["vocab"]
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        pairs = list(pairs)
-        self.ranks = {self.vocab[a] << 32 | self.vocab[b]: rank for rank, (a, b) in enumerate(pairs)}
-        self.made = [self.vocab[a + b] for a, b in pairs]
-        self.suffix = model["end_of_word_suffix"] or ""
+        self.vocab: dict[str, int] = vocab
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        self.order = np.argsort(keys, kind="stable").astype(np.int32)
+        self.keys = keys[self.order]
+        self.first, self.last = (np.array([vocab[letters[i] + end] for i in range(256)], np.int32) for end in ("", suffix))
+        self.bytes = {c: i for i, c in letters.items()}
         self.special = {t["content"]: t["id"] for t in added}
         by_length = sorted(self.special, key=len, reverse=True)
         self.specials = re.compile(f"({'|'.join(map(re.escape, by_length))})") if by_length else None
         library = Tokenizer.from_file(path)
         self.normalized, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        self.letters = byte_letters()
 
     def tokens(self) -> list[str | None]:
         """Each id's token."""
         known = {i: t for t, i in (self.vocab | self.special).items()}
         return [known.get(i) for i in range(max(known) + 1)]
 
-    def merged(self, piece: str) -> list[int]:
-        """The ids of a piece in byte letters: the pair of the lowest rank is merged, the first of several, until there is none."""
-        get = self.vocab.get
-        ids = [i for i in (get(c) for c in piece[:-1]) if i is not None]
-        last = get(piece[-1] + self.suffix)
-        if last is not None:
-            ids.append(last)
-        if len(ids) > SHORT:
-            return self._merged_long(ids)
-        rank, none = self.ranks.get, len(self.made)
-        ranks = [rank(a << 32 | b, none) for a, b in pairwise(ids)]
-        while ranks:
-            least = min(ranks)
-            if least == none:
-                break
-            at = ranks.index(least)
-            ids[at] = self.made[least]
-            del ids[at + 1], ranks[at]
-            if at:
-                ranks[at - 1] = rank(ids[at - 1] << 32 | ids[at], none)
-            if at < len(ranks):
-                ranks[at] = rank(ids[at] << 32 | ids[at + 1], none)
-        return ids
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids; the number of merges for one that is not merged. Ids under 0 are none."""
+        keys = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((self.keys[at] == keys) & (left >= 0) & (right >= 0), self.order[at], len(self.made)).astype(np.int32)
+
+    def merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all pieces in one array, and where each piece's begin and how many they are.
+
+        Pieces of about one length are rows of a matrix. In a round each row merges its pair of the lowest rank, the first of several,
+        until there is none; rows that are through go out.
+        """
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        from_ = np.cumsum(sizes) - sizes
+        start, length, pool, end = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), [np.zeros(0, np.int32)], 0
+        shortest = 0
+        for most in WIDTHS:
+            rows = np.flatnonzero((sizes > shortest) & (sizes <= most))
+            shortest = most
+            if not len(rows):
+                continue
+            n = sizes[rows]
+            columns = np.arange(most)[None, :]
+            inside = columns < n[:, None]
+            ids = np.where(inside, self.first[data[np.minimum(from_[rows][:, None] + columns, len(data) - 1)]], -1)
+            ids[np.arange(len(rows)), n - 1] = self.last[data[from_[rows] + n - 1]]
+            for found, part in self._rounds(ids, rows):
+                counts = (part >= 0).sum(axis=1)
+                start[found], length[found] = end + np.cumsum(counts) - counts, counts
+                pool.append(part[part >= 0])
+                end += len(pool[-1])
+        for i in np.flatnonzero(sizes > WIDTHS[-1]).tolist():
+            ids = self.first[np.frombuffer(pieces[i], np.uint8)]
+            ids[-1] = self.last[pieces[i][-1]]
+            pool.append(np.array(self._merged_long(ids.tolist()), np.int32))
+            start[i], length[i] = end, len(pool[-1])
+            end += length[i]
+        return np.concatenate(pool), start, length
+
+    def _rounds(self, ids: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows that have no pair left to merge, with their numbers, as they come to be so."""
+        none, columns = len(self.made), np.arange(ids.shape[1])[None, :]
+        ranks = self.ranks(ids[:, :-1], ids[:, 1:])
+        while len(rows):
+            at = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(rows), np.int64)
+            least = ranks[np.arange(len(rows)), at] if ranks.shape[1] else np.full(len(rows), none)
+            through = least == none
+            if through.any():
+                yield rows[through], ids[through]
+                going = ~through
+                ids, ranks, rows, at, least = ids[going], ranks[going], rows[going], at[going], least[going]
+            if not len(rows):
+                return
+            every = np.arange(len(rows))
+            # the pair's second place goes, and the pair's rank
+            move = np.minimum(columns + (columns > at[:, None]), ids.shape[1] - 1)
+            full = ids[:, -1].copy()
+            ids = np.take_along_axis(ids, move, axis=1)
+            ids[:, -1] = np.where(at == ids.shape[1] - 1, full, -1)
+            ids[every, at] = self.made[least]
+            move = np.minimum(columns[:, :-1] + (columns[:, :-1] >= at[:, None]), ranks.shape[1] - 1)
+            ranks = np.take_along_axis(ranks, move, axis=1)
+            ranks[:, -1] = none
+            # pairs with the new id
+            ranks[every, at] = self.ranks(ids[every, at], ids[every, np.minimum(at + 1, ids.shape[1] - 1)])
+            ranks[every[at == ids.shape[1] - 1], -1] = none
+            before = np.flatnonzero(at > 0)
+            ranks[before, at[before] - 1] = self.ranks(ids[before, at[before] - 1], ids[before, at[before]])
 
     def _merged_long(self, ids: list[int]) -> list[int]:
-        """The same, in time that grows little faster than the piece: pairs wait in a heap by rank and place; what has changed is passed over."""
-        n, gone = len(ids), -1
+        """The same for one piece, in time that grows little faster than it: pairs wait in a heap by rank and place; what has changed is passed over."""
+        n, gone, none = len(ids), -1, len(self.made)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        pair = lambda at: ids[at] << 32 | ids[after[at]]
-        heap = [(r, at) for at in range(n - 1) if (r := self.ranks.get(pair(at))) is not None]
+        rank = lambda at: int(self.ranks(np.array([ids[at]]), np.array([ids[after[at]]]))[0])
+        known = np.array(ids)
+        heap = [(r, at) for at, r in enumerate(self.ranks(known[:-1], known[1:]).tolist()) if r < none]
         heapq.heapify(heap)
         while heap:
             least, at = heapq.heappop(heap)
-            if ids[at] == gone or after[at] >= n or self.ranks.get(pair(at)) != least:
+            if ids[at] == gone or after[at] >= n or rank(at) != least:
                 continue
             right = after[at]
-            ids[at], ids[right], after[at] = self.made[least], gone, after[right]
+            ids[at], ids[right], after[at] = int(self.made[least]), gone, after[right]
             if after[at] < n:
                 before[after[at]] = at
             for x in (before[at], at):
-                if x >= 0 and after[x] < n and (r := self.ranks.get(pair(x))) is not None:
+                if x >= 0 and after[x] < n and (r := rank(x)) < none:
                     heapq.heappush(heap, (r, x))
         return [i for i in ids if i != gone]
 
-    def ids(self, word: str) -> list[int]:
-        """The ids of a text without white space, or of one piece."""
-        if max(word) < "\u0100" and word == word.lower() and LATIN.fullmatch(word):
-            return self.merged(word.encode().decode("latin-1").translate(self.letters))
-        out: list[int] = []
-        for part in self.specials.split(word) if self.specials else [word]:
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                for piece, _ in self.split(self.normalized(part)):
-                    out += self.merged(piece)
-        return out
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all words in one array, and where each word's begin and how many they are. A word is a text without white space, or a piece."""
+        pieces: list[bytes] = []
+        more: list[tuple[int, list[tuple[int, bool]]]] = []  # words of several pieces or special tokens
+        at = np.zeros(len(words), np.int64)
+        for i, word in enumerate(words):
+            at[i] = len(pieces)
+            if PIECE.fullmatch(word):
+                pieces.append(word.encode())
+                continue
+            parts: list[tuple[int, bool]] = []
+            for part in self.specials.split(word) if self.specials else [word]:
+                if part in self.special:
+                    parts.append((self.special[part], True))
+                elif part:
+                    for piece, _ in self.split(self.normalized(part)):
+                        parts.append((len(pieces), False))
+                        pieces.append(bytes(map(self.bytes.__getitem__, piece)))
+            more.append((i, parts))
+        if not pieces:
+            pieces.append(b"!")  # so that there is one to point at
+        pool, start, length = self.merged(pieces)
+        at = np.minimum(at, len(pieces) - 1)
+        starts, lengths, extra, end = start[at], length[at], [pool], len(pool)
+        for i, parts in more:
+            found = [np.array([p], np.int32) if special else pool[start[p] : start[p] + length[p]] for p, special in parts]
+            extra.append(np.concatenate(found) if found else np.zeros(0, np.int32))
+            starts[i], lengths[i] = end, len(extra[-1])
+            end += len(extra[-1])
+        return np.concatenate(extra), starts, lengths
 
 
 _models: dict[str, Bpe] = {}
 _lexicons: dict[str, Transducer] = {}
-_memos: dict[str, Memo] = {}
 
 
 def model(path: str) -> Bpe:
@@ -196,33 +265,27 @@ class Coder:
     """Encodes texts with a transducer for the frequent words, and merges the others."""
 
     def __init__(self, path: str, transducer: Transducer) -> None:
-        self.bpe, self.transducer = model(path), transducer
-        if path not in _memos:
-            _memos[path] = Memo("bpe", TABLE, lambda w, ids=self.bpe.ids: np.array(ids(w), np.int32), lambda w: len(w) <= LONGEST)
-        self.memo = _memos[path]
-        self.merged = 0
+        self.bpe, self.transducer, self.merged = model(path), transducer, 0
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all the words, one after the other, and how many each has."""
         number = {w: i for i, w in enumerate(dict.fromkeys(words))}
         place = self.transducer.find([w.encode() for w in number])
-        starts, pool = self.transducer.starts, [self.transducer.ids]
+        starts, pool = self.transducer.starts, self.transducer.ids
         known = place >= 0
         start = np.where(known, starts[np.maximum(place, 0)], 0).astype(np.int64)
         length = np.where(known, starts[np.maximum(place, 0) + known] - start, 0)
-        end = len(self.transducer.ids)
-        unseen = list(number)
-        for i in np.flatnonzero(~known).tolist():
-            ids = self.memo[unseen[i]]
-            pool.append(ids)
-            start[i], length[i] = end, len(ids)
-            end += len(ids)
-            self.merged += 1
+        if not known.all():
+            unseen = [w for w, k in zip(number, known.tolist(), strict=True) if not k]
+            ids, start[~known], length[~known] = self.bpe.ids(unseen)
+            start[~known] += len(pool)
+            pool = np.concatenate([pool, ids])
+            self.merged += len(unseen)
         at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
         lengths = length[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        return np.concatenate(pool)[np.repeat(start[at] - (ends - lengths), lengths) + np.arange(total)], lengths
+        return pool[np.repeat(start[at] - (ends - lengths), lengths) + np.arange(total)], lengths
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         ids, sizes = [], np.zeros(len(texts), np.int64)
@@ -292,7 +355,9 @@ def build(docs: DataFrame, tokenizer_path: str, most: int = LEXICON) -> str:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(tokenizer_path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.ids(w) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))], names=["word", "ids"])
+            ids, start, length = bpe.ids(batch.column(0).to_pylist())
+            lists = pa.array([ids[a : a + n] for a, n in zip(start.tolist(), length.tolist(), strict=True)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["word", "ids"])
 
     path = new_folder(spark, "words")
     word_counts(docs).write.parquet(path)

@@ -31,7 +31,8 @@ def coder(tmp_path_factory):
     words = ["the", "there", "then", "'s", "don", "!", "é", "日本語", "st", "a"]
     path = tmp_path_factory.mktemp("lexicon") / "file"
     model = bpe.Bpe(queries.TOKENIZER)
-    path.write_bytes(lexicon.compiled({w.encode(): model.ids(w) for w in words}))
+    ids, start, length = model.ids(words)
+    path.write_bytes(lexicon.compiled({w.encode(): ids[a : a + n].tolist() for w, a, n in zip(words, start, length, strict=True)}))
     return bpe.Coder(queries.TOKENIZER, lexicon.Transducer(str(path)))
 
 
@@ -60,11 +61,11 @@ def test_any_portions(coder, monkeypatch):
 
 def test_long_pieces_are_merged_as_short_ones(coder, monkeypatch):
     draw = random.Random(3)
-    pieces = ["".join(draw.choice("aeinorsthe") for _ in range(n)) for n in (1, 2, 3, 9, 40, 63, 64, 65, 400)] + ["a" * 50, "aab" * 30]
-    monkeypatch.setattr(bpe, "SHORT", 10**9)
-    short = [coder.bpe.merged(p) for p in pieces]
-    monkeypatch.setattr(bpe, "SHORT", 0)
-    assert [coder.bpe.merged(p) for p in pieces] == short == [plain(p)[0] for p in pieces]
+    pieces = ["".join(draw.choice("aeinorsthe") for _ in range(n)) for n in (1, 2, 3, 6, 7, 9, 40, 48, 49, 64, 65, 400)] + ["a" * 47, "a" * 48, "aab" * 16, "aab" * 30]
+    for widths in ((6, 9, 12, 16, 24, 48), (1,), (400,)):
+        monkeypatch.setattr(bpe, "WIDTHS", widths)
+        ids, start, length = coder.bpe.merged([p.encode() for p in pieces])
+        assert [ids[a : a + n].tolist() for a, n in zip(start, length, strict=True)] == [plain(p)[0] for p in pieces]
 
 
 def test_transducer_equals_a_dictionary(tmp_path):
