@@ -75,6 +75,12 @@ def ordered_flat_map(df: DataFrame, seq: str, outputs: Column, name: str) -> Dat
     return df.select(*df.columns, F.posexplode(outputs).alias("pos", name)).orderBy(seq, "pos")
 
 
+def ordered_in_place(rows: DataFrame, place: str, outputs: Column, name: str) -> DataFrame:
+    """Adds pos: outputs of the rows of ``ordering.in_order`` with (place, pos) as their order, those of one input together. Rows stay in the
+    tasks that have read them, in the order of the files; a reader that wants a range of the order asks for places, none is sorted."""
+    return rows.select(*rows.columns, F.posexplode(outputs).alias("pos", name)).withColumn("pos", F.col("pos").cast("bigint"))
+
+
 def map_workers(df: DataFrame, make: Callable[[], Callable[[dict], Rows]], schema: str, final: Callable[[Callable], Rows] | None = None, close: Callable[[Callable], None] | None = None) -> DataFrame:
     """Runs a callback that make() builds anew for each task, so its state is the task's own.
 

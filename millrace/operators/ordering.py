@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,3 +91,33 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "place"
     out = rows.alias("r").join(carries, on, "left")
     value = F.col(f"r.{place}") + F.coalesce(F.col(f"c.{carried}"), F.lit(0)) + first
     return out.select(*[F.col(f"r.{c}") for c in df.columns], value.alias(name))
+
+
+def in_order(spark: SparkSession, path: str, name: str = "place", columns: list[str] | None = None) -> DataFrame:
+    """Rows of Parquet files with their places from 0 on: files in order of their paths, rows as they stand in them. Nothing is moved or sorted:
+    a row's place is what its file begins with, and its number in the file, however the file is split into tasks.
+
+    Two passes: the first reads no column and counts the rows of each file, a row of which each comes to the driver.
+    """
+    files = spark.read.parquet(path)
+    file, at, begins = fresh(files, "file", "at", "begins")
+    rows = files.select(*(columns or files.columns), F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
+    counts = files.select(F.col("_metadata.file_path").alias(file)).groupBy(file).agg(F.count("*").alias("n")).collect()
+    starts, total = [], 0
+    for r in sorted(counts, key=lambda r: r[file]):
+        starts.append((r[file], total))
+        total += r["n"]
+    known = F.broadcast(spark.createDataFrame(starts, f"`{file}` string, `{begins}` bigint").coalesce(1))
+    return rows.join(known, file).withColumn(name, F.col(begins) + F.col(at)).drop(file, at, begins)
+
+
+def in_blocks(df: DataFrame, order: list[str], before: int, size: int = 10_000) -> tuple[DataFrame, str, str, str]:
+    """For windows over the last rows of a whole table: df in blocks of ``size`` rows of the order, each with the ``before`` rows that precede it
+    as well. Also the names of the columns that say the block, the place, and whether a row only precedes (it is a block's own elsewhere)."""
+    if not 0 <= before < size:
+        raise ValueError("a block must be larger than what precedes it")
+    block, place, precedes = fresh(df, "block", "place", "precedes")
+    rows = numbered(df, [], order, place)
+    rows = rows.withColumns({block: F.floor(F.col(place) / size), precedes: F.lit(False)})
+    edge = rows.where(F.pmod(F.col(place), F.lit(size)) >= size - before).withColumns({block: F.col(block) + 1, precedes: F.lit(True)})
+    return rows.unionByName(edge), block, place, precedes

@@ -284,9 +284,17 @@ class CubeTable:
         reduce(DataFrame.unionByName, frames).distinct().createOrReplaceTempView(f"{name}_view")
         return f"{name}_view"
 
+    def scan(self) -> DataFrame:
+        """All rows, one for each key, of which a filter on part_start, the time or another dimension reads only the partitions and rows that it
+        needs: it passes the sums, which are by these columns, and reaches the data source. For stores that tasks can open by their scheme."""
+        from ..sources import cube as source
+
+        source.register(self.spark)
+        reader = self.spark.read.format("cube").option("time", self.spec.time_col).option("length", self.part_length).option("dims", ",".join(self.spec.dims))
+        return self.merged([reader.schema(self._schema()).load(self.root)])
+
     def page(self, columns: list[str], where: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
-        """Some rows, in order of the dimensions."""
-        df = self.read()
-        df = df.where(where) if where else df
+        """Some rows, in order of the dimensions; bounds in where choose the partitions that are read."""
+        df = self.scan().where(where) if where else self.read()
         df = df.orderBy(*self.spec.dims).select(*columns).offset(offset)
         return df if limit is None else df.limit(limit)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import hll
 from ..operators import cube
 from ..operators.spec import CubeSpec, Dimension, Measure, epoch_seconds
+from ..operators.stored import StoredCube
 from ..operators.table import CubeTable
 from ..session import new_folder
 
@@ -17,6 +18,7 @@ HOUR, DAY = 3600, 86_400
 EVENTS = CubeSpec("events", (Dimension("ts", "time"), Dimension("event_type")), (Measure("n"),))
 #: Events by hour and type.
 HOURLY = CubeSpec("events", (Dimension("hour", "time"), Dimension("event_type")), (Measure("n"), Measure("weight")))
+HOUR_COUNTS = CubeSpec("hours", (Dimension("hour", "time"), Dimension("event_type")), (Measure("n"),))
 COUNT = {"n": 1}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -139,6 +141,42 @@ def cube_merge_inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.inserted(old, new, ["hour", "event_type"])
 
 
+def stored(spark: SparkSession, old: DataFrame) -> StoredCube:
+    out = StoredCube.temporary(spark, HOUR_COUNTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    out.store(old)
+    return out
+
+
+@query(f"""WITH {OLD_NEW} SELECT hour, event_type, (old.n + new.n)::BIGINT AS n FROM old JOIN new USING (hour, event_type)""")
+def cube_stored_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As cube_merge_matched, with the old cube stored in buckets: its rows stay where they are."""
+    old, new = old_and_new(spark, sf_dir)
+    return stored(spark, old).matched(new)
+
+
+@query(f"""WITH {OLD_NEW} SELECT hour, event_type, n::BIGINT AS n FROM new ANTI JOIN old USING (hour, event_type)""")
+def cube_stored_inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = old_and_new(spark, sf_dir)
+    return stored(spark, old).inserted(new)
+
+
+@query(f"""SELECT hour, event_type, count(*)::BIGINT AS n FROM {E_SQL} GROUP BY ALL""")
+def cube_stored_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = old_and_new(spark, sf_dir)
+    table = stored(spark, old)
+    table.merge(new)
+    return table.read()
+
+
+@query(f"""SELECT hour, event_type, n, weight FROM ({H_SQL})""")
+def cube_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen deltas, one after the other, each written alone: their folders are added up by levels, and reads add up the rest."""
+    t, rows = table(spark), hourly_rows(spark, sf_dir)
+    for i in range(16):
+        t.upsert(hourly(rows.where(F.pmod("event_id", F.lit(16)) == i)), "feed", i)
+    return t.read().drop("part_start")
+
+
 @query(H_SQL)
 def cube_late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, rows = table(spark), hourly_rows(spark, sf_dir)
@@ -177,6 +215,17 @@ def cube_select_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.page(["hour", "event_type", "n"], "n > 1", limit=20, offset=10)
 
 
+@query(f"""SELECT hour, event_type, n, weight FROM ({H_SQL}) WHERE hour >= (SELECT min(hour) // 86400 * 86400 + 3 * 86400 FROM {E_SQL})
+AND hour < (SELECT min(hour) // 86400 * 86400 + 5 * 86400 FROM {E_SQL}) AND event_type <> 'click'""")
+def cube_pruned_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two days of a stored table, by bounds on the hour: the other days' files are not read."""
+    t, rows = table(spark), hourly(hourly_rows(spark, sf_dir))
+    t.upsert(rows.where("n % 2 = 0"))
+    t.upsert(rows.where("n % 2 = 1"))
+    first = t.partitions()[0]
+    return t.scan().where((F.col("hour") >= first + 3 * DAY) & (F.col("hour") < first + 5 * DAY) & (F.col("event_type") != "click")).drop("part_start")
+
+
 # ---- sketches
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs
-from ..operators import cube, mapping, routing
+from ..operators import cube, mapping, ordering, routing
 from ..operators.spec import epoch_seconds
 from ..operators.table import CubeTable
 from ..session import new_folder
@@ -47,6 +47,15 @@ def map_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.ordered_flat_map(rows, "seq", items, "item").select("seq", F.col("pos").cast("bigint").alias("pos"), "item")
 
 
+@query("""SELECT place, pos, part FROM (SELECT place, unnest(range(0, len(parts)))::BIGINT AS pos, unnest(parts) AS part
+  FROM (SELECT row_number() OVER () - 1 AS place, string_split(event_type || '-' || user_id, '-') AS parts FROM events))""")
+def map_ordered_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of rows as they stand in the files; nothing is sorted or moved."""
+    rows = ordering.in_order(spark, f"{sf_dir}/events.parquet", columns=["event_type", "user_id"])
+    parts = F.split(F.concat_ws("-", "event_type", F.col("user_id").cast("string")), "-")
+    return mapping.ordered_in_place(rows, "place", parts, "part").select("place", "pos", "part")
+
+
 class _Dedup:
     """A callback with state of its own: gives each type once in a task."""
 

@@ -21,13 +21,13 @@ from pyspark.sql.types import StructType
 from ..functions.codecs import split_frames
 from ..session import ship_code
 from ..streaming.runner import InFlight
-from .framed import FramedWriter
+from .framed import EpochWriter, FramedWriter
 
 
 class RawWriter(FramedWriter):
     """A file for each task: its values one after another, with nothing between them."""
 
-    suffix = "raw"
+    suffix, indexed = "raw", False
 
     @staticmethod
     def packed(value: bytes) -> bytes:
@@ -35,7 +35,7 @@ class RawWriter(FramedWriter):
 
 
 class Raw(DataSource):
-    """df.write.format("raw"): values (binary or string) as they are."""
+    """df.write.format("raw"): values (binary or string) as they are; for streams too, see ``framed.EpochWriter``."""
 
     @classmethod
     def name(cls) -> str:
@@ -47,6 +47,9 @@ class Raw(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return RawWriter(self.options["path"])
 
+    def streamWriter(self, schema: StructType, overwrite: bool) -> EpochWriter:  # noqa: N802
+        return EpochWriter(self.options["path"], self.options.get("writer", "stream"), RawWriter.suffix, RawWriter.packed, False)
+
 
 # ---- objects
 

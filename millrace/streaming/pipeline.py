@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 from ..operators import cube
+from ..operators.ordering import in_blocks
 from ..operators.table import CubeTable
 
 Parse = Callable[[DataFrame], DataFrame]
@@ -110,9 +111,12 @@ def event_counts(rows: DataFrame, op: Column, error: Column) -> DataFrame:
     return rows.groupBy(op.alias("op")).agg(F.count("*").alias("events"), F.count_if(error).alias("errors"))
 
 
-def running_count(batches: DataFrame, order: str, n: str, floor: int = 1, span: int = 5) -> DataFrame:
-    """Adds mean: the whole part of the mean of the last span counts, floor at least. A row for each batch is all it sorts."""
+def running_count(batches: DataFrame, order: str, n: str, floor: int = 1, span: int = 5, size: int = 10_000) -> DataFrame:
+    """Adds mean: the whole part of the mean of the last span counts, floor at least. In blocks of so many batches, each with those before it
+    that its first ones need, so that no task has them all. ``stateful.moving_mean`` is the same for a stream."""
     from pyspark.sql import Window
 
-    last = Window.orderBy(order).rowsBetween(-(span - 1), Window.currentRow)
-    return batches.withColumn("mean", F.greatest(F.floor(F.sum(n).over(last) / F.count(n).over(last)), F.lit(floor)).cast("bigint"))
+    rows, block, place, precedes = in_blocks(batches, [order], span - 1, size)
+    last = Window.partitionBy(block).orderBy(place).rowsBetween(-(span - 1), Window.currentRow)
+    mean = F.greatest(F.floor(F.sum(n).over(last) / F.count(n).over(last)), F.lit(floor)).cast("bigint")
+    return rows.withColumn("mean", mean).where(~F.col(precedes)).drop(block, place, precedes)

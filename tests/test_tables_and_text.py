@@ -164,6 +164,32 @@ def test_a_row_without_partition_is_refused(spark, table):
     assert table.read().count() == 0
 
 
+def test_bounds_choose_the_files_that_are_read(spark, table):
+    from millrace.sources import cube as source
+
+    rows = [(3600 * h + 60 * i, f"k{i}", 10 * h + i) for h in range(8) for i in range(3)]
+    table.upsert(delta(spark, *rows[:14]))
+    table.upsert(delta(spark, *rows[8:]))
+    every = content(table)
+    for where in ("ts >= 7200 AND ts < 10800", "part_start = 3600", "part_start IN (0, 25200)", "ts = 7260 AND kind = 'k1'", "kind = 'k2'", "n > 30", "ts > 100000", "kind IS NULL", "ts <= 3700", "ts IN (60, 25200)"):
+        found = sorted((r["ts"], r["kind"], r["n"]) for r in table.scan().where(where).collect())
+        plain = sorted((r["ts"], r["kind"], r["n"]) for r in table.read().where(where).collect())
+        assert found == plain, where
+    assert sorted((r["ts"], r["kind"], r["n"]) for r in table.scan().collect()) == every
+    assert [r["ts"] for r in table.page(["ts"], "ts >= 7200", limit=2, offset=1).collect()] == [7260, 7320]
+
+    def folders(*filters):
+        reader = source.CubeReader(table.root, spark.createDataFrame([], table._schema()).schema, "ts", 3600, ["ts", "kind"])
+        assert list(reader.pushFilters(list(filters))) == list(filters)
+        return sorted({int(p.rsplit("=", 1)[1]) for p in reader.chosen()})
+
+    hours = [3600 * h for h in range(8)]
+    assert folders() == hours
+    assert folders(source.GreaterThanOrEqual(("ts",), 7200), source.LessThanOrEqual(("ts",), 10_799)) == [7200]
+    assert folders(source.EqualTo(("ts",), 7260)) == [7200] and folders(source.EqualTo(("part_start",), 3600)) == [3600]
+    assert folders(source.In(("part_start",), (0, 25_200, 5))) == [0, 25_200] and folders(source.EqualTo(("kind",), "k1")) == hours and folders(source.EqualTo(("n",), 1)) == hours
+
+
 def test_popping_the_newest_partition(spark, table):
     table.upsert(delta(spark, (10, "a", 1), (4000, "b", 2), (4100, "c", 3)))
     assert sorted(r["kind"] for r in table.pop_top().collect()) == ["b", "c"] and table.partitions() == [0]
