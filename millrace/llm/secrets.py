@@ -247,8 +247,9 @@ def with_findings(docs: DataFrame, text: str, name: str, trees: list[tuple]) ->
 
 def scan(docs: DataFrame, trees: list[tuple], least: float = 0.5) -> DataFrame:
     """A row for each candidate in docs (doc_id, text): doc_id, word_index, secret, score, is_secret."""
-    found = with_findings(docs.select("doc_id", "text"), "text", "__found", trees).select("doc_id", F.explode("__found").alias("f"))
-    return found.select("doc_id", "f.*").withColumn("is_secret", F.col("score") >= least)
+    # explode would let Spark ask for the size of the array, and so evaluate the forest once more, in a filter below
+    found = with_findings(docs.select("doc_id", "text"), "text", "__found", trees).select("doc_id", F.explode_outer("__found").alias("f"))
+    return found.where("f is not null").select("doc_id", "f.*").withColumn("is_secret", F.col("score") >= least)
 
 
 def redact(docs: DataFrame, trees: list[tuple], least: float = 0.5, mark: str = "[SECRET]") -> DataFrame:

@@ -740,6 +740,16 @@ def plain_candidates(text):
     return out
 
 
+def test_a_scan_evaluates_the_forest_once(spark):
+    """No filter below the rows of the candidates has candidates, features or trees in it again."""
+    docs = spark.createDataFrame(ODD, SCHEMA)
+    plan = secrets.scan(docs, [(0, 20.0, 0.25, 0.75)] * 20)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter")]
+    assert plan.count("regexp_extract_all") < 16 and not any("regexp_extract_all" in line or "__found" in line for line in filters)
+    found, outer = secrets.scan(docs, [0.5]), secrets.with_findings(docs.select("doc_id", "text"), "text", "__found", [0.5])
+    assert found.count() == outer.select(F.sum(F.size("__found"))).first()[0]
+
+
 def test_candidates_and_features_equal_plain_ones(spark, trees):
     docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(spark.createDataFrame([(10**6, "token: abc12345 pwd = x!y?z9q; key=aaaaaaaaaaaaaaaaaaaa,bbbbbbbbbbbbbbbbbbbbbb auth:zz", "en", "a", 9)], SCHEMA))
     found = {}
