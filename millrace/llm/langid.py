@@ -229,11 +229,15 @@ def sample(docs: DataFrame, per_lang: int) -> list[tuple[str, str]]:
 def identify(docs: DataFrame, train: DataFrame, per_lang: int = 300, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score"), reject: bool = False) -> DataFrame:
     """Adds the language and its score, under these names, to docs (text, and the columns in keep: doc_id unless given).
 
-    train: doc_id, text, lang. reject: a text that is not like what was learned is UNKNOWN with score 0.
+    train: doc_id, text, lang. reject: a text that is not like what was learned is UNKNOWN with score 0. Raises if a column in keep has the
+    name of a result.
     """
     ship_code(docs.sparkSession)
     bound_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
+    clash = [c for c in keep if c.lower() in {n.lower() for n in names}]
+    if clash or names[0].lower() == names[1].lower():
+        raise ValueError(f"columns {clash or list(names)} have the names of the results: choose other names")
     sent = keep if "text" in keep else [*keep, "text"]
     at_text = sent.index("text")
     samples = [(lang, text) for _, lang, text in sample(train, per_lang)]

@@ -31,6 +31,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import fresh
 from .quality import split_words
 
 RUN = "([A-Za-z0-9+/_-]{16,})"
@@ -214,12 +215,13 @@ def default_forest(spark: SparkSession) -> list[tuple]:
 
 def with_findings(docs: DataFrame, text: str, name: str, trees: list[tuple]) -> DataFrame:
     """Adds the column name: for each candidate its word's place, the run and the score."""
-    w = F.col("__w")
+    words, some_runs, some_made = fresh(docs, "__w", "__runs", "__made")
+    w = F.col(words)
     word = lambda i: F.coalesce(F.get(w, i.cast("int")), F.lit(""))
     none = F.array().cast("array<string>")
     # few words go on from here: those with a run, and those with a sign that a value comes
     marked = F.filter(
-        F.transform("__w", lambda x, i: F.struct(i.cast("bigint").alias("i"), x.alias("x"))),
+        F.transform(words, lambda x, i: F.struct(i.cast("bigint").alias("i"), x.alias("x"))),
         lambda s: ((F.length(s["x"]) >= SHORTEST) & s["x"].rlike(RUN)) | F.contains(s["x"], F.lit("=")) | F.contains(s["x"], F.lit(":")),
     )
 
@@ -236,12 +238,12 @@ def with_findings(docs: DataFrame, text: str, name: str, trees: list[tuple]) ->
     made_of = lambda found, i, x: F.transform(found, lambda r: F.struct(i.alias("i"), x.alias("x"), r.alias("r")))
     runs = F.flatten(F.transform(marked, lambda s: F.concat(made_of(own(s["x"]), s["i"], s["x"]), made_of(after(s), s["i"] + 1, word(s["i"] + 1)))))
     near = lambda s, k: F.coalesce(F.get(w, s["i"].cast("int") + k), F.lit(""))
-    made = F.transform("__runs", lambda s: F.struct(s["i"].alias("i"), s["r"].alias("r"), F.array(*feature_columns(s["x"], s["r"], near(s, -2), near(s, -1), near(s, 1)).values()).alias("f")))
-    scored = F.transform("__made", lambda s: F.struct(s["i"].alias("word_index"), s["r"].alias("secret"), forest_score(trees, [F.get(s["f"], k) for k in range(len(FEATURES))]).alias("score")))
+    made = F.transform(some_runs, lambda s: F.struct(s["i"].alias("i"), s["r"].alias("r"), F.array(*feature_columns(s["x"], s["r"], near(s, -2), near(s, -1), near(s, 1)).values()).alias("f")))
+    scored = F.transform(some_made, lambda s: F.struct(s["i"].alias("word_index"), s["r"].alias("secret"), forest_score(trees, [F.get(s["f"], k) for k in range(len(FEATURES))]).alias("score")))
     return (
-        docs.withColumn("__w", split_words(F.coalesce(F.col(text), F.lit(""))))
-        .withColumn("__runs", runs).withColumn("__made", F.when(F.size("__runs") > 0, made)).drop("__runs", "__w")
-        .withColumn(name, F.when(F.col("__made").isNull(), F.array().cast(FOUND)).otherwise(scored.cast(FOUND))).drop("__made")
+        docs.withColumn(words, split_words(F.coalesce(F.col(text), F.lit(""))))
+        .withColumn(some_runs, runs).withColumn(some_made, F.when(F.size(some_runs) > 0, made)).drop(some_runs, words)
+        .withColumn(name, F.when(F.col(some_made).isNull(), F.array().cast(FOUND)).otherwise(scored.cast(FOUND))).drop(some_made)
     )
 
 
@@ -254,11 +256,12 @@ def scan(docs: DataFrame, trees: list[tuple], least: float = 0.5) -> DataFrame:
 
 def redact(docs: DataFrame, trees: list[tuple], least: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
     """docs with each secret in text replaced; n_chars follows, where docs has it."""
-    rows = with_findings(docs, "text", "__found", trees)
-    secrets = F.array_distinct(F.transform(F.filter("__found", lambda s: s["score"] >= least), lambda s: s["secret"]))
+    found, kept = fresh(docs, "__found", "__secrets")
+    rows = with_findings(docs, "text", found, trees)
+    secrets = F.array_distinct(F.transform(F.filter(found, lambda s: s["score"] >= least), lambda s: s["secret"]))
     longest = F.array_sort(secrets, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).otherwise(0))
-    rows = rows.withColumn("__secrets", longest).drop("__found")
-    rows = rows.withColumn("text", F.aggregate("__secrets", F.col("text"), lambda t, s: F.replace(t, s, F.lit(mark))))
+    rows = rows.withColumn(kept, longest).drop(found)
+    rows = rows.withColumn("text", F.aggregate(kept, F.col("text"), lambda t, s: F.replace(t, s, F.lit(mark))))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("__secrets") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.size(kept) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)

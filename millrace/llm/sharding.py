@@ -53,7 +53,13 @@ def place(df: DataFrame, key: Column, shards: list[str], slots: int = SLOTS, see
     return rows.join(F.broadcast(slot_of), "__slot").withColumnsRenamed({"__slot": names[0], "__shard": names[1]})
 
 
-def write_shards(placed: DataFrame, path: str, tasks_per_shard: int = 4) -> None:
-    """Writes a folder for each shard; tasks_per_shard tasks share one, so that a hot key's rows don't meet in one task."""
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in placed.columns if c not in ("slot", "shard")]), F.lit(tasks_per_shard))
-    placed.drop("slot").repartition("shard", salt).write.partitionBy("shard").parquet(path)
+def write_shards(placed: DataFrame, path: str, tasks_per_shard: int = 4, names: tuple[str, str] = ("slot", "shard")) -> None:
+    """Writes a folder for each shard; tasks_per_shard tasks share one, so that a hot key's rows don't meet in one task. names: as place gave them."""
+    missing = [n for n in names if n not in placed.columns]
+    if missing:
+        raise ValueError(f"no columns {missing}: say which names place has given")
+    rest = [F.col(f"`{c}`") for c in placed.columns if c not in names]
+    if not rest:
+        raise ValueError("no columns beside slot and shard: there is nothing to write")
+    salt = F.pmod(F.xxhash64(*rest), F.lit(tasks_per_shard))
+    placed.drop(names[0]).repartition(names[1], salt).write.partitionBy(names[1]).parquet(path)

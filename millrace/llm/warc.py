@@ -4,11 +4,14 @@ Writing: of pages with equal payloads (SHA-1 and length) of at least ``min_bytes
 response; the others become revisits that refer to it and carry no payload. Only ids and digests are shuffled for that; few
 revisits are broadcast to the scan, many are joined by shuffle. Spark's text writer makes the files, in the shared folder.
 
-Reading: Spark's line reader splits the files, and within them splits at every magic ``WARC/1.0``, in a payload or not. From
+Reading: Spark's line reader splits the files, and within them splits at every magic ``WARC/1.``, in a payload or not. From
 each, a task emits the offset of the candidate record and of its successor, which the record's lengths give. Candidates that
 lead to the very next candidate form runs; from run to run, reachability from the file's start is found by pointer jumping,
 where each round doubles the jump. What can't be reached is magic inside a payload, and is given back to the payload.
 
+Any archive can be read: records of all types, versions 1.0 and 1.1, ids of any form, plain or as .gz. A record is well formed if it has a type
+and a length; the chain ends at one that is not, or that is cut off, and ``unreached`` says how many bytes of each file it has not reached.
+
 Edge cases: null html is an empty payload; a null url is left out; pages with equal ids and payloads are all responses if
 theirs is the largest id; a null id is never the largest, and is read back as null; payloads may hold whole WARC records; a
 record cut off at a file's end is dropped; an empty table gives no records; extra columns are not read.
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -75,25 +79,46 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
 
 SLIM = pa.schema([
     ("file", pa.string()), ("block", pa.int64()), ("local", pa.int64()), ("size", pa.int64()), ("extent", pa.int64()), ("kind", pa.string()),
-    ("id", pa.int64()), ("digest", pa.string()), ("bytes", pa.int64()), ("refers_to", pa.int64()), ("found", pa.string()), ("found_bytes", pa.int64()),
+    ("id", pa.int64()), ("record_id", pa.string()), ("digest", pa.string()), ("bytes", pa.int64()), ("refers_to", pa.int64()), ("refers_to_id", pa.string()), ("found", pa.string()), ("found_bytes", pa.int64()),
 ])
-SLIM_DDL = "file string, block bigint, local bigint, size bigint, extent bigint, kind string, id bigint, digest string, bytes bigint, refers_to bigint, found string, found_bytes bigint"
+#: Types of the fields in Spark.
+TYPES = {pa.string(): "string", pa.int64(): "bigint"}
+SLIM_DDL = ", ".join(f"{f.name} {TYPES[f.type]}" for f in SLIM)
+#: What a reader gives of a record, and what it is made of.
+OUT = ["id", "record_id", "kind", "digest", "bytes", "refers_to", "refers_to_id"]
+MADE = [*OUT, "found", "found_bytes"]
+#: The magic that files are split at, and what follows it in a record.
+TOKEN, VERSIONS = "WARC/1.", (b"0\r\n", b"1\r\n")
 
 
 def parse(piece: bytes) -> dict | None:
-    """What a candidate says, from the bytes after its magic. extent: the record's bytes, magic included."""
+    """What a candidate says, from the bytes after the token. extent: the record's bytes, the token included. id and refers_to are numbers of
+    pages, where the ids are this writer's; record_id and refers_to_id are the ids as they stand, without brackets."""
     end = piece.find(b"\r\n\r\n")
-    fields = dict(line.split(b": ", 1) for line in piece[:end].split(b"\r\n") if b": " in line) if end >= 0 else {}
-    fields = {k.lower(): v for k, v in fields.items()}
-    length, record = fields.get(b"content-length", b""), fields.get(b"warc-record-id", b"")
-    if not length.isdigit() or b"warc-type" not in fields or not record.startswith(f"<{URN}".encode()):
+    if end < 0 or piece[:3] not in VERSIONS:
+        return None
+    lines = [line.partition(b":") for line in piece[3:end].split(b"\r\n")]
+    fields = {name.strip().lower(): value.strip().decode(errors="replace") for name, colon, value in lines if colon}
+    length, kind = fields.get(b"content-length", ""), fields.get(b"warc-type")
+    if not (length.isascii() and length.isdigit()) or not kind:
         return None
-    number = lambda v: int(v) if v.removeprefix(b"-").isdigit() else None
-    of = lambda k: number(fields.get(k, b"").removeprefix(f"<{URN}".encode()).removesuffix(b">"))
-    start, n = end + 4, int(length)
-    out = {"kind": fields[b"warc-type"].decode(errors="replace"), "id": of(b"warc-record-id"), "digest": fields.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode(errors="replace"), "bytes": number(fields.get(b"x-payload-length", b"")), "refers_to": of(b"warc-refers-to"), "extent": len(MAGIC) + start + n + 4, "found": None, "found_bytes": None}
+
+    def ids(key: bytes) -> tuple[str | None, int | None]:
+        text = fields.get(key)
+        text = text if text is None else text.removeprefix("<").removesuffix(">")
+        own = (text or "").removeprefix(URN) if (text or "").startswith(URN) else ""
+        return text, int(own) if re.fullmatch(r"-?[0-9]{1,19}", own) and -(1 << 63) <= int(own) < 1 << 63 else None
+
+    start, n, size = end + 4, int(length), fields.get(b"x-payload-length", "")
+    (record_id, page), (refers_to_id, refers_to) = ids(b"warc-record-id"), ids(b"warc-refers-to")
+    out = {
+        "kind": kind, "id": page, "record_id": record_id, "digest": fields.get(b"warc-payload-digest", fields.get(b"warc-block-digest", "")).removeprefix("sha1:") or None,
+        "bytes": int(size) if re.fullmatch(r"[0-9]{1,18}", size) else None, "refers_to": refers_to, "refers_to_id": refers_to_id, "extent": len(TOKEN) + start + n + 4, "found": None, "found_bytes": None,
+    }
     if piece[start + n : start + n + 4] == b"\r\n\r\n":
-        payload = piece[start : start + n].partition(b"\r\n\r\n")[2]
+        block = piece[start : start + n]
+        http = fields.get(b"content-type", "").lower().startswith("application/http")
+        payload = block.partition(b"\r\n\r\n")[2] if http else block
         out |= {"found": base64.b32encode(hashlib.sha1(payload).digest()).decode(), "found_bytes": len(payload)}
     return out
 
@@ -106,7 +131,7 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, int,
         for file, block, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             piece, key = value.as_py(), (file, block)
             out.append((*key, at.get(key, 0), piece))
-            at[key] = at.get(key, 0) + len(piece) + len(MAGIC)
+            at[key] = at.get(key, 0) + len(piece) + len(TOKEN)
         yield out
 
 
@@ -131,21 +156,20 @@ def reachable_runs(jumps: DataFrame, starts: DataFrame) -> DataFrame:
     return reached
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """id, kind, digest, bytes, refers_to of each record; digest and bytes are of the payload itself where it is there."""
+def _chain(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The pieces of the files; all candidates with their offsets (off), written; those of them that the chains reach; each file's bytes."""
     ship_code(spark)
     bound_batches(spark)
-    if spark.read.text(path).isEmpty():
-        return spark.createDataFrame([], "id bigint, kind string, digest string, bytes bigint, refers_to bigint")
-    source = spark.read.option("lineSep", MAGIC).text(path)
+    source = spark.read.option("lineSep", TOKEN).text(path)
     source = source.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
     slim = written(source.mapInArrow(_candidates, SLIM_DDL), "candidates")
     # a block's first byte, as a sum over the blocks before it
-    blocks = slim.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("n"))
+    blocks = slim.groupBy("file", "block").agg(F.sum(F.col("size") + len(TOKEN)).alias("n"))
+    sizes = blocks.groupBy("file").agg((F.sum("n") - len(TOKEN)).alias("file_bytes"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    # a piece's record starts with the magic before it; the first piece of a file has none
-    at = slim.join(blocks, ["file", "block"]).withColumn("off", F.col("base") + F.col("local") - len(MAGIC)).where(F.col("off") >= 0).withColumn("next", F.col("off") + F.col("extent"))
+    # a piece's record starts with the token before it; the first piece of a file has none
+    at = slim.join(blocks, ["file", "block"]).withColumn("off", F.col("base") + F.col("local") - len(TOKEN)).where(F.col("off") >= 0).withColumn("next", F.col("off") + F.col("extent"))
     by = Window.partitionBy("file").orderBy("off")
     at = at.withColumn("run", F.sum(F.when(F.lag("next").over(by) == F.col("off"), 0).otherwise(1)).over(by))
     at = written(at, "runs")
@@ -153,8 +177,27 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     landing = at.select("file", F.col("run").alias("to_run"), F.col("off").alias("to_off"))
     jumps = written(runs.join(landing, (runs.file == landing.file) & (F.col("exit") == F.col("to_off"))).select(runs.file, "run", "to_run", "to_off"), "jumps")
     reached = reachable_runs(jumps, runs.where(F.col("first") == 0).select("file", "run", F.col("first").alias("entry")))
-    true = at.join(reached, ["file", "run"]).where((F.col("off") >= F.col("entry")) & F.col("kind").isNotNull())
-    whole = true.where(F.col("found").isNotNull()).select("id", "kind", "found", "found_bytes", "digest", "bytes", "refers_to")
+    return source, at, at.join(reached, ["file", "run"]).where((F.col("off") >= F.col("entry")) & F.col("kind").isNotNull()), sizes
+
+
+def unreached(spark: SparkSession, path: str) -> DataFrame:
+    """file, file_bytes, unreached_bytes: how much of each file is no record that can be read. 0 for a whole archive."""
+    if spark.read.text(path).isEmpty():
+        return spark.createDataFrame([], "file string, file_bytes bigint, unreached_bytes bigint")
+    _, _, true, sizes = _chain(spark, path)
+    read = true.join(sizes, "file").where(F.col("next") <= F.col("file_bytes")).groupBy("file").agg(F.sum("extent").alias("read"))
+    return sizes.join(read, "file", "left").select("file", "file_bytes", (F.col("file_bytes") - F.coalesce("read", F.lit(0))).alias("unreached_bytes"))
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """The fields OUT of each record; digest and bytes are of the payload itself where it is there, for revisits what they say. The payload is
+    the HTTP body, or of records that hold no HTTP message the whole block."""
+    out_ddl, made_ddl = (", ".join(f"{n} {TYPES[SLIM.field(n).type]}" for n in names) for names in (OUT, MADE))
+    if spark.read.text(path).isEmpty():
+        return spark.createDataFrame([], out_ddl)
+    source, at, true, _ = _chain(spark, path)
+    by = Window.partitionBy("file").orderBy("off")
+    whole = true.where(F.col("found").isNotNull()).select(*MADE)
     torn = true.where(F.col("found").isNull()).select("file", F.col("off").alias("owner"), "extent")
     if not torn.isEmpty():
         # magic inside payloads: their pieces go back to the record that they stand in
@@ -163,14 +206,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         needed = owned.join(torn, ["file", "owner"]).select("file", "block", "local", "off", "owner", "extent")
         pieces = source.mapInArrow(_raw, "file string, block bigint, local bigint, piece binary").join(needed, ["file", "block", "local"])
         joined = pieces.groupBy("file", "owner", "extent").agg(F.array_sort(F.collect_list(F.struct("off", "piece"))).alias("pieces"))
-        schema = "id bigint, kind string, found string, found_bytes bigint, digest string, bytes bigint, refers_to bigint"
-        whole = whole.unionByName(joined.select("extent", F.col("pieces.piece").alias("pieces")).mapInArrow(_mended, schema))
-    return whole.select("id", "kind", F.when(F.col("kind") == "revisit", F.col("digest")).otherwise(F.col("found")).alias("digest"), F.when(F.col("kind") == "revisit", F.col("bytes")).otherwise(F.col("found_bytes")).alias("bytes"), "refers_to")
+        whole = whole.unionByName(joined.select("extent", F.col("pieces.piece").alias("pieces")).mapInArrow(_mended, made_ddl))
+    said = F.col("kind") == "revisit"
+    return whole.withColumns({"digest": F.when(said, F.col("digest")).otherwise(F.col("found")), "bytes": F.when(said, F.col("bytes")).otherwise(F.col("found_bytes"))}).select(*OUT)
 
 
 def _mended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["id", "kind", "found", "found_bytes", "digest", "bytes", "refers_to"]
-    schema = pa.schema([SLIM.field(n) for n in names])
+    schema = pa.schema([SLIM.field(n) for n in MADE])
     for batch in batches:
-        found = [parse(MAGIC.encode().join(p.as_py())) for p in batch.column(1)]
-        yield pa.RecordBatch.from_pylist([{n: x[n] for n in names} for x in found if x and x["found"] is not None], schema)
+        found = [parse(TOKEN.encode().join(p.as_py())) for p in batch.column(1)]
+        yield pa.RecordBatch.from_pylist([{n: x[n] for n in MADE} for x in found if x and x["found"] is not None], schema)
