@@ -183,6 +183,17 @@ class Sketch:
         return f"{self.kind}, {n} {'elements' if self.registers is None else 'filled registers'}, nregs={s.m}, nbits={s.width}, expthresh={s.threshold}({s.explicit}), sparseon={int(s.sparse)}"
 
 
+    def dump(self) -> str:
+        """describe, and what the sketch has. The form of the lines, of a number and a hash, or of 32 registers."""
+        if self.registers is not None:
+            filled = dict(self.registers)
+            rows = range(0, self.shape.m - 31, 32)
+            return self.describe() + ":" + "".join(f"\n{at:4d}: " + "".join(f"{filled.get(i, 0):2d} " for i in range(at, at + 32)) for at in rows)
+        if self.hashes:
+            return self.describe() + ":" + "".join(f"\n{i}: {h:20d} " for i, h in enumerate(sorted(self.hashes)))
+        return self.describe()
+
+
 def build(hashes: Iterable[int], shape: Shape = DEFAULT, registers: Iterable[tuple[int, int]] | None = None) -> Sketch:
     """The sketch of some hashes, and of registers where some values are known by those only."""
     values = frozenset(hashes)
@@ -431,6 +442,39 @@ def union_agg(df: DataFrame, keys: list[str], sketches: list[str], sums: list[st
     return united_in_tasks(dealt, keys, sketches, sums)
 
 
+def contents(df: DataFrame, keys: list[str], sketch: str) -> DataFrame:
+    """keys, kind, at, value: what packed sketches have, as rows. Of an explicit one the hashes in order, of a compressed one its filled
+    registers with their rho; an empty or undefined one has one row without at and value. Null sketches have none."""
+    ship_code(df.sparkSession)
+    bound_batches(df.sparkSession)
+    schema = T.StructType([*[T.StructField(c, df.schema[c].dataType) for c in keys], T.StructField("kind", T.StringType()), T.StructField("at", T.IntegerType()), T.StructField("value", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, kinds, at, values = [], [], [], []
+            for i, data in enumerate(batch.column(len(keys)).to_pylist()):
+                if data is None:
+                    continue
+                found = unpack(data)
+                pairs = list(found.registers) if found.registers is not None else list(enumerate(sorted(found.hashes))) if found.hashes else [(None, None)]
+                rows += [i] * len(pairs)
+                kinds += [found.kind] * len(pairs)
+                at += [p[0] for p in pairs]
+                values += [p[1] for p in pairs]
+            if rows:
+                taken = [batch.column(c).take(pa.array(rows)) for c in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*taken, pa.array(kinds, pa.string()), pa.array(at, pa.int32()), pa.array(values, pa.int64())], schema=arrow)
+
+    return df.select(*keys, sketch).mapInArrow(run, schema)
+
+
+@F.pandas_udf(T.StringType())
+def dump(values: pd.Series) -> pd.Series:
+    """Each packed sketch as text: its parameters, and all that it has."""
+    return pd.Series([None if v is None else unpack(bytes(v)).dump() for v in values], dtype="object")
+
+
 @F.pandas_udf(T.DoubleType())
 def cardinality(values: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else unpack(bytes(v)).cardinality() for v in values], dtype="float64")

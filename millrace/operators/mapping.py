@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -183,6 +184,34 @@ def branches(df: DataFrame, key: str, make: Callable[[object], Callable[[dict],
     return map_workers(dealt, Branches, schema, Branches.end if final else None)
 
 
+def branch_batches(df: DataFrame, key: str, make: Callable[[object], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, final: Callable[[Callable], pa.RecordBatch | None] | None = None, salt: int = 1) -> DataFrame:
+    """As branches, for callbacks that take what a batch has of their key as a batch: no row becomes a Python object."""
+
+    class Branches:
+        def __init__(self) -> None:
+            self.of: dict = {}
+
+        def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            column, out = batch.column(names.index(key)), []
+            for k in column.unique():
+                value = k.as_py()
+                if value not in self.of:
+                    self.of[value] = make(value)
+                out.append(self.of[value](batch.filter(pc.is_null(column) if value is None else pc.equal(column, k))))
+            return joined(out)
+
+        def end(self) -> pa.RecordBatch | None:
+            return joined([final(branch) for branch in self.of.values()])
+
+    def joined(parts: list[pa.RecordBatch | None]) -> pa.RecordBatch | None:
+        found = [p for p in parts if p is not None and p.num_rows]
+        return pa.Table.from_batches(found).combine_chunks().to_batches()[0] if found else None
+
+    names = df.columns
+    dealt = df.repartition(F.col(key), F.pmod(F.monotonically_increasing_id(), F.lit(salt))) if salt > 1 else df.repartition(F.col(key))
+    return map_batches(dealt, Branches, schema, Branches.end if final else None)
+
+
 def ordered_chain(df: DataFrame, seq: str, *steps: Callable[[DataFrame], Column]) -> DataFrame:
     """A chain whose outputs come in the order of their inputs. Each step gives an array of structs for a row; the row's place is carried
     as an array of positions, and rows are sorted once, at the end."""

@@ -262,6 +262,15 @@ def hll_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hll.union_agg(packed, [], ["sketch"]).select(hll.cardinality("sketch").alias("users"))
 
 
+@query("""SELECT event_type, 'EXPLICIT' AS kind, count(DISTINCT user_id)::BIGINT AS n, count(DISTINCT user_id)::BIGINT - 1 AS last FROM events GROUP BY ALL""")
+def hll_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stored sketches have, as rows: of a type with 160 users at most, a hash for each."""
+    events = read(spark, sf_dir, "events")
+    packed = hll.sketches(events.select("event_type", hll.hash_column(events, "user_id").alias("h")), ["event_type"], "h", "sketch")
+    rows = hll.contents(packed, ["event_type"], "sketch")
+    return rows.groupBy("event_type", "kind").agg(F.count_distinct("value").alias("n"), F.max("at").cast("bigint").alias("last"))
+
+
 @query("""SELECT l_returnflag, count(DISTINCT l_suppkey)::BIGINT AS n_suppliers, sum(l_linenumber)::BIGINT AS weight FROM lineitem GROUP BY ALL""")
 def hll_union_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of each flag, status and line number are united by flag, and weights are added: as many suppliers as there are, where they

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_folder
+from ..sources import framed
 from ..streaming import stateful
 from .cubes import COUNT, E_SQL, EVENTS, hourly, hourly_rows, query, read
 
@@ -96,3 +97,17 @@ def moving_mean_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "hours")
     hourly(hourly_rows(spark, sf_dir)).select("event_type", "hour", "n").write.parquet(path)
     return drained(stateful.moving_mean(stream_of(spark, path), ["event_type"], "hour", "n"), "means", "update")[0]
+
+
+@query("""SELECT event_id, props FROM events""")
+def frame_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that a stream writes as framed files, an epoch for each file that it takes, and that another stream reads back in parts."""
+    framed.register(spark)
+    path = new_folder(spark, "framed")
+    record = F.concat(F.col("event_id").cast("string"), F.lit("\t"), F.coalesce("props", F.lit("")))
+    events = stream_of(spark, event_files(spark, sf_dir, FILES, "event_id", "props"), 1).select(record.cast("binary").alias("value"))
+    writer = events.writeStream.format("framed").option("checkpointLocation", new_folder(spark, "framed-checkpoint")).trigger(availableNow=True)
+    writer.start(path).awaitTermination()
+    back = spark.readStream.format("framed").option("splitBytes", 1 << 20).load(path).select(F.col("value").cast("string").alias("v"))
+    parts = F.split("v", "\t", 2)
+    return drained(back, "frames")[0].select(F.get(parts, F.lit(0)).cast("bigint").alias("event_id"), F.get(parts, F.lit(1)).alias("props"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,46 +62,44 @@ class _Dedup:
     """A callback with state of its own: gives each type once in a task."""
 
     def __init__(self) -> None:
-        self.seen: set[str] = set()
+        self.seen: set[str | None] = set()
 
-    def __call__(self, row: dict) -> list[dict]:
-        if row["event_type"] in self.seen:
-            return []
-        self.seen.add(row["event_type"])
-        return [{"event_type": row["event_type"]}]
+    def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        new = [x for x in batch.column(0).unique().to_pylist() if x not in self.seen]
+        self.seen.update(new)
+        return pa.RecordBatch.from_arrays([pa.array(new, pa.string())], names=["event_type"]) if new else None
 
 
 @query("""SELECT DISTINCT event_type FROM events""")
 def map_worker_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each task gives a type once; what tasks have in common is made one afterwards, so their number doesn't matter."""
-    return mapping.map_workers(read(spark, sf_dir, "events").select("event_type"), _Dedup, "event_type string").distinct()
+    return mapping.map_batches(read(spark, sf_dir, "events").select("event_type"), _Dedup, "event_type string").distinct()
 
 
 @query("""SELECT event_id, row_number() OVER (ORDER BY event_id)::BIGINT - 1 AS place FROM events""")
 def map_serial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One worker numbers all rows: it is serial by definition."""
-    rows = mapping.serial(read(spark, sf_dir, "events").select("event_id")).sortWithinPartitions("event_id")
-    return rows.select("event_id", F.monotonically_increasing_id().alias("place"))
+    """The numbers that a single worker would give; here many do, each for a range."""
+    return ordering.numbered(read(spark, sf_dir, "events").select("event_id"), [], ["event_id"])
 
 
 class _Sums:
     """Keeps sums by type, and gives them at its end."""
 
     def __init__(self) -> None:
-        self.sums: dict[str, int] = {}
+        self.sums: Counter = Counter()
 
-    def __call__(self, row: dict) -> list[dict]:
-        self.sums[row["event_type"]] = self.sums.get(row["event_type"], 0) + 1
-        return []
+    def __call__(self, batch: pa.RecordBatch) -> None:
+        for found in batch.column(0).value_counts().to_pylist():
+            self.sums[found["values"]] += found["counts"]
 
-    def final(self) -> list[dict]:
-        return [{"event_type": k, "n": v} for k, v in self.sums.items()]
+    def final(self) -> pa.RecordBatch | None:
+        return pa.RecordBatch.from_arrays([pa.array(self.sums.keys(), pa.string()), pa.array(self.sums.values(), pa.int64())], names=["event_type", "n"]) if self.sums else None
 
 
 @query("""SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL""")
 def map_final_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "events").select("event_type")
-    partial = mapping.map_workers(rows, _Sums, "event_type string, n bigint", final=_Sums.final)
+    partial = mapping.map_batches(rows, _Sums, "event_type string, n bigint", final=_Sums.final)
     return partial.groupBy("event_type").agg(F.sum("n").alias("n"))
 
 
@@ -119,24 +119,23 @@ def distribute_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class _First:
-    """A branch: numbers its rows, and says at its end how many it had."""
+    """A branch: counts its rows, and says at its end how many it had."""
 
-    def __init__(self, kind: str) -> None:
+    def __init__(self, kind: str | None) -> None:
         self.kind, self.n = kind, 0
 
-    def __call__(self, row: dict) -> list[dict]:
-        self.n += 1
-        return []
+    def __call__(self, batch: pa.RecordBatch) -> None:
+        self.n += batch.num_rows
 
-    def final(self) -> list[dict]:
-        return [{"event_type": self.kind, "n": self.n, "branches": 1}]
+    def final(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([self.kind], pa.string()), pa.array([self.n], pa.int64()), pa.array([1], pa.int32())], names=["event_type", "n", "branches"])
 
 
 @query("""SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL""")
 def distribute_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A branch for each type in each of eight tasks, made when the type is first seen."""
     rows = read(spark, sf_dir, "events").select("event_type")
-    return mapping.branches(rows, "event_type", _First, "event_type string, n bigint, branches int", _First.final, salt=8).groupBy("event_type").agg(F.sum("n").alias("n"))
+    return mapping.branch_batches(rows, "event_type", _First, "event_type string, n bigint, branches int", _First.final, salt=8).groupBy("event_type").agg(F.sum("n").alias("n"))
 
 
 @query("""SELECT event_id, pos, part || '!' AS part FROM (SELECT event_id, unnest(range(1, len(string_split(event_type, 'e')) + 1))::BIGINT - 1 AS pos, unnest(string_split(event_type, 'e')) AS part FROM events) WHERE part <> ''""")

@@ -122,6 +122,21 @@ def test_distributed_union_equals_the_union_of_all(spark):
     assert hll.union_agg(df.limit(0), ["k"], ["s"], ["n"]).count() == 0
 
 
+def test_contents_and_text_of_sketches(spark):
+    few, full, none, empty = hll.build([5, -3, 1 << 40]), hll.build(range(1000, 9000)), hll.Sketch(hll.DEFAULT, None, None), hll.build([])
+    rows = [("few", hll.pack(few)), ("full", hll.pack(full)), ("none", hll.pack(none)), ("empty", hll.pack(empty)), ("null", None)]
+    df = spark.createDataFrame(rows, "k string, s binary")
+    found = {}
+    for r in hll.contents(df, ["k"], "s").collect():
+        found.setdefault((r["k"], r["kind"]), []).append((r["at"], r["value"]))
+    assert found == {("few", "EXPLICIT"): [(0, -3), (1, 5), (2, 1 << 40)], ("full", "COMPRESSED"): list(full.registers), ("none", "UNDEFINED"): [(None, None)], ("empty", "EMPTY"): [(None, None)]}
+    text = {r["k"]: r["t"] for r in df.select("k", hll.dump("s").alias("t")).collect()}
+    assert text["null"] is None and text["empty"] == empty.describe()
+    assert text["few"].splitlines() == [few.describe() + ":", f"0: {-3:20d} ", f"1: {5:20d} ", f"2: {1 << 40:20d} "]
+    lines = text["full"].splitlines()
+    assert len(lines) == 1 + 2048 // 32 and lines[2].startswith("  32: ") and [int(x) for line in lines[1:] for x in line[6:].split()] == [dict(full.registers).get(i, 0) for i in range(2048)]
+
+
 def test_distributed_union_refuses_other_parameters(spark):
     df = spark.createDataFrame([(hll.pack(hll.build([1])),), (hll.pack(hll.build([1], hll.Shape(10))),)], "s binary")
     with pytest.raises(Exception, match="different parameters"):

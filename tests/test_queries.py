@@ -38,7 +38,7 @@ def test_map_state_does_not_depend_on_partitions(spark):
     rows = spark.range(1000).selectExpr("cast(id % 7 as string) AS event_type")
     sums = []
     for n in (1, 5):
-        partial = mapping.map_workers(rows.repartition(n), _Sums, "event_type string, n bigint", final=_Sums.final)
+        partial = mapping.map_batches(rows.repartition(n), _Sums, "event_type string, n bigint", final=_Sums.final)
         sums.append(sorted(tuple(r) for r in partial.groupBy("event_type").sum("n").collect()))
     assert sums[0] == sums[1]
 
