@@ -50,7 +50,8 @@ class CubeReader(DataSourceReader):
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         for f in filters:
-            column = f.attribute[0] if len(f.attribute) == 1 else None
+            path = getattr(f, "attribute", ())  # Not has none
+            column = path[0] if len(path) == 1 else None
             if column == "part_start":
                 self._bound(f, 0)
             elif column == self.time:

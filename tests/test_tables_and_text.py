@@ -171,7 +171,7 @@ def test_bounds_choose_the_files_that_are_read(spark, table):
     table.upsert(delta(spark, *rows[:14]))
     table.upsert(delta(spark, *rows[8:]))
     every = content(table)
-    for where in ("ts >= 7200 AND ts < 10800", "part_start = 3600", "part_start IN (0, 25200)", "ts = 7260 AND kind = 'k1'", "kind = 'k2'", "n > 30", "ts > 100000", "kind IS NULL", "ts <= 3700", "ts IN (60, 25200)"):
+    for where in ("ts >= 7200 AND ts < 10800", "part_start = 3600", "part_start IN (0, 25200)", "ts = 7260 AND kind = 'k1'", "kind = 'k2'", "kind <> 'k2'", "NOT kind LIKE 'k1%'", "n > 30", "ts > 100000", "kind IS NULL", "ts <= 3700", "ts IN (60, 25200)"):
         found = sorted((r["ts"], r["kind"], r["n"]) for r in table.scan().where(where).collect())
         plain = sorted((r["ts"], r["kind"], r["n"]) for r in table.read().where(where).collect())
         assert found == plain, where
