@@ -1,4 +1,8 @@
-"""Connected components of a graph that is given as pairs: forests of what each task has, then alternating stars."""
+"""Connected components of a graph that is given as pairs: forests of what each task has, then alternating stars.
+
+Edge cases: pairs with a null node, of a node with itself, and repeated ones change nothing; nodes without a pair have no row; a table
+without pairs gives none; nodes are numbers, of which ties can't be; other columns are not read.
+"""
 
 from __future__ import annotations
 
