@@ -3,6 +3,10 @@
 Every stage takes what the one before it kept and returns the columns of documents; the last returns the pieces of the packed
 sequences. Between stages the rows are written as Parquet in the shared folder and read again, so that a lost executor costs
 a stage at most.
+
+Edge cases, for all stages: null or empty texts, null ids, languages and sources, repeated rows, ties and very long texts are rows like others,
+with the results below; an empty table gives an empty one; extra columns go on as they are, whatever their names, up to the last
+stage, but for ``__lang`` and ``__score``, for which the first one raises.
 """
 
 from __future__ import annotations
@@ -18,28 +22,33 @@ from millrace.llm.queries import END_ID, MAX_EPOCHS, MIX, TOKENIZER, WEIGHTS, WI
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones have. Learns from docs' own labels; one without letters goes too."""
+    """Documents in a language that the labelled ones have. Learns from docs' own labels, of rows with a doc_id; a null text and one without letters
+    go. Repeated rows stay, each; with fewer than 8 held-out texts nothing goes for its language."""
     found = langid.identify(docs, docs.select("doc_id", "text", "lang"), keep=docs.columns, names=("__lang", "__score"), reject=True)
     return found.where(F.col("__lang") != langid.UNKNOWN).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more. Of rows with one doc_id one stays, also
+    if their texts differ; rows without a doc_id all stay, as nothing names them; a text without words is like none other; of a group the
+    smallest doc_id stays."""
     return sigtree.one_of_each(docs, k=5, percent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their secrets replaced."""
+    """Documents with their secrets replaced, in the whole text; a null text stays null. n_chars follows the text where something was replaced."""
     return secrets.redact(docs, secrets.default_forest(spark))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them. A null source is one like the others, the last; a document without words takes nothing and goes; rows
+    with null or repeated doc_ids are rows like others."""
     return mixing.repeat(docs, WEIGHTS, MIX, MAX_EPOCHS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences. A null or empty text is its end token alone; a null doc_id stays null. Which pieces share a sequence depends
+    on how the rows lie in partitions; every token is in one piece."""
     return packing.pack(docs, TOKENIZER, END_ID, WINDOW)
 
 
