@@ -6,6 +6,7 @@ from millrace.operators.spec import CubeSpec, Dimension, Measure, epoch_seconds
 from millrace.operators.table import CubeTable
 
 SPEC = CubeSpec("Test", (Dimension("d1", "time"), Dimension("d2", "int")), (Measure("a1"), Measure("a2")))
+# The time that the test's rows begin at, and below the wording of the table's definition.
 START = 1257894000
 
 
