@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hll
@@ -253,6 +253,37 @@ def hll_serialize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("event_type", F.lower(F.hex("sketch")).alias("sketch"), hll.cardinality("sketch").alias("users"))
 
 
+def md5_hash(c: str) -> Column:
+    """60 bits of md5: hashes that SQL has too, in place of Murmur's."""
+    return F.conv(F.substring(F.md5(F.col(c).cast("string")), 1, 15), 16, 10).cast("bigint")
+
+
+@query("""WITH h AS (SELECT l_returnflag, ('0x' || substr(md5(l_partkey::VARCHAR), 1, 15))::BIGINT AS h FROM lineitem),
+c AS (SELECT l_returnflag, h & 2047 AS idx, max(CASE WHEN h >> 11 = 0 THEN 0 ELSE least(31, round(log2((h >> 11) & -(h >> 11)))::INT + 1) END) AS rho FROM h GROUP BY ALL),
+s AS (SELECT l_returnflag, 2048 - sum((rho > 0)::INT) AS zeros, sum(CASE WHEN rho > 0 THEN pow(2.0, -rho) ELSE 0 END) AS z FROM c GROUP BY ALL),
+e AS (SELECT *, 0.7213 / (1 + 1.079 / 2048) * 2048 * 2048 / (zeros + z) AS raw FROM s)
+SELECT l_returnflag, round(CASE WHEN zeros > 0 AND raw < 2.5 * 2048 THEN 2048 * ln(2048.0 / zeros) ELSE raw END, 3) AS estimate FROM e""")
+def hll_fixed_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The estimate of more than 160 parts, register by register, over hashes that SQL has too."""
+    hashed = read(spark, sf_dir, "lineitem").select("l_returnflag", md5_hash("l_partkey").alias("h"))
+    return hll.estimates(hashed, ["l_returnflag"], "h", "estimate").withColumn("estimate", F.round("estimate", 3))
+
+
+@query("""SELECT l_returnflag, count(DISTINCT l_partkey)::BIGINT AS parts, true AS within FROM lineitem GROUP BY ALL""")
+def hll_estimate_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hll_estimate_large with what must hold of it: the estimate is within a tenth of the parts."""
+    out = hll_estimate_large(spark, sf_dir)
+    return out.select("l_returnflag", "parts", (F.abs(F.col("estimate") - F.col("parts")) <= F.col("parts") / 10).alias("within"))
+
+
+@query("""SELECT event_type, '128b7f' || string_agg(printf('%016x', h), '' ORDER BY h) AS sketch
+FROM (SELECT DISTINCT event_type, ('0x' || substr(md5(user_id::VARCHAR), 1, 15))::BIGINT AS h FROM events) GROUP BY ALL""")
+def hll_serialize_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored bytes of sketches with 160 values at most, over hashes that SQL has too: the head, and the hashes in order."""
+    hashed = read(spark, sf_dir, "events").select("event_type", md5_hash("user_id").alias("h"))
+    return hll.sketches(hashed, ["event_type"], "h", "sketch").select("event_type", F.lower(F.hex("sketch")).alias("sketch"))
+
+
 @query("""SELECT count(DISTINCT user_id)::DOUBLE AS users FROM events""")
 def hll_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The union of the sketches of all types: as many users as there are, where they are 160 at most."""
