@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     assert entry.queries()["pipeline"] is pipeline.run and "pipeline" not in entry.oracle_sql()
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in entry.queries() if q.startswith("op") and q[2].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in entry.queries() if q.startswith("op") and q[2].isdigit()}
 
 
 @pytest.mark.parametrize("name", [n for n, _ in pipeline.STAGES])
