@@ -61,49 +61,107 @@ def closed_partitions(stream: DataFrame, spec: CubeSpec, counts: dict[str, Colum
     return grouped.select(F.unix_seconds("__window.start").alias("part_start"), *spec.dims, *counts)
 
 
+#: Seconds of time whose open sums share an entry of the state, and with it the calls from Python to the state store.
+BLOCK = 1 << 18
+
+
 class _Closing(StatefulProcessor):
-    """Sums by key until the watermark passes the end of the key's partition; what comes then is late and goes on as it is."""
+    """Sums by partition and time, of all that a block of time has of a key, until the watermark passes a partition's end; what comes then is
+    late and goes on as it is. New sums are put behind those that are there; all are added up when they have doubled, or when a partition closes."""
 
-    def __init__(self, keys: list[str], counts: list[str], length: int) -> None:
-        self.keys, self.counts, self.length = keys, counts, length
+    def __init__(self, names: list[str], time: str, counts: list[str], length: int) -> None:
+        self.names, self.at, self.counts, self.length = names, ["part_start", time], counts, length
 
     def init(self, handle) -> None:  # noqa: ANN001
         self.handle = handle
-        self.sums = handle.getValueState("sums", ", ".join(f"{c} bigint" for c in self.counts))
+        self.open = handle.getListState("open", ", ".join(f"c{i} array<bigint>" for i in range(2 + len(self.counts))))
+        # how many sums there are, how many there were when they were last added up, and the first end of a partition among them
+        self.extent = handle.getValueState("extent", "held bigint, merged bigint, first bigint")
+
+    def _sums(self, parts: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(parts)[[*self.at, *self.counts]].groupby(self.at, as_index=False).sum()
+
+    def _held(self) -> list[pd.DataFrame]:
+        return [pd.DataFrame(dict(zip([*self.at, *self.counts], part, strict=True))) for part in self.open.get()]
 
-    def _row(self, key: tuple, sums: list[int], late: bool) -> pd.DataFrame:
-        return pd.DataFrame({**{k: [v] for k, v in zip(self.keys, key, strict=True)}, **{c: [n] for c, n in zip(self.counts, sums, strict=True)}, "late": [late]})
+    def _split(self, sums: pd.DataFrame, now: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """Those of partitions that have closed, and the others."""
+        closed = (sums["part_start"] + self.length) * 1000 <= now
+        return sums[closed], sums[~closed]
+
+    def _first(self, sums: pd.DataFrame) -> int:
+        return (int(sums["part_start"].min()) + self.length) * 1000
+
+    def _value(self, sums: pd.DataFrame) -> tuple:
+        return tuple(sums[c].tolist() for c in (*self.at, *self.counts))
+
+    def _keep(self, sums: pd.DataFrame) -> int:
+        """Writes the sums in place of those that are there, and returns their first end."""
+        self.open.put([self._value(sums)])
+        self.extent.update((len(sums), len(sums), self._first(sums)))
+        return self._first(sums)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        sums = [0] * len(self.counts)
-        for part in rows:
-            sums = [s + int(part[c].sum()) for s, c in zip(sums, self.counts, strict=True)]
-        end = (int(key[0]) + self.length) * 1000
-        if timerValues.getCurrentWatermarkInMs() >= end:
-            yield self._row(key, sums, True)
+        parts = [self._sums([part]) for part in rows]
+        late, new = self._split(parts[0] if len(parts) == 1 else self._sums(parts), timerValues.getCurrentWatermarkInMs())
+        if len(late):
+            yield late.assign(**dict(zip(self.names, key[1:], strict=True)), late=True)
+        if not len(new):
             return
-        if self.sums.exists():
-            sums = [s + t for s, t in zip(sums, self.sums.get(), strict=True)]
+        if not self.extent.exists():
+            self.handle.registerTimer(self._keep(new))
+            return
+        held, merged, before = self.extent.get()
+        first = min(before, self._first(new))
+        if held + len(new) > 2 * merged:
+            self._keep(self._sums([*self._held(), new]))
         else:
-            self.handle.registerTimer(end)
-        self.sums.update(tuple(sums))
+            self.open.appendValue(self._value(new))
+            self.extent.update((held + len(new), merged, first))
+        if first < before:
+            self.handle.deleteTimer(before)
+            self.handle.registerTimer(first)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        yield self._row(key, list(self.sums.get()), False)
-        self.sums.clear()
+        closed, rest = self._split(self._sums(self._held()), timerValues.getCurrentWatermarkInMs())
+        if len(closed):
+            yield closed.assign(**dict(zip(self.names, key[1:], strict=True)), late=False)
+        if len(rest):
+            self.handle.registerTimer(self._keep(rest))
+        else:
+            self.open.clear()
+            self.extent.clear()
+
+
+def _as_text(c: str, kind: T.DataType) -> Column:
+    """A key as text, which pandas holds as it is: of numbers with nulls it makes floating ones."""
+    if isinstance(kind, T.BinaryType):
+        return F.base64(c)
+    return (F.unix_micros(c) if isinstance(kind, T.TimestampType) else F.col(c)).cast("string")
+
+
+def _from_text(c: str, kind: T.DataType) -> Column:
+    if isinstance(kind, T.BinaryType):
+        return F.unbase64(c)
+    return F.timestamp_micros(F.col(c).cast("bigint")) if isinstance(kind, T.TimestampType) else F.col(c).cast(kind)
 
 
 def closed_and_late(stream: DataFrame, spec: CubeSpec, counts: dict[str, Column | int], length: int = 1, delay: str = "0 seconds") -> DataFrame:
     """As closed_partitions, with late: the sums of rows that came after their partition had closed, a row for each key and micro-batch.
-    No record is lost: closed and late rows add up to all of those that are not open."""
+    No record is lost: closed and late rows add up to all of those that are not open. A row without a time is in no partition.
+
+    Rows are grouped by their dimensions and the block of time that they lie in, so what Python does for each group is done for BLOCK seconds."""
     state_store(stream.sparkSession)
     of = lambda c: F.lit(c) if isinstance(c, int) else c
     rows = stream.withColumn(spec.time_col, epoch_seconds(stream, spec.time_col)).withColumn("__time", F.timestamp_seconds(spec.time_col)).withWatermark("__time", delay)
-    # the time column itself does not go on, so that Spark leaves late rows to the processor
+    # the event time itself does not go on, so that Spark leaves late rows to the processor
     keyed = rows.select(bucket(F.col(spec.time_col), length).alias("part_start"), *spec.dims, *[F.coalesce(of(c), F.lit(0)).cast("bigint").alias(k) for k, c in counts.items()])
-    keys = ["part_start", *spec.dims]
-    schema = T.StructType([*keyed.schema.fields, T.StructField("late", T.BooleanType())])
-    return keyed.groupBy(*keys).transformWithStateInPandas(_Closing(keys, list(counts), length), schema, "Append", "EventTime")
+    kinds = {d: keyed.schema[d].dataType for d in spec.dims if d != spec.time_col}
+    texts = keyed.where(F.col("part_start").isNotNull()).withColumns({d: _as_text(d, kind) for d, kind in kinds.items()})
+    schema = T.StructType([*texts.schema.fields, T.StructField("late", T.BooleanType())])
+    grouped = texts.withColumn("__block", F.floor(F.col(spec.time_col) / BLOCK)).groupBy("__block", *kinds)
+    out = grouped.transformWithStateInPandas(_Closing(list(kinds), spec.time_col, list(counts), length), schema, "Append", "EventTime")
+    return out.withColumns({d: _from_text(d, kind) for d, kind in kinds.items()})
 
 
 def split_writer(stream: DataFrame, closed: Callable[[DataFrame, int], None], late: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:

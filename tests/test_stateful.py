@@ -79,6 +79,31 @@ def test_late_rows_go_to_their_own_output(spark, tmp_path):
     assert not got[True] and sum(r["n"] for r in got[False]) == 8  # in one micro-batch nothing is late
 
 
+def test_open_seconds_share_their_state(spark, tmp_path):
+    """Many partitions of one second, dimensions that are null, numbers beyond a double, and rows without a time: the state has an entry for a
+    block of time and key, not for a second, and closed and late rows are those of the batch."""
+    spec = CubeSpec("hits", (Dimension("ts", "time"), Dimension("kind"), Dimension("code")), (Measure("n"),))
+    feed = Feed(spark, tmp_path, "ts bigint, kind string, code bigint")
+    make = lambda s: stateful.closed_and_late(s, spec, {"n": 1}, 1, "500 seconds")
+    big = (1 << 60) + 1
+    every, out = [], []
+    for low in (0, 300, 100, 1200):
+        part = [(low + i % 600, "ab"[i % 2], (None, 7, big)[i % 3]) for i in range(1000)] + [(None, "a", 7), (low + 1, None, None)]
+        feed.put(*part)
+        every += part
+        out.append(feed.run(make))
+        state = spark.read.format("statestore").option("path", f"file://{tmp_path}/state").option("stateVarName", "open").option("flattenCollectionTypes", True).load()
+        assert state.select("key").distinct().count() <= 7
+    late = Counter(r["late"] for rows in out for r in rows)
+    assert late[True] and late[False]
+    newest = max(t for t, *_ in every if t is not None)
+    found = Counter()
+    for r in (r for rows in out for r in rows):
+        assert r["part_start"] == r["ts"]
+        found[r["ts"], r["kind"], r["code"]] += r["n"]
+    assert found == Counter(r for r in every if r[0] is not None and r[0] + 1 <= newest - 500)
+
+
 def made(key):
     return (0, 1)
 
