@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import bound_batches, ship_code
+from ..session import bound_batches, ship_code, written
 
 # Fixed values of Murmur3 x64-128 (published algorithm).
 C1, C2 = 0x87C37B91114253D5, 0x4CF5AD432745937F
@@ -277,6 +277,24 @@ def cells(df: DataFrame, dims: list[str], hashed: str, shape: Shape = DEFAULT) -
     return rows.groupBy(*dims, "idx").agg(F.max("rho").alias("rho"))
 
 
+def sliced(df: DataFrame, dims: list[str], hashed: str, name: str = "slice", shape: Shape = DEFAULT) -> DataFrame:
+    """dims, the distinct hashes and their slice: a range of hashes, in order, that has no more of them than an explicit sketch holds.
+
+    Sketches by dims and slice are all explicit, so what is counted in them and added up is exact however many values a key has, and a key
+    lies in as many tasks as it has slices. Null hashes are kept, in slice 0. The rows are written: hashes are computed once.
+    """
+    if shape.explicit < 1:
+        raise ValueError("slices need explicit sketches")
+    rows = written(df.select(*dims, hashed).distinct(), "hashes")
+    number = lambda bits: F.shiftright(hashed, 64 - bits).cast("bigint") if bits else F.lit(0).cast("bigint")
+    n, low, high = rows.agg(F.approx_count_distinct(hashed), F.min(hashed), F.max(hashed)).first()
+    # a mean of a quarter of what fits, over the bits in which the hashes differ; then it is made sure of
+    bits = 0 if n <= shape.explicit // 2 else min(64, (4 * n // shape.explicit).bit_length() + 64 - (high - low).bit_length())
+    while (rows.groupBy(number(bits)).agg(F.count_distinct(hashed).alias("n")).agg(F.max("n")).first()[0] or 0) > shape.explicit:
+        bits += 1
+    return rows.withColumn(name, F.coalesce(number(bits), F.lit(0).cast("bigint")))
+
+
 def estimates(df: DataFrame, dims: list[str], hashed: str, name: str, shape: Shape = DEFAULT) -> DataFrame:
     """dims and the estimated number of distinct hashes (double); null hashes don't count.
 

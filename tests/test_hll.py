@@ -89,6 +89,24 @@ def test_spark_sketches_equal_python_ones(spark):
         assert estimates[k] == pytest.approx(expected.cardinality())
 
 
+def test_slices_of_hashes_are_explicit_and_in_order(spark):
+    """Hashes close together, far apart, of few bits, null and twice; no slice has more than an explicit sketch holds."""
+    values = [i * i for i in range(900)] + [-i for i in range(1, 400)] + h(*[b"%d" % i for i in range(700)]) + [-(1 << 63), (1 << 63) - 1]
+    df = spark.createDataFrame([("a", v) for v in values * 2] + [("b", v) for v in values[:3]] + [("b", None), ("none", None)], "k string, h bigint")
+    rows = hll.sliced(df, ["k"], "h").collect()
+    assert sorted((r["k"], r["h"]) for r in rows if r["h"] is not None) == sorted({("a", v) for v in values} | {("b", v) for v in values[:3]})
+    assert sorted((r["k"], r["slice"]) for r in rows if r["h"] is None) == [("b", 0), ("none", 0)]
+    by = {}
+    for r in rows:
+        if r["h"] is not None:
+            by.setdefault(r["slice"], set()).add(r["h"])
+    assert len(by) > 1 and max(map(len, by.values())) <= 160
+    order = sorted(by)
+    assert all(max(by[a]) < min(by[b]) for a, b in zip(order, order[1:], strict=False))
+    assert {r["slice"] for r in hll.sliced(df.where("k = 'b'"), ["k"], "h").collect()} == {0}
+    assert hll.sliced(df.limit(0), ["k"], "h").count() == 0
+
+
 def test_integers_hash_by_width(spark):
     df = spark.createDataFrame([(34, 304), (1, 1), (1, 1)], "a int, b bigint")
     hashes = {r[0] for r in df.select(hll.hash_column(df, "a")).collect()} | {r[0] for r in df.limit(1).select(hll.hash_column(df, "b")).collect()}
