@@ -487,6 +487,14 @@ def contents(df: DataFrame, keys: list[str], sketch: str) -> DataFrame:
     return df.select(*keys, sketch).mapInArrow(run, schema)
 
 
+def joined(df: DataFrame, keys: list[str], slice_: str, sketch: str) -> DataFrame:
+    """keys and one explicit sketch of the explicit ones of a key's slices: the head, and the hashes of all, in order. A key's bytes are one
+    value, which may have more hashes than the threshold in its head: readers take it as it is, a union makes registers of it."""
+    parts = F.sort_array(F.collect_list(F.struct(slice_, F.hex(F.expr(f"substring(`{sketch}`, 4)")).alias("body"))))
+    head = F.first(F.hex(F.substring(sketch, 1, 3)), ignorenulls=True)
+    return df.groupBy(*keys).agg(F.unhex(F.concat(head, F.array_join(F.transform(parts, lambda x: x["body"]), ""))).alias(sketch))
+
+
 @F.pandas_udf(T.StringType())
 def dump(values: pd.Series) -> pd.Series:
     """Each packed sketch as text: its parameters, and all that it has."""

@@ -17,6 +17,7 @@ BEYOND_160 = [
     "cube_hll_distinct",
     "hll_contents",
     "hll_from_bytes",
+    "hll_serialize_fixed",
 ]
 
 
